@@ -1,15 +1,13 @@
 """Embedding and vector-table operators.
 
-The default embedder is a hashed character-trigram count vector computed entirely in
-Spark SQL: trigrams are exploded inside each row's partition, bucketed by their md5,
-and summed per text with a map-side partial aggregate, so the only shuffle carries
-``dim`` counts per text. Any other model plugs in through :class:`PandasEmbedder`,
-an Arrow-batched iterator UDF that loads the model once per Python worker.
+The default embedder is a hashed character-trigram count vector; any other model plugs in
+through :class:`PandasEmbedder`, an Arrow-batched iterator UDF that loads the model once per
+Python worker. Both embed in place (no shuffle): a vector is a function of its text only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,59 +29,140 @@ class HashedTrigramEmbedder:
 
     Bucket of a trigram = first two hex digits of its md5 read as a number, modulo ``dim``.
     Vectors are whole-number counts, so dot products are exact in any summation order.
+
+    Evaluated as an Arrow-batched pandas UDF inside the row's partition (no shuffle): each
+    Python worker keeps a bounded trigram -> bucket cache, so md5 runs once per distinct
+    trigram per worker. A pure-SQL form (:meth:`vector_sql`) gives the same numbers and is
+    what the DuckDB twins use.
     """
 
+    CACHE_LIMIT = 1 << 20
+
     def __init__(self, dim: int = 64):
         self.dim = dim
         self.name = f"hashed-trigram-{dim}"
 
+    @staticmethod
+    def _counter(dim: int, limit: int):
+        import hashlib
+
+        cache: dict[str, int] = {}
+
+        def counts(text) -> np.ndarray:
+            if text is None:
+                return np.zeros(dim)
+            p = " " + " ".join(text.lower().split()) + " "
+            ids = []
+            get = cache.get
+            for i in range(len(p) - 2):
+                g = p[i:i + 3]
+                b = get(g)
+                if b is None:
+                    if len(cache) >= limit:
+                        cache.clear()
+                    b = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:2], 16) % dim
+                    cache[g] = b
+                ids.append(b)
+            return np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
+
+        return counts
+
+    def vector(self, text) -> Column:
+        dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def _tri(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            counts = mk(dim, limit)
+            for s in batches:
+                yield pd.Series([counts(t) for t in s])
+
+        return _tri(tx._col(text))
+
+    def vectors(self, texts) -> Column:
+        dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
+
+        @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+        def _tri_many(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            counts = mk(dim, limit)
+            for s in batches:
+                yield pd.Series([[counts(t) for t in x] if x is not None else [] for x in s])
+
+        return _tri_many(tx._col(texts))
+
+    def vector_sql(self, text) -> Column:
+        """The same vector as a pure Spark SQL expression (slower: interpreted lambdas)."""
+        dim = self.dim
+        padded = normalized_for_trigrams(text)
+
+        def from_padded(p):
+            n = F.length(p) - 2
+            pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            ids = F.transform(pos, lambda i: F.conv(F.substring(F.md5(F.substring(p, i, 3)), 1, 2), 16, 10)
+                              .cast("int") % F.lit(dim))
+            return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                               lambda b: F.size(F.filter(ids, lambda x: x == b)).cast("double"))
+
+        return vx.let(padded, from_padded)
+
     def embed(self, df: DataFrame, text_col: str, key_cols: Sequence[str], out_col: str = "vec") -> DataFrame:
-        keys = list(key_cols)
-        padded = normalized_for_trigrams(text_col)
-        t = df.select(*keys, padded.alias("_p"))
-        n = F.length("_p") - 2
-        pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        ex = t.select(*keys, "_p", F.explode_outer(pos).alias("_i"))
-        bucket = (F.conv(F.substring(F.md5(F.substring("_p", F.col("_i"), F.lit(3))), 1, 2), 16, 10)
-                  .cast("int") % F.lit(self.dim))
-        ex = ex.select(*keys, F.when(F.col("_i").isNotNull(), bucket).alias("_b"))
-        sums = [F.sum(F.when(F.col("_b") == b, F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"_s{b}")
-                for b in range(self.dim)]
-        agg = ex.groupBy(*keys).agg(*sums)
-        return agg.select(*keys, F.array(*[F.col(f"_s{b}") for b in range(self.dim)]).alias(out_col))
+        return df.select(*key_cols, self.vector(F.col(text_col)).alias(out_col))
 
 
 class PandasEmbedder:
     """Pluggable model: ``load()`` returns ``encode(list[str]) -> ndarray (n, dim)``.
 
-    The model is loaded once per Python worker; a batch that fails is retried text by text
-    and a text that still fails gets the zero vector, so no row is lost.
+    The model is loaded once per Python worker (iterator pandas UDF, Arrow batches); a batch
+    that fails is retried text by text and a text that still fails gets the zero vector, so
+    no row is lost.
     """
 
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, name: str):
         self.load, self.dim, self.name = load, dim, name
 
-    def embed(self, df: DataFrame, text_col: str, key_cols: Sequence[str], out_col: str = "vec") -> DataFrame:
-        load, dim = self.load, self.dim
+    def _encode_all(self, encode, texts: list[str]) -> np.ndarray:
+        dim = self.dim
+        try:
+            return np.asarray(encode(texts), dtype=np.float64).reshape(len(texts), dim)
+        except Exception:
+            rows = []
+            for t in texts:
+                try:
+                    rows.append(np.asarray(encode([t]), dtype=np.float64).reshape(dim))
+                except Exception:
+                    rows.append(np.zeros(dim))
+            return np.vstack(rows) if rows else np.zeros((0, dim))
+
+    def vector(self, text) -> Column:
+        load, enc = self.load, self._encode_all
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def _embed(batches):
+        def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = load()
             for s in batches:
-                texts = s.fillna("").tolist()
-                try:
-                    m = np.asarray(encode(texts), dtype=np.float64).reshape(len(texts), dim)
-                except Exception:
-                    rows = []
-                    for t in texts:
-                        try:
-                            rows.append(np.asarray(encode([t]), dtype=np.float64).reshape(dim))
-                        except Exception:
-                            rows.append(np.zeros(dim))
-                    m = np.vstack(rows) if rows else np.zeros((0, dim))
-                yield pd.Series(list(m))
-
-        return df.select(*key_cols, _embed(F.col(text_col)).alias(out_col))
+                yield pd.Series(list(enc(encode, s.fillna("").tolist())))
+
+        return _embed(tx._col(text))
+
+    def vectors(self, texts) -> Column:
+        load, enc = self.load, self._encode_all
+
+        @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+        def _embed_many(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encode = load()
+            for s in batches:
+                lists = [list(x) if x is not None else [] for x in s]
+                flat = [t or "" for x in lists for t in x]
+                m = enc(encode, flat) if flat else np.zeros((0, self.dim))
+                out, at = [], 0
+                for x in lists:
+                    out.append(list(m[at:at + len(x)]))
+                    at += len(x)
+                yield pd.Series(out)
+
+        return _embed_many(tx._col(texts))
+
+    def embed(self, df: DataFrame, text_col: str, key_cols: Sequence[str], out_col: str = "vec") -> DataFrame:
+        return df.select(*key_cols, self.vector(F.col(text_col)).alias(out_col))
 
 
 DEFAULT_EMBEDDER = HashedTrigramEmbedder(64)

@@ -70,3 +70,232 @@ def q_evidence_lines(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query vector, its five best evidence lines, ranked."""
     return q_evidence_lines(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- text (B), sources (A1, A2, A4)
+from tessera.functions import text as tx  # noqa: E402
+from tessera.functions import vectors as vx  # noqa: E402
+from tessera.operators import chunking as ch  # noqa: E402
+from tessera.operators import embedding as em  # noqa: E402
+from tessera.session import scratch_dir  # noqa: E402
+from tessera.sources import files as fl  # noqa: E402
+from tessera.sources import store as st  # noqa: E402
+
+
+def r6arr(c):
+    return F.transform(F.col(c) if isinstance(c, str) else c, lambda x: F.round(x, 6))
+
+
+@register("split_segments")
+def q_split_segments(spark, sf_dir):
+    return ch.segment_transcripts(tb.transcripts(spark, sf_dir))
+
+
+@register("merge_text")
+def q_merge_text(spark, sf_dir):
+    t = tb.transcripts(spark, sf_dir)
+    m = tx.merge_text(tx.split_segments("text"))
+    return t.select("task_id", F.length(m).cast("long").alias("merged_chars"), F.md5(m).alias("merged_md5"))
+
+
+@register("content_key")
+def q_content_key(spark, sf_dir):
+    return tb.transcripts(spark, sf_dir).select("task_id", tx.content_key("text").alias("content_key"))
+
+
+@register("contains_ci")
+def q_contains_ci(spark, sf_dir):
+    """Documents containing each benchmark item's first word, any case (bounded query side broadcast)."""
+    words = tb.text_queries(spark, sf_dir).select(
+        "query_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("word"))
+    docs = tb.transcripts(spark, sf_dir)
+    hits = docs.join(F.broadcast(words), tx.contains_ci(docs["text"], words["word"]), "inner")
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
+    return words.join(counts, "query_id", "left").select(
+        "query_id", "word", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+
+
+@register("clip_text")
+def q_clip_text(spark, sf_dir):
+    t = tb.transcripts(spark, sf_dir)
+    return t.select("task_id", tx.clip_text("text", 600).alias("cut600"),
+                    tx.clip_text("text", 400, "...").alias("cut400"), tx.clip_text("text", 200).alias("cut200"),
+                    tx.clip_text("text", 2000).alias("cut2000"))
+
+
+@register("load_transcripts")
+def q_load_transcripts(spark, sf_dir):
+    path = fl.write_transcripts(tb.transcripts(spark, sf_dir), scratch_dir(spark, "transcripts"))
+    return fl.load_transcripts(spark, path).select("task_id", "text")
+
+
+@register("transcript_info")
+def q_transcript_info(spark, sf_dir):
+    path = fl.write_transcripts(tb.transcripts(spark, sf_dir), scratch_dir(spark, "transcripts"))
+    return fl.transcript_info(fl.load_transcripts(spark, path)).drop("modified_at")
+
+
+@register("video_catalog")
+def q_video_catalog(spark, sf_dir):
+    return fl.video_catalog(tb.table(spark, sf_dir, "pages"))
+
+
+# ---------------------------------------------------------------- embedding and vector scalars (C)
+@register("embed_texts")
+def q_embed_texts(spark, sf_dir):
+    return em.embed_texts(tb.transcripts(spark, sf_dir), "text", ["task_id"])
+
+
+@register("embed_distinct")
+def q_embed_distinct(spark, sf_dir):
+    out = em.embed_distinct(tb.transcripts(spark, sf_dir), "text")
+    return out.select("task_id", "content_key", "vec")
+
+
+@register("cache_stats")
+def q_cache_stats(spark, sf_dir):
+    out = em.embed_distinct(tb.transcripts(spark, sf_dir), "text")
+    return em.cache_stats(out)
+
+
+def _pairs(spark, sf_dir):
+    """Each embeddings row with the next id (equi-join on vec_id + 1)."""
+    e = tb.vectors(spark, sf_dir).select("vec_id", "vec")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("vec").alias("vec2"))
+    return e.join(nxt, "vec_id")
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    return tb.vectors(spark, sf_dir).select("vec_id", r6arr(vx.l2_normalize("vec")).alias("vec"))
+
+
+@register("cosine_similarity")
+def q_cosine(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("vec_id", "next_id", r6(vx.cosine_similarity("vec", "vec2")).alias("cosine"))
+
+
+@register("inner_product_clip")
+def q_ip01(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("vec_id", "next_id",
+                    r6(vx.inner_product_clip(vx.l2_normalize("vec"), vx.l2_normalize("vec2"))).alias("ip01"))
+
+
+@register("centroid")
+def q_centroid(spark, sf_dir):
+    m = tb.members(spark, sf_dir).join(tb.vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id")
+    return em.centroid(m, ["cluster_id"]).select(F.col("cluster_id").cast("long").alias("label"),
+                                                 r6arr("center").alias("center"))
+
+
+@register("blend_vectors")
+def q_blend(spark, sf_dir):
+    m = tb.members(spark, sf_dir).join(tb.vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id")
+    cent = em.centroid(m, ["cluster_id"])
+    j = m.join(cent, "cluster_id")
+    return j.select("vec_id", r6arr(vx.blend_vectors(vx.l2_normalize("vec"), "center", 0.5)).alias("blended"))
+
+
+@register("check_dimension")
+def q_check_dimension(spark, sf_dir):
+    ok, bad = em.check_dimension(tb.vectors(spark, sf_dir), 64)
+    return (ok.select(F.lit("ok").alias("status")).unionByName(bad.select(F.lit("rejected").alias("status")))
+            .groupBy("status").agg(F.count(F.lit(1)).cast("long").alias("n")))
+
+
+@register("consecutive_similarity")
+def q_consecutive_similarity(spark, sf_dir):
+    s = ch.segment_similarities(tb.transcripts(spark, sf_dir))
+    return s.select("task_id", "seg_no", r6("sim_prev").alias("sim_prev"))
+
+
+# ---------------------------------------------------------------- chunking (D)
+def _chunks(spark, sf_dir):
+    return ch.semantic_chunks(tb.transcripts(spark, sf_dir))
+
+
+@register("adaptive_threshold")
+def q_adaptive_threshold(spark, sf_dir):
+    a = ch.adaptive_threshold(ch.segment_similarities(tb.transcripts(spark, sf_dir)))
+    return a.select("task_id", "n_segments", r6("threshold").alias("threshold"))
+
+
+@register("semantic_chunks")
+def q_semantic_chunks(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return c.select("task_id", "chunk_id", "chunk_index", "seg_start", "segment_count", "word_count",
+                    "character_count", r6("similarity_threshold_used").alias("similarity_threshold_used"),
+                    "content")
+
+
+@register("chunk_stats")
+def q_chunk_stats(spark, sf_dir):
+    s = ch.chunk_stats(_chunks(spark, sf_dir))
+    return s.select("task_id", "total_chunks", r6("avg_chunk_size_words").alias("avg_chunk_size_words"),
+                    "min_chunk_size_words", "max_chunk_size_words",
+                    r6("avg_segments_per_chunk").alias("avg_segments_per_chunk"), "chunking_strategy",
+                    "base_similarity_threshold")
+
+
+# ---------------------------------------------------------------- store
+def _written_store(spark, sf_dir):
+    path = scratch_dir(spark, "store")
+    st.write_chunk_store(tb.vectors(spark, sf_dir), path)
+    return path
+
+
+@register("write_chunk_store")
+def q_write_chunk_store(spark, sf_dir):
+    s = st.load_chunk_store(spark, _written_store(spark, sf_dir))
+    return s.select("task_id", "vec_id", "chunk_id", "content", r6arr("vec").alias("vec"))
+
+
+@register("load_chunk_store")
+def q_load_chunk_store(spark, sf_dir):
+    path = _written_store(spark, sf_dir)
+    req = tb.vectors(spark, sf_dir).select("task_id").distinct()
+    return st.next_ids(st.load_chunk_store(spark, path, req))
+
+
+def _delete_requests(spark, sf_dir):
+    """Task ids 't' || (label % 7): some exist (t0-t4), some do not (t5, t6)."""
+    e = tb.table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("t"), (F.col("label") % 7).cast("string")).alias("task_id")).distinct()
+
+
+@register("delete_tasks")
+def q_delete_tasks(spark, sf_dir):
+    """Per task id (requested or stored): whether anything was removed, and rows left."""
+    store = tb.vectors(spark, sf_dir)
+    req = _delete_requests(spark, sf_dir)
+    remaining, flags = st.delete_tasks(store, req)
+    left = remaining.groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_remaining"))
+    ids = req.unionByName(store.select("task_id")).distinct()
+    return (ids.join(flags, "task_id", "left").join(left, "task_id", "left")
+            .select("task_id", F.coalesce("removed", F.lit(False)).alias("removed"),
+                    F.coalesce("n_remaining", F.lit(0)).cast("long").alias("n_remaining")))
+
+
+@register("export_docs")
+def q_export_docs(spark, sf_dir):
+    return st.export_docs(tb.vectors(spark, sf_dir))
+
+
+@register("assign_vector_ids")
+def q_assign_vector_ids(spark, sf_dir):
+    """Rows with label < 5 are the stored index (ids by vec_id order), the others are appended."""
+    v = tb.vectors(spark, sf_dir).join(tb.members(spark, sf_dir).select("vec_id", "cluster_id"), "vec_id")
+    existing = st.assign_vector_ids(v.filter("cluster_id < 5").withColumnRenamed("vec_id", "src_id"),
+                                    order_col="src_id")
+    new = v.filter("cluster_id >= 5").withColumnRenamed("vec_id", "src_id")
+    appended = st.assign_vector_ids(new, existing, order_col="src_id")
+    return existing.unionByName(appended).select("task_id", "src_id", "vec_id")
+
+
+@register("lookup_vectors")
+def q_lookup_vectors(spark, sf_dir):
+    store = tb.vectors(spark, sf_dir)
+    req = store.select("task_id", (F.col("vec_id") + 5).alias("vec_id"))
+    out = st.lookup_vectors(store, req)
+    return out.select("task_id", "vec_id", "chunk_id", "content", r6arr("vec").alias("vec"))

@@ -87,3 +87,267 @@ def evidence_line_expr(prefix: str = "") -> str:
 sql("evidence_lines", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
 SELECT query_id, CAST(rank AS BIGINT) AS rank, {evidence_line_expr()} AS line
 FROM graded_f2""")
+
+
+# ---------------------------------------------------------------- text bindings
+TRANSCRIPTS = """
+transcripts AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS task_id, text, lang FROM documents)"""
+
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def seg_list_expr(col: str = "text") -> str:
+    """B1 twin: marker replacement (no look-behind in RE2), one split, strip, drop empties."""
+    marked = (f"regexp_replace(regexp_replace(regexp_replace({col}, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), "
+              f"'([.!?])\\s*\\n\\s*', '\\1' || chr(1), 'g'), '\\n\\s*\\n', chr(1), 'g')")
+    return (f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s, {WS})), "
+            f"lambda s: s <> '')")
+
+
+SEGMENTS = f"""
+seg_lists AS (SELECT task_id, {seg_list_expr()} AS segs FROM transcripts),
+segments AS (
+  SELECT task_id, CAST(i AS BIGINT) AS seg_no, segs[i + 1] AS text
+  FROM (SELECT task_id, segs, unnest(range(len(segs))) AS i FROM seg_lists))"""
+
+HEX = "'0123456789abcdef'"
+
+
+def padded_expr(col: str) -> str:
+    return f"(' ' || trim(regexp_replace(lower({col}), '\\s+', ' ', 'g')) || ' ')"
+
+
+def bucket_ids_expr(p: str) -> str:
+    h = f"md5(substring({p}, i, 3))"
+    return (f"list_transform(range(1, length({p}) - 1), lambda i: "
+            f"((strpos({HEX}, substr({h}, 1, 1)) - 1) * 16 + strpos({HEX}, substr({h}, 2, 1)) - 1) % 64)")
+
+
+VEC_FROM_IDS = "list_transform(range(64), lambda b: CAST(len(list_filter(ids, lambda x: x = b)) AS DOUBLE))"
+
+
+def tri_vectors_cte(name: str, source: str, keys: str, text_col: str = "text") -> str:
+    """Trigram count vectors of ``source``'s text, keeping ``keys`` and the text."""
+    return f"""
+{name}_p AS (SELECT {keys}, {text_col}, {padded_expr(text_col)} AS p FROM {source}),
+{name}_i AS (SELECT {keys}, {text_col}, {bucket_ids_expr('p')} AS ids FROM {name}_p),
+{name} AS (SELECT {keys}, {text_col}, {VEC_FROM_IDS} AS vec FROM {name}_i)"""
+
+
+def sqn(v: str) -> str:
+    return f"list_sum(list_transform({v}, lambda x: x * x))"
+
+
+def cosine_expr(a: str, b: str) -> str:
+    return (f"CASE WHEN {sqn(a)} > 0 AND {sqn(b)} > 0 THEN list_dot_product({a}, {b}) / "
+            f"(sqrt({sqn(a)}) * sqrt({sqn(b)})) ELSE 0.0 END")
+
+
+SEG_SIMS = tri_vectors_cte("seg_vecs", "segments", "task_id, seg_no") + f""",
+seg_sims AS (
+  SELECT task_id, seg_no, text, vec, CAST(length(regexp_replace(text, '\\s+', ' ', 'g')) AS BIGINT) AS clen,
+         CASE WHEN seg_no = 0 THEN NULL ELSE {cosine_expr('pv', 'vec')} END AS sim
+  FROM (SELECT *, lag(vec) OVER (PARTITION BY task_id ORDER BY seg_no) AS pv FROM seg_vecs))"""
+
+
+def thr_expr(p: str = "f.") -> str:
+    return (f"(CASE WHEN {p}cnt < 2 THEN 0.65 ELSE greatest(0.3, least(0.9, 0.65 - 0.1 * sqrt(greatest(0.0, "
+            f"{p}s2 / {p}k - ({p}s1 / {p}k) * ({p}s1 / {p}k))))) END)")
+
+
+FOLD = f"""
+fold AS (
+  SELECT task_id, seg_no AS i, 1 AS cnt, 0 AS k, CAST(0.0 AS DOUBLE) AS s1, CAST(0.0 AS DOUBLE) AS s2,
+         CAST(clen AS BIGINT) AS len, CAST(NULL AS DOUBLE) AS thr, 0 AS grp
+  FROM seg_sims WHERE seg_no = 0
+  UNION ALL
+  SELECT task_id, i,
+         CASE WHEN ext THEN cnt + 1 ELSE 1 END, CASE WHEN ext THEN k + 1 ELSE 0 END,
+         CASE WHEN ext THEN s1 + sim ELSE 0.0 END, CASE WHEN ext THEN s2 + sim * sim ELSE 0.0 END,
+         CASE WHEN ext THEN len + 1 + clen ELSE clen END, t, CASE WHEN ext THEN grp ELSE grp + 1 END
+  FROM (SELECT f.task_id, x.seg_no AS i, f.cnt, f.k, f.s1, f.s2, f.len, f.grp, x.sim, x.clen,
+               {thr_expr()} AS t,
+               (x.sim > {thr_expr()} AND f.len + 1 + x.clen <= 2000) AS ext
+        FROM fold f JOIN seg_sims x ON x.task_id = f.task_id AND x.seg_no = f.i + 1)),
+groups AS (SELECT task_id, grp, min(i) AS first_i, max(i) AS last_i FROM fold GROUP BY task_id, grp),
+chunk_rows AS (
+  SELECT g.task_id, g.grp, g.first_i AS seg_start, f.cnt AS segment_count, f.len,
+         CASE WHEN nx.i IS NOT NULL THEN nx.thr ELSE coalesce(f.thr, 0.65) END AS thr
+  FROM groups g JOIN fold f ON f.task_id = g.task_id AND f.i = g.last_i
+  LEFT JOIN fold nx ON nx.task_id = g.task_id AND nx.i = g.last_i + 1),
+kept AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY grp) - 1 AS chunk_index
+         FROM chunk_rows WHERE len >= 100),
+chunks0 AS (
+  SELECT k.task_id, k.chunk_index, k.seg_start, k.segment_count, k.thr,
+         trim(regexp_replace(string_agg(s.text, ' ' ORDER BY s.seg_no), '\\s+', ' ', 'g')) AS content
+  FROM kept k JOIN segments s ON s.task_id = k.task_id AND s.seg_no >= k.seg_start
+                             AND s.seg_no < k.seg_start + k.segment_count
+  GROUP BY k.task_id, k.chunk_index, k.seg_start, k.segment_count, k.thr),
+chunks AS (
+  SELECT task_id, task_id || '_semantic_chunk_' || CAST(chunk_index AS VARCHAR) AS chunk_id,
+         CAST(chunk_index AS BIGINT) AS chunk_index, CAST(seg_start AS BIGINT) AS seg_start,
+         CAST(segment_count AS BIGINT) AS segment_count, CAST(len(string_split(content, ' ')) AS BIGINT) AS word_count,
+         CAST(length(content) AS BIGINT) AS character_count, thr AS similarity_threshold_used, content
+  FROM chunks0)"""
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes)
+
+
+CHUNK_CTES = (TRANSCRIPTS, SEGMENTS, SEG_SIMS, FOLD)
+
+sql("split_segments", with_(TRANSCRIPTS, SEGMENTS) + """
+SELECT task_id, seg_no, text, CAST(length(text) AS BIGINT) AS n_chars FROM segments""")
+
+sql("merge_text", with_(TRANSCRIPTS, SEGMENTS) + """
+, merged AS (SELECT task_id, trim(regexp_replace(array_to_string(segs, ' '), '\\s+', ' ', 'g')) AS m FROM seg_lists)
+SELECT task_id, CAST(length(m) AS BIGINT) AS merged_chars, md5(m) AS merged_md5 FROM merged""")
+
+sql("content_key", with_(TRANSCRIPTS) + """
+SELECT task_id, md5(text) AS content_key FROM transcripts""")
+
+sql("contains_ci", """
+WITH words AS (SELECT CAST(item_id AS BIGINT) AS query_id, string_split_regex(trim(text), '\\s+')[1] AS word FROM benchmark)
+SELECT w.query_id, w.word, CAST(count(d.doc_id) AS BIGINT) AS n_docs
+FROM words w LEFT JOIN documents d ON contains(lower(d.text), lower(w.word))
+GROUP BY w.query_id, w.word""")
+
+sql("clip_text", with_(TRANSCRIPTS) + """
+SELECT task_id, substring(text, 1, 600) AS cut600, substring(text, 1, 400) || '...' AS cut400,
+       substring(text, 1, 200) AS cut200, substring(text, 1, 2000) AS cut2000 FROM transcripts""")
+
+sql("load_transcripts", with_(TRANSCRIPTS) + f"""
+SELECT task_id, trim(text, {WS}) AS text FROM transcripts""")
+
+sql("transcript_info", with_(TRANSCRIPTS) + f"""
+SELECT task_id,
+       CAST(CASE WHEN trim(text, {WS}) = '' THEN 0 ELSE len(string_split_regex(trim(text, {WS}), '\\s+')) END AS BIGINT)
+         AS word_count,
+       CAST(length(text) AS BIGINT) AS character_count,
+       CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END END
+            AS BIGINT) AS line_count,
+       CAST(strlen(text) + 1 AS BIGINT) AS file_size
+FROM transcripts""")
+
+sql("video_catalog", """
+WITH p AS (SELECT page_id, url, html, regexp_replace(html, '<[^>]*>', '', 'g') AS d,
+                  nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS t,
+                  nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '') AS h FROM pages)
+SELECT page_id, coalesce(t, 'Unknown Title') AS title, CAST(0 AS BIGINT) AS duration, coalesce(h, 'Unknown') AS uploader,
+       'Unknown' AS upload_date, substring(d, 1, 500) || CASE WHEN d <> '' THEN '...' ELSE '' END AS description,
+       '' AS thumbnail, url
+FROM p""")
+
+# ---------------------------------------------------------------- embedding, vector scalars
+sql("embed_texts", with_(TRANSCRIPTS, tri_vectors_cte("doc_vecs", "transcripts", "task_id")) + """
+SELECT task_id, vec FROM doc_vecs""")
+
+sql("embed_distinct", with_(TRANSCRIPTS, tri_vectors_cte("doc_vecs", "transcripts", "task_id")) + """
+SELECT task_id, md5(text) AS content_key, vec FROM doc_vecs""")
+
+sql("cache_stats", with_(TRANSCRIPTS) + """
+SELECT CAST(count(DISTINCT md5(text)) AS BIGINT) AS cache_size, CAST(64 AS BIGINT) AS embedding_dimension,
+       'hashed-trigram-64' AS model_name FROM transcripts""")
+
+PAIRS = """
+pairs AS (SELECT a.vec_id, b.vec_id AS next_id, a.vec AS vec, b.vec AS vec2
+          FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1)"""
+
+
+def norm_expr(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / (sqrt({sqn(v)}) + 1e-12))"
+
+
+def r6list(v: str) -> str:
+    return f"list_transform({v}, lambda x: round(x, 6))"
+
+
+sql("l2_normalize", with_(VECTORS) + f"""
+SELECT vec_id, {r6list(norm_expr('vec'))} AS vec FROM vectors""")
+
+sql("cosine_similarity", with_(VECTORS, PAIRS) + f"""
+SELECT vec_id, next_id, round({cosine_expr('vec', 'vec2')}, 6) AS cosine FROM pairs""")
+
+sql("inner_product_clip", with_(VECTORS, PAIRS) + f"""
+SELECT vec_id, next_id,
+       round(greatest(0.0, least(1.0, list_dot_product({norm_expr('vec')}, {norm_expr('vec2')}))), 6) AS ip01
+FROM pairs""")
+
+CENTERS = """
+centers AS (
+  SELECT label, list(m ORDER BY pos) AS center FROM (
+    SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM vectors)
+    GROUP BY label, pos)
+  GROUP BY label)"""
+
+sql("centroid", with_(VECTORS, CENTERS) + f"""
+SELECT CAST(label AS BIGINT) AS label, {r6list('center')} AS center FROM centers""")
+
+sql("blend_vectors", with_(VECTORS, CENTERS) + f"""
+, b AS (SELECT v.vec_id, list_transform(list_zip({norm_expr('v.vec')}, c.center), lambda z: z[1] + 0.5 * z[2]) AS s
+        FROM vectors v JOIN centers c ON c.label = v.label)
+SELECT vec_id, {r6list(norm_expr('s'))} AS blended FROM b""")
+
+sql("check_dimension", with_(VECTORS) + """
+SELECT CASE WHEN len(vec) = 64 THEN 'ok' ELSE 'rejected' END AS status, CAST(count(*) AS BIGINT) AS n
+FROM vectors GROUP BY 1""")
+
+sql("consecutive_similarity", with_(TRANSCRIPTS, SEGMENTS, SEG_SIMS) + """
+SELECT task_id, seg_no, round(sim, 6) AS sim_prev FROM seg_sims""")
+
+# ---------------------------------------------------------------- chunking
+sql("adaptive_threshold", with_(TRANSCRIPTS, SEGMENTS, SEG_SIMS) + """
+SELECT task_id, CAST(count(*) AS BIGINT) AS n_segments,
+       round(CASE WHEN count(*) < 2 THEN 0.65
+                  ELSE greatest(0.3, least(0.9, 0.65 - 0.1 * coalesce(stddev_pop(sim), 0.0))) END, 6) AS threshold
+FROM seg_sims GROUP BY task_id""")
+
+sql("semantic_chunks", with_rec(*CHUNK_CTES) + """
+SELECT task_id, chunk_id, chunk_index, seg_start, segment_count, word_count, character_count,
+       round(similarity_threshold_used, 6) AS similarity_threshold_used, content
+FROM chunks""")
+
+sql("chunk_stats", with_rec(*CHUNK_CTES) + """
+SELECT task_id, CAST(count(*) AS BIGINT) AS total_chunks, round(avg(word_count), 6) AS avg_chunk_size_words,
+       CAST(min(word_count) AS BIGINT) AS min_chunk_size_words, CAST(max(word_count) AS BIGINT) AS max_chunk_size_words,
+       round(avg(segment_count), 6) AS avg_segments_per_chunk, 'semantic_dynamic' AS chunking_strategy,
+       0.65 AS base_similarity_threshold
+FROM chunks GROUP BY task_id""")
+
+# ---------------------------------------------------------------- store
+sql("write_chunk_store", with_(VECTORS) + f"""
+SELECT task_id, vec_id, chunk_id, content, {r6list(norm_expr('vec'))} AS vec FROM vectors""")
+
+sql("load_chunk_store", with_(VECTORS) + """
+SELECT task_id, CAST(count(*) AS BIGINT) AS n_vectors, CAST(max(vec_id) + 1 AS BIGINT) AS next_id
+FROM vectors GROUP BY task_id""")
+
+sql("delete_tasks", with_(VECTORS) + """
+, req AS (SELECT DISTINCT 't' || CAST(label % 7 AS VARCHAR) AS task_id FROM embeddings),
+ids AS (SELECT task_id FROM req UNION SELECT task_id FROM vectors)
+SELECT i.task_id,
+       (i.task_id IN (SELECT task_id FROM req) AND i.task_id IN (SELECT task_id FROM vectors)) AS removed,
+       CAST(CASE WHEN i.task_id IN (SELECT task_id FROM req) THEN 0
+                 ELSE (SELECT count(*) FROM vectors v WHERE v.task_id = i.task_id) END AS BIGINT) AS n_remaining
+FROM ids i""")
+
+sql("export_docs", with_(VECTORS) + """
+SELECT task_id, vec_id,
+       CAST(to_json({'content': content, 'metadata': {'task_id': task_id, 'chunk_id': chunk_id}}) AS VARCHAR) AS doc_json
+FROM vectors""")
+
+sql("assign_vector_ids", with_(VECTORS) + """
+, existing AS (SELECT task_id, vec_id AS src_id,
+                      CAST(row_number() OVER (PARTITION BY task_id ORDER BY vec_id) - 1 AS BIGINT) AS vec_id
+               FROM vectors WHERE label < 5),
+nxt AS (SELECT task_id, max(vec_id) + 1 AS n FROM existing GROUP BY task_id),
+appended AS (SELECT v.task_id, v.vec_id AS src_id,
+                    CAST(coalesce(n.n, 0) + row_number() OVER (PARTITION BY v.task_id ORDER BY v.vec_id) - 1 AS BIGINT) AS vec_id
+             FROM vectors v LEFT JOIN nxt n ON n.task_id = v.task_id WHERE v.label >= 5)
+SELECT task_id, src_id, vec_id FROM existing UNION ALL SELECT task_id, src_id, vec_id FROM appended""")
+
+sql("lookup_vectors", with_(VECTORS) + f"""
+, req AS (SELECT task_id, vec_id + 5 AS vec_id FROM vectors)
+SELECT r.task_id, r.vec_id, v.chunk_id, v.content, CASE WHEN v.vec IS NULL THEN NULL ELSE {r6list('v.vec')} END AS vec
+FROM req r LEFT JOIN vectors v ON v.task_id = r.task_id AND v.vec_id = r.vec_id""")
