@@ -299,3 +299,87 @@ def q_lookup_vectors(spark, sf_dir):
     req = store.select("task_id", (F.col("vec_id") + 5).alias("vec_id"))
     out = st.lookup_vectors(store, req)
     return out.select("task_id", "vec_id", "chunk_id", "content", r6arr("vec").alias("vec"))
+
+
+# ---------------------------------------------------------------- clustering (E), cluster search
+from tessera.operators import clustering as cl  # noqa: E402
+
+
+def _vectors_with_labels(spark, sf_dir):
+    return tb.vectors(spark, sf_dir).join(tb.members(spark, sf_dir).select("vec_id", "cluster_id"), "vec_id")
+
+
+def _label_centres(spark, sf_dir):
+    """Fixed centres: mean vector per (task, label)."""
+    return em.centroid(_vectors_with_labels(spark, sf_dir), ["task_id", "cluster_id"], "vec", "center")
+
+
+@register("assign_clusters")
+def q_assign_clusters(spark, sf_dir):
+    a = cl.assign_clusters(tb.vectors(spark, sf_dir), _label_centres(spark, sf_dir))
+    return a.select("task_id", "vec_id", F.col("cluster_id").cast("long").alias("cluster_id"),
+                    r6("distance").alias("distance"))
+
+
+@register("lloyd_step")
+def q_lloyd_step(spark, sf_dir):
+    new, inertia = cl.lloyd_step(tb.vectors(spark, sf_dir), _label_centres(spark, sf_dir))
+    return new.join(inertia, "task_id").select(
+        "task_id", F.col("cluster_id").cast("long").alias("cluster_id"), "n_members",
+        r6arr("center").alias("center"), r6("inertia").alias("inertia"))
+
+
+@register("kmeans_by_task")
+def q_kmeans_by_task(spark, sf_dir):
+    members, _, _ = cl.kmeans_by_task(tb.vectors(spark, sf_dir))
+    return members.select("task_id", "vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    _, per_task = cl.silhouette(_vectors_with_labels(spark, sf_dir))
+    return per_task.select("task_id", r6("silhouette_score").alias("silhouette_score"))
+
+
+@register("cluster_members")
+def q_cluster_members(spark, sf_dir):
+    m = cl.cluster_members(tb.members(spark, sf_dir))
+    return m.select("task_id", F.col("cluster_id").cast("long").alias("cluster_id"), "n_members",
+                    "first_member", "last_member")
+
+
+def _index_meta(spark, sf_dir):
+    _, sil = cl.silhouette(_vectors_with_labels(spark, sf_dir))
+    return cl.index_metadata(tb.vectors(spark, sf_dir), tb.members(spark, sf_dir), sil)
+
+
+@register("index_metadata")
+def q_index_metadata(spark, sf_dir):
+    m = _index_meta(spark, sf_dir)
+    return m.drop("created_at").withColumn("silhouette_score", r6("silhouette_score"))
+
+
+@register("index_statistics")
+def q_index_statistics(spark, sf_dir):
+    s = cl.index_statistics(_index_meta(spark, sf_dir), _delete_requests(spark, sf_dir))
+    return s.withColumn("silhouette_score", r6("silhouette_score"))
+
+
+def text_corpus(spark, sf_dir):
+    """Chunks of all documents as one corpus (task 'all'), fixed clusters chunk_index % 5."""
+    c = _chunks(spark, sf_dir)
+    return c.select(F.lit("all").alias("task_id"), "chunk_id", "chunk_index", "content",
+                    (F.col("chunk_index") % 5).cast("int").alias("cluster_id"))
+
+
+def first_word_queries(spark, sf_dir):
+    q = tb.text_queries(spark, sf_dir)
+    return q.select("query_id", "task_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("query"))
+
+
+@register("search_by_cluster")
+def q_search_by_cluster(spark, sf_dir):
+    corpus = text_corpus(spark, sf_dir)
+    hits = cl.search_by_cluster(first_word_queries(spark, sf_dir), corpus.drop("cluster_id"),
+                                corpus.select("task_id", "chunk_id", "cluster_id"))
+    return hits.select("query_id", "chunk_id", F.col("cluster_id").cast("long").alias("cluster_id"), "match_type")

@@ -351,3 +351,86 @@ sql("lookup_vectors", with_(VECTORS) + f"""
 , req AS (SELECT task_id, vec_id + 5 AS vec_id FROM vectors)
 SELECT r.task_id, r.vec_id, v.chunk_id, v.content, CASE WHEN v.vec IS NULL THEN NULL ELSE {r6list('v.vec')} END AS vec
 FROM req r LEFT JOIN vectors v ON v.task_id = r.task_id AND v.vec_id = r.vec_id""")
+
+
+# ---------------------------------------------------------------- clustering
+TASK_CENTERS = """
+task_centers AS (
+  SELECT task_id, label AS cluster_id, list(m ORDER BY pos) AS center FROM (
+    SELECT task_id, label, pos, avg(x) AS m
+    FROM (SELECT task_id, label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM vectors)
+    GROUP BY task_id, label, pos)
+  GROUP BY task_id, label)"""
+
+
+def sqdist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+ASSIGNED = f"""
+dists AS (SELECT v.task_id, v.vec_id, v.vec, c.cluster_id, {sqdist('v.vec', 'c.center')} AS d2
+          FROM vectors v JOIN task_centers c ON c.task_id = v.task_id),
+assigned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, vec_id ORDER BY d2, cluster_id) AS r
+                            FROM dists) WHERE r = 1)"""
+
+sql("assign_clusters", with_(VECTORS, TASK_CENTERS, ASSIGNED) + """
+SELECT task_id, vec_id, CAST(cluster_id AS BIGINT) AS cluster_id, round(sqrt(d2), 6) AS distance FROM assigned""")
+
+sql("lloyd_step", with_(VECTORS, TASK_CENTERS, ASSIGNED) + f"""
+, moved AS (
+  SELECT task_id, cluster_id, list(m ORDER BY pos) AS center FROM (
+    SELECT task_id, cluster_id, pos, avg(x) AS m
+    FROM (SELECT task_id, cluster_id, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM assigned)
+    GROUP BY task_id, cluster_id, pos)
+  GROUP BY task_id, cluster_id),
+cnt AS (SELECT task_id, cluster_id, count(*) AS n FROM assigned GROUP BY task_id, cluster_id),
+inertia AS (SELECT task_id, sum(d2) AS inertia FROM assigned GROUP BY task_id)
+SELECT c.task_id, CAST(c.cluster_id AS BIGINT) AS cluster_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_members,
+       {r6list('coalesce(m.center, c.center)')} AS center, round(i.inertia, 6) AS inertia
+FROM task_centers c LEFT JOIN moved m USING (task_id, cluster_id) LEFT JOIN cnt n USING (task_id, cluster_id)
+JOIN inertia i USING (task_id)""")
+
+SILHOUETTE = f"""
+pair_d AS (SELECT a.task_id, a.vec_id, a.label AS own, b.label AS other, sqrt({sqdist('a.vec', 'b.vec')}) AS d
+           FROM vectors a JOIN vectors b ON a.task_id = b.task_id AND a.vec_id <> b.vec_id),
+per_cluster AS (SELECT task_id, vec_id, own, other, avg(d) AS md FROM pair_d GROUP BY ALL),
+per_point AS (SELECT task_id, vec_id, max(CASE WHEN own = other THEN md END) AS a,
+                     min(CASE WHEN own <> other THEN md END) AS b FROM per_cluster GROUP BY task_id, vec_id),
+point_s AS (SELECT v.task_id, v.vec_id,
+                   CASE WHEN p.a IS NULL OR p.b IS NULL THEN 0.0
+                        WHEN greatest(p.a, p.b) > 0 THEN (p.b - p.a) / greatest(p.a, p.b) ELSE 0.0 END AS s
+            FROM vectors v LEFT JOIN per_point p USING (task_id, vec_id)),
+sil AS (SELECT task_id, avg(s) AS silhouette_score FROM point_s GROUP BY task_id)"""
+
+sql("silhouette", with_(VECTORS, SILHOUETTE) + """
+SELECT task_id, round(silhouette_score, 6) AS silhouette_score FROM sil""")
+
+sql("cluster_members", with_(VECTORS) + """
+SELECT task_id, CAST(label AS BIGINT) AS cluster_id, CAST(count(*) AS BIGINT) AS n_members,
+       min(chunk_id) AS first_member, max(chunk_id) AS last_member
+FROM vectors GROUP BY task_id, label""")
+
+INDEX_META = """
+index_meta AS (
+  SELECT v.task_id, CAST(count(*) AS BIGINT) AS total_chunks, 'hashed-trigram-64' AS embedding_model,
+         CAST(max(len(v.vec)) AS BIGINT) AS embedding_dimension, CAST(512 AS BIGINT) AS chunk_size,
+         CAST(64 AS BIGINT) AS chunk_overlap, CAST(count(DISTINCT v.label) AS BIGINT) AS n_clusters,
+         any_value(s.silhouette_score) AS silhouette_score, 'exact-inner-product' AS index_type
+  FROM vectors v LEFT JOIN sil s USING (task_id) GROUP BY v.task_id)"""
+
+sql("index_metadata", with_(VECTORS, SILHOUETTE, INDEX_META) + """
+SELECT task_id, total_chunks, embedding_model, embedding_dimension, chunk_size, chunk_overlap, n_clusters,
+       round(silhouette_score, 6) AS silhouette_score, index_type FROM index_meta""")
+
+sql("index_statistics", with_(VECTORS, SILHOUETTE, INDEX_META) + """
+, req AS (SELECT DISTINCT 't' || CAST(label % 7 AS VARCHAR) AS task_id FROM embeddings)
+SELECT task_id, total_chunks, embedding_model, chunk_size, chunk_overlap, n_clusters,
+       round(coalesce(silhouette_score, 0.0), 6) AS silhouette_score, index_type
+FROM index_meta WHERE task_id IN (SELECT task_id FROM req)""")
+
+WORDS = """
+words AS (SELECT CAST(item_id AS BIGINT) AS query_id, string_split_regex(trim(text), '\\s+')[1] AS word FROM benchmark)"""
+
+sql("search_by_cluster", with_rec(*CHUNK_CTES, WORDS) + """
+SELECT w.query_id, c.chunk_id, CAST(c.chunk_index % 5 AS BIGINT) AS cluster_id, 'text' AS match_type
+FROM chunks c JOIN words w ON contains(lower(c.content), lower(w.word))""")
