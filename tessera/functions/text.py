@@ -56,7 +56,7 @@ def question_line(c, prefix_chars: int = 200) -> Column:
     """Rest of the first line starting with ``q:`` (any case); else the first 200 characters."""
     c = _col(c)
     lines = F.split(c, LINE_BREAKS, -1)
-    hit = F.element_at(F.filter(lines, lambda l: F.lower(strip(l)).startswith("q:")), 1)
+    hit = F.try_element_at(F.filter(lines, lambda l: F.lower(strip(l)).startswith("q:")), F.lit(1))
     q = strip(F.substring(strip(hit), 3, 1 << 30))
     return F.coalesce(F.nullif(q, F.lit("")), F.substring(c, 1, prefix_chars))
 

@@ -45,7 +45,7 @@ def threshold_expr(cnt, k, s1, s2, base: float) -> "F.Column":
 
 def _fold(steps, base: float, max_chars: int):
     """Left-to-right chunk fold over ``array<struct<seg_no, sim, clen>>`` (sorted, non-empty)."""
-    first = F.element_at(steps, 1)
+    first = F.try_element_at(steps, F.lit(1))
     init = F.struct(
         first["seg_no"].cast("int").alias("start"), F.lit(1).alias("cnt"), F.lit(0).alias("k"),
         F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), first["clen"].cast("int").alias("len"),

@@ -383,3 +383,123 @@ def q_search_by_cluster(spark, sf_dir):
     hits = cl.search_by_cluster(first_word_queries(spark, sf_dir), corpus.drop("cluster_id"),
                                 corpus.select("task_id", "chunk_id", "cluster_id"))
     return hits.select("query_id", "chunk_id", F.col("cluster_id").cast("long").alias("cluster_id"), "match_type")
+
+
+# ---------------------------------------------------------------- text corpus retrieval (F3), memory
+from tessera.operators import memory as mm  # noqa: E402
+
+
+def corpus_store(spark, sf_dir):
+    """Text corpus as a vector store: (task_id, vec_id, chunk_id, content, vec) plus members."""
+    c = text_corpus(spark, sf_dir)
+    c = c.withColumn("vec_id", (F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") * 100000
+                                + F.col("chunk_index")).cast("long"))
+    c = c.withColumn("vec", em.DEFAULT_EMBEDDER.vector(F.col("content")))
+    return c
+
+
+def _text_hits(spark, sf_dir, queries, store=None, k=5, threshold=0.0):
+    store = store if store is not None else corpus_store(spark, sf_dir)
+    q = em.DEFAULT_EMBEDDER.embed(queries, "query", ["query_id", "task_id"], "qvec")
+    return rt.search_similar(q, store, store.select("task_id", "chunk_id", "cluster_id"), k=k, threshold=threshold)
+
+
+@register("retrieve")
+def q_retrieve(spark, sf_dir):
+    h = _text_hits(spark, sf_dir, tb.text_queries(spark, sf_dir))
+    return h.select("query_id", "chunk_id", r6("similarity_score").alias("similarity_score"),
+                    r6("index_similarity").alias("index_similarity"),
+                    F.col("cluster_id").cast("long").alias("cluster_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("ingest_summary")
+def q_ingest_summary(spark, sf_dir):
+    return ev.ingest_summary(_chunks(spark, sf_dir))
+
+
+def memory_table(spark, sf_dir):
+    """Per key: an ingest_summary at seq 0, then a query and a qa entry per user turn."""
+    ut = tb.user_turns(spark, sf_dir)
+    summary = ut.select("memory_key").distinct().select(
+        "memory_key", F.lit(0).cast("long").alias("seq"), F.lit("ingest_summary").alias("type"),
+        F.lit("").alias("text"), F.lit(None).cast("array<double>").alias("vec"))
+    return summary.unionByName(mm.qa_memory_rows(ut))
+
+
+@register("qa_memory_rows")
+def q_qa_memory_rows(spark, sf_dir):
+    return mm.qa_memory_rows(tb.user_turns(spark, sf_dir))
+
+
+@register("memory_append")
+def q_memory_append(spark, sf_dir):
+    m = memory_table(spark, sf_dir)
+    base = m.filter(F.col("seq") == 0)
+    new = m.filter(F.col("seq") > 0).withColumn("ord", F.col("seq")).drop("seq")
+    out = mm.memory_append(base, new)
+    return out.select("memory_key", "seq", "type", "text")
+
+
+@register("memory_recent")
+def q_memory_recent(spark, sf_dir):
+    return mm.memory_recent(memory_table(spark, sf_dir), 10).select("memory_key", "seq", "type", "text")
+
+
+@register("question_line")
+def q_question_line(spark, sf_dir):
+    m = memory_table(spark, sf_dir).filter(F.col("type").isin("query", "qa"))
+    return m.select("memory_key", "seq", tx.question_line("text").alias("question"))
+
+
+def _turn_queries(spark, sf_dir):
+    ut = tb.user_turns(spark, sf_dir)
+    return em.DEFAULT_EMBEDDER.embed(ut, "query", ["query_id", "task_id", "memory_key", "pos", "query"], "qvec")
+
+
+def _candidates(spark, sf_dir):
+    return mm.memory_candidates(_turn_queries(spark, sf_dir), memory_table(spark, sf_dir))
+
+
+@register("memory_candidates")
+def q_memory_candidates(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    return c.select("query_id", "seq", "type", r6("sim").alias("sim"), F.col("pick").cast("long").alias("pick"))
+
+
+def _centroid_hits(spark, sf_dir, store):
+    return mm.centroid_retrieve(_turn_queries(spark, sf_dir), _candidates(spark, sf_dir), store,
+                                store.select("task_id", "chunk_id", "cluster_id"))
+
+
+def _sub_hits(spark, sf_dir, store):
+    return mm.subquery_retrieve(_candidates(spark, sf_dir), tb.user_turns(spark, sf_dir), store,
+                                store.select("task_id", "chunk_id", "cluster_id"))
+
+
+@register("centroid_retrieve")
+def q_centroid_retrieve(spark, sf_dir):
+    h = _centroid_hits(spark, sf_dir, corpus_store(spark, sf_dir))
+    return h.select("query_id", "chunk_id", r6("similarity_score").alias("similarity_score"),
+                    F.col("rank").cast("long").alias("rank"))
+
+
+@register("subquery_retrieve")
+def q_subquery_retrieve(spark, sf_dir):
+    h = _sub_hits(spark, sf_dir, corpus_store(spark, sf_dir))
+    return h.select("query_id", F.col("pick").cast("long").alias("pick"), "chunk_id",
+                    r6("similarity_score").alias("similarity_score"), F.col("rank").cast("long").alias("rank"))
+
+
+def merged_hits(spark, sf_dir):
+    store = corpus_store(spark, sf_dir)
+    base = _text_hits(spark, sf_dir, tb.user_turns(spark, sf_dir), store).withColumn("src_ord", F.lit(0))
+    cen = _centroid_hits(spark, sf_dir, store).withColumn("src_ord", F.lit(1))
+    sub = _sub_hits(spark, sf_dir, store).withColumn("src_ord", F.col("pick") + 1).drop("pick")
+    return mm.merge_hits(base, cen, sub)
+
+
+@register("merge_hits")
+def q_merge_hits(spark, sf_dir):
+    m = merged_hits(spark, sf_dir)
+    return m.select("query_id", "chunk_id", r6("similarity_score").alias("similarity_score"),
+                    F.col("ord").cast("long").alias("ord"))

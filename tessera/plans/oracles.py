@@ -434,3 +434,148 @@ words AS (SELECT CAST(item_id AS BIGINT) AS query_id, string_split_regex(trim(te
 sql("search_by_cluster", with_rec(*CHUNK_CTES, WORDS) + """
 SELECT w.query_id, c.chunk_id, CAST(c.chunk_index % 5 AS BIGINT) AS cluster_id, 'text' AS match_type
 FROM chunks c JOIN words w ON contains(lower(c.content), lower(w.word))""")
+
+
+# ---------------------------------------------------------------- text corpus, memory
+def nrm(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / (sqrt({sqn(v)}) + 1e-12))"
+
+
+CORPUS = tri_vectors_cte("corpus_vecs", """(SELECT 'all' AS task_id,
+       CAST(substring(task_id, 5) AS BIGINT) * 100000 + chunk_index AS vec_id, chunk_id,
+       CAST(chunk_index % 5 AS INTEGER) AS cluster_id, content FROM chunks)""",
+                         "task_id, vec_id, chunk_id, cluster_id", "content") + f""",
+corpus_n AS (SELECT task_id, vec_id, chunk_id, cluster_id, content, {nrm('vec')} AS vn FROM corpus_vecs),
+corpus AS (SELECT *, {nrm('vn')} AS vnn FROM corpus_n)"""
+
+
+def query_vecs_cte(name: str, source: str, keys: str, text_col: str = "query") -> str:
+    """Queries embedded and normalised once (qn) and twice (qnn), as the search does."""
+    return tri_vectors_cte(f"{name}_v", source, keys, text_col) + f""",
+{name}_n AS (SELECT *, {nrm('vec')} AS qn FROM {name}_v),
+{name} AS (SELECT *, {nrm('qn')} AS qnn FROM {name}_n)"""
+
+
+def search_cte(name: str, queries: str, k: int, thr: float, qkeys: str = "q.query_id") -> str:
+    return f"""
+{name}_raw AS (
+  SELECT {qkeys}, c.task_id, c.vec_id, c.chunk_id, c.cluster_id, c.content,
+         list_dot_product(q.qn, c.vn) AS raw,
+         greatest(0.0, least(1.0, list_dot_product(q.qn, c.vn))) AS index_similarity,
+         greatest(0.0, least(1.0, list_dot_product(q.qnn, c.vnn))) AS similarity_score
+  FROM {queries} q JOIN corpus c ON c.task_id = q.task_id),
+{name}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rk
+                              FROM {name}_raw) WHERE rk <= {k}),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id) AS rank
+           FROM {name}_top WHERE similarity_score >= {thr})"""
+
+
+BENCH_Q = query_vecs_cte("bench_q", "(SELECT CAST(item_id AS BIGINT) AS query_id, 'all' AS task_id, text AS query FROM benchmark)",
+                         "query_id, task_id")
+
+sql("retrieve", with_rec(*CHUNK_CTES, CORPUS, BENCH_Q, search_cte("hits", "bench_q", 5, 0.0)) + """
+SELECT query_id, chunk_id, round(similarity_score, 6) AS similarity_score, round(index_similarity, 6) AS index_similarity,
+       CAST(cluster_id AS BIGINT) AS cluster_id, CAST(rank AS BIGINT) AS rank FROM hits""")
+
+sql("ingest_summary", with_rec(*CHUNK_CTES) + """
+SELECT task_id, string_agg(substring(content, 1, 400) || '...', '' ORDER BY chunk_index) AS text,
+       'ingest_summary' AS type
+FROM chunks WHERE chunk_index < 3 GROUP BY task_id""")
+
+UTURNS = """
+uturns AS (
+  SELECT CAST(u.conv_id * 100 + u.turn AS BIGINT) AS query_id, 'all' AS task_id,
+         'm' || CAST(u.conv_id % 10 AS VARCHAR) AS memory_key, u.conv_id, u.turn, u.text AS query,
+         coalesce(a.text, '') AS answer
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+upos AS (SELECT *, CAST(2 * (row_number() OVER (PARTITION BY memory_key ORDER BY conv_id, turn) - 1) AS BIGINT) AS pos
+         FROM uturns)"""
+
+MEMORY = UTURNS + """,
+qa_rows AS (
+  SELECT memory_key, pos + 1 AS seq, 'query' AS type, query AS text FROM upos
+  UNION ALL
+  SELECT memory_key, pos + 2 AS seq, 'qa' AS type, 'Q: ' || query || chr(10) || 'A: ' || answer AS text FROM upos),
+""" + tri_vectors_cte("qa_vecs", "qa_rows", "memory_key, seq, type") + """,
+memory AS (
+  SELECT DISTINCT memory_key, CAST(0 AS BIGINT) AS seq, 'ingest_summary' AS type, '' AS text,
+         CAST(NULL AS DOUBLE[]) AS vec FROM upos
+  UNION ALL SELECT memory_key, CAST(seq AS BIGINT), type, text, vec FROM qa_vecs)"""
+
+sql("qa_memory_rows", with_(MEMORY) + """
+SELECT memory_key, CAST(seq AS BIGINT) AS seq, type, text, vec FROM qa_vecs""")
+
+sql("memory_append", with_(MEMORY) + """
+SELECT memory_key, seq, type, text FROM memory""")
+
+sql("memory_recent", with_(MEMORY) + """
+SELECT memory_key, seq, type, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY memory_key ORDER BY seq DESC) AS r FROM memory) WHERE r <= 10""")
+
+
+def question_line_sql(col: str) -> str:
+    hit = f"list_filter(string_split({col}, chr(10)), lambda l: starts_with(lower(trim(l, {WS})), 'q:'))[1]"
+    return f"coalesce(nullif(trim(substring(trim({hit}, {WS}), 3), {WS}), ''), substring({col}, 1, 200))"
+
+
+sql("question_line", with_(MEMORY) + f"""
+SELECT memory_key, seq, {question_line_sql('text')} AS question FROM memory WHERE type IN ('query', 'qa')""")
+
+TURN_Q = query_vecs_cte("turn_q", "upos", "query_id, task_id, memory_key, pos")
+
+CANDS = f"""
+cands AS (
+  SELECT q.query_id, q.qn, m.memory_key, m.seq, m.type, m.text, m.vec,
+         greatest(0.0, least(1.0, list_dot_product(q.qn, {nrm('m.vec')}))) AS sim
+  FROM turn_q q JOIN memory m ON m.memory_key = q.memory_key AND m.seq <= q.pos AND m.seq > q.pos - 20
+  WHERE m.type IN ('query', 'qa') AND m.vec IS NOT NULL),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS pick
+                          FROM cands WHERE sim >= 0.5) WHERE pick <= 2)"""
+
+MEM_BASE = (MEMORY, TURN_Q, CANDS)
+
+sql("memory_candidates", with_(*MEM_BASE) + """
+SELECT query_id, seq, type, round(sim, 6) AS sim, CAST(pick AS BIGINT) AS pick FROM picked""")
+
+CENTROID_Q = f"""
+pmean AS (
+  SELECT query_id, list(m ORDER BY pos) AS mv FROM (
+    SELECT query_id, pos, avg(x) AS m FROM (
+      SELECT query_id, unnest(nv) AS x, unnest(range(len(nv))) AS pos FROM (SELECT query_id, {nrm('vec')} AS nv FROM picked))
+    GROUP BY query_id, pos)
+  GROUP BY query_id),
+cq0 AS (SELECT q.query_id, q.task_id,
+               {nrm("list_transform(list_zip(q.qn, p.mv), lambda z: z[1] + 0.5 * z[2])")} AS blended
+        FROM turn_q q JOIN pmean p USING (query_id)),
+cq1 AS (SELECT query_id, task_id, {nrm('blended')} AS qn FROM cq0),
+cen_q AS (SELECT *, {nrm('qn')} AS qnn FROM cq1)"""
+
+SUB_Q = """
+subq_src AS (SELECT p.query_id * 100 + p.pick AS query_id, p.query_id AS parent_id, p.pick, 'all' AS task_id, """ + \
+    question_line_sql("p.text") + """ AS query FROM picked p),
+""" + query_vecs_cte("sub_q", "(SELECT * FROM subq_src WHERE query <> '')", "query_id, parent_id, pick, task_id")
+
+sql("centroid_retrieve", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, CENTROID_Q, search_cte("cen_hits", "cen_q", 5, 0.0)) + """
+SELECT query_id, chunk_id, round(similarity_score, 6) AS similarity_score, CAST(rank AS BIGINT) AS rank FROM cen_hits""")
+
+sql("subquery_retrieve", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, SUB_Q,
+                                  search_cte("sub_hits", "sub_q", 2, 0.0, "q.query_id, q.parent_id, q.pick")) + """
+SELECT parent_id AS query_id, CAST(pick AS BIGINT) AS pick, chunk_id, round(similarity_score, 6) AS similarity_score,
+       CAST(rank AS BIGINT) AS rank FROM sub_hits""")
+
+MERGED = (search_cte("base_hits", "turn_q", 5, 0.0) + "," + CENTROID_Q + "," + search_cte("cen_hits", "cen_q", 5, 0.0) + ","
+          + SUB_Q + "," + search_cte("sub_hits", "sub_q", 2, 0.0, "q.query_id, q.parent_id, q.pick") + """,
+all_hits AS (
+  SELECT query_id, chunk_id, content, cluster_id, similarity_score, index_similarity, rank, 0 AS src_ord FROM base_hits
+  UNION ALL SELECT query_id, chunk_id, content, cluster_id, similarity_score, index_similarity, rank, 1 FROM cen_hits
+  UNION ALL SELECT parent_id, chunk_id, content, cluster_id, similarity_score, index_similarity, rank, 1 + pick FROM sub_hits),
+best_hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id
+                                                         ORDER BY similarity_score DESC, src_ord, rank) AS r
+                            FROM all_hits WHERE chunk_id IS NOT NULL AND chunk_id <> '') WHERE r = 1),
+first_seen AS (SELECT query_id, chunk_id, min(src_ord * 1000 + rank) AS f FROM all_hits GROUP BY query_id, chunk_id),
+merged AS (SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY b.similarity_score DESC, s.f) AS ord
+           FROM best_hit b JOIN first_seen s USING (query_id, chunk_id))""")
+
+sql("merge_hits", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + """
+SELECT query_id, chunk_id, round(similarity_score, 6) AS similarity_score, CAST(ord AS BIGINT) AS ord FROM merged""")
