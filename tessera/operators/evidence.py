@@ -148,3 +148,17 @@ def attach_completions(prompts: DataFrame, completions: DataFrame, key: str = "r
     return (j.withColumn("completion", F.when(F.col("_ce").isNull(), F.coalesce(F.col("_ct"), F.lit("")))
                          .otherwise(F.lit("")))
             .withColumn("completion_error", err).drop("_ct", "_ce"))
+
+
+def retrieval_report(hits: DataFrame) -> DataFrame:
+    """one formatted line per hit: id, rank, sim, index score, grade (or -), cluster (or -)."""
+    grade = (F.when(F.col("grade").isNotNull(), F.format_string("%.2f", F.col("grade")))
+             if "grade" in hits.columns else F.lit(None).cast("string"))
+    line = F.concat(F.lit("  - id="), F.coalesce(F.col("chunk_id"), F.lit("")),
+                    F.lit(" rank="), F.coalesce(F.col("rank").cast("string"), F.lit("-")),
+                    F.lit(" sim="), F.format_string("%.3f", F.coalesce(F.col("similarity_score"), F.lit(0.0))),
+                    F.lit(" faiss="), F.coalesce(F.when(F.col("index_similarity").isNotNull(),
+                                                        F.format_string("%.3f", F.col("index_similarity"))), F.lit("-")),
+                    F.lit(" grade="), F.coalesce(grade, F.lit("-")),
+                    F.lit(" cl="), F.coalesce(F.col("cluster_id").cast("string"), F.lit("-")))
+    return hits.withColumn("report_line", line)

@@ -503,3 +503,197 @@ def q_merge_hits(spark, sf_dir):
     m = merged_hits(spark, sf_dir)
     return m.select("query_id", "chunk_id", r6("similarity_score").alias("similarity_score"),
                     F.col("ord").cast("long").alias("ord"))
+
+
+# ---------------------------------------------------------------- corrective (G), evidence (H2-H6, H9), routing (I), report
+from tessera.operators import corrective as cr  # noqa: E402
+from tessera.operators import routing as ro  # noqa: E402
+
+
+def _strips(spark, sf_dir, k=10):
+    """Graded-strip binding: F1 hits with k = 10 on the vectors, ord = rank, content attached."""
+    hits = rt.vector_topk(tb.vector_queries(spark, sf_dir), tb.vectors(spark, sf_dir), k=k)
+    meta = tb.vectors(spark, sf_dir).select("task_id", "vec_id", "chunk_id", "content")
+    return (hits.join(meta, ["task_id", "vec_id"])
+            .withColumn("ord", F.col("rank").cast("long")).withColumn("score", F.col("similarity_score")))
+
+
+def _formula_grade():
+    return ((F.col("vec_id") * 37) % 101) / 100.0
+
+
+@register("grading_prompts")
+def q_grading_prompts(spark, sf_dir):
+    q = tb.vector_queries(spark, sf_dir).select("query_id", F.concat(F.lit("vec "), F.col("query_id").cast("string"))
+                                                .alias("query"))
+    return cr.grading_prompts(q, _strips(spark, sf_dir))
+
+
+@register("parse_grades")
+def q_parse_grades(spark, sf_dir):
+    g = cr.parse_grades(tb.grade_completions(spark, sf_dir))
+    return g.select("request_id", "elem", "chunk_id", r6("grade").alias("grade"), "reason")
+
+
+@register("align_grades")
+def q_align_grades(spark, sf_dir):
+    s = _strips(spark, sf_dir)
+    g1 = s.filter(F.col("vec_id") % 3 != 0).select("query_id", "chunk_id", F.col("rank").alias("elem"),
+                                                   _formula_grade().alias("grade"),
+                                                   F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("reason"))
+    g2 = s.filter(F.col("vec_id") % 4 == 0).select("query_id", "chunk_id", (F.col("rank") + 100).alias("elem"),
+                                                   (_formula_grade() / 2).alias("grade"), F.lit("again").alias("reason"))
+    a = cr.align_grades(s, g1.unionByName(g2))
+    return a.select("query_id", "chunk_id", "ord", r6("grade").alias("grade"), "grade_reason")
+
+
+@register("lexical_grades")
+def q_lexical_grades(spark, sf_dir):
+    q = tb.text_queries(spark, sf_dir)
+    hits = _text_hits(spark, sf_dir, q)
+    g = cr.lexical_grades(q, hits)
+    return g.select("query_id", "chunk_id", r6("grade").alias("grade"))
+
+
+def _formula_graded(spark, sf_dir):
+    return _strips(spark, sf_dir).withColumn("grade", _formula_grade())
+
+
+@register("needs_correction")
+def q_needs_correction(spark, sf_dir):
+    g = _formula_graded(spark, sf_dir)
+    weak = cr.needs_correction(g).select("query_id", F.lit(True).alias("_w"))
+    best = g.groupBy("query_id").agg(F.max("grade").alias("best_grade"))
+    return best.join(weak, "query_id", "left").select(
+        "query_id", r6("best_grade").alias("best_grade"), F.coalesce("_w", F.lit(False)).alias("needs_correction"))
+
+
+@register("rewrite_prompts")
+def q_rewrite_prompts(spark, sf_dir):
+    return cr.rewrite_prompts(tb.user_turns(spark, sf_dir))
+
+
+@register("parse_rewrites")
+def q_parse_rewrites(spark, sf_dir):
+    return cr.parse_rewrites(tb.rewrite_completions(spark, sf_dir))
+
+
+@register("keyword_rewrites")
+def q_keyword_rewrites(spark, sf_dir):
+    return cr.keyword_rewrites(tb.user_turns(spark, sf_dir))
+
+
+@register("corrective_merge")
+def q_corrective_merge(spark, sf_dir):
+    """Graded = top-5 of each query; rewrites = the vectors of ids +5 and +10 (same task)."""
+    vq = tb.vector_queries(spark, sf_dir)
+    v = tb.vectors(spark, sf_dir)
+    graded = _strips(spark, sf_dir, k=5)
+    rw = []
+    for no, off in ((1, 5), (2, 10)):
+        q = vq.select((F.col("query_id") - off).alias("query_id"), "task_id", "qvec").filter(F.col("query_id") >= 0)
+        h = rt.vector_topk(q, v, k=5).join(v.select("task_id", "vec_id", "chunk_id", "content"), ["task_id", "vec_id"])
+        rw.append(h.withColumn("rewrite_no", F.lit(no)))
+    m = cr.corrective_merge(graded, rw[0].unionByName(rw[1]))
+    return m.select("query_id", "chunk_id", "ord")
+
+
+@register("select_strips")
+def q_select_strips(spark, sf_dir):
+    s = cr.select_strips(_formula_graded(spark, sf_dir), 5)
+    return s.select("query_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+def corrective_text(spark, sf_dir, store=None):
+    """One corrective round over benchmark questions: lexical grades, keyword rewrites."""
+    store = store if store is not None else corpus_store(spark, sf_dir)
+    q = tb.text_queries(spark, sf_dir)
+    first = _text_hits(spark, sf_dir, q, store).withColumn("ord", F.col("rank").cast("long")) \
+        .withColumn("score", F.col("similarity_score"))
+    graded = cr.lexical_grades(q, first)
+
+    def retrieve(rw):
+        r = rw.withColumn("_rid", F.col("query_id") * 10 + F.col("rewrite_no"))
+        hits = _text_hits(spark, sf_dir, r.select(F.col("_rid").alias("query_id"), "task_id",
+                                                  F.col("rewrite").alias("query")), store)
+        return (hits.withColumn("rewrite_no", F.col("query_id") % 10)
+                .withColumn("query_id", (F.col("query_id") / 10).cast("long")))
+
+    return cr.corrective_rounds(q, graded, retrieve, lambda qq, s: cr.lexical_grades(qq, s))
+
+
+@register("corrective_rounds")
+def q_corrective_rounds(spark, sf_dir):
+    c = corrective_text(spark, sf_dir)
+    return c.select("query_id", "chunk_id", "ord", r6("score").alias("score"), r6("grade").alias("grade"))
+
+
+@register("evidence_text")
+def q_evidence_text(spark, sf_dir):
+    lines = ev.evidence_lines(_graded_f2(spark, sf_dir)).withColumn("ord", F.col("rank"))
+    e = ev.evidence_text(lines)
+    return e.select("query_id", "evidence", "evidence_chars", "needs_digest", "evidence_cut")
+
+
+def _answer_prompts(spark, sf_dir, queries, hits):
+    lines = ev.evidence_lines(hits.withColumn("score", F.col("similarity_score")).withColumn("ord", F.col("rank")))
+    e = ev.evidence_text(lines).withColumn("evidence", F.col("evidence_cut"))
+    return ev.answer_prompts(queries, e)
+
+
+@register("answer_prompts")
+def q_answer_prompts(spark, sf_dir):
+    q = tb.text_queries(spark, sf_dir)
+    p = _answer_prompts(spark, sf_dir, q, _text_hits(spark, sf_dir, q))
+    return p.select("query_id", "prompt")
+
+
+@register("chat_prompts")
+def q_chat_prompts(spark, sf_dir):
+    return ev.chat_prompts(tb.messages(spark, sf_dir)).select("conv_id", "turn", "prompt")
+
+
+@register("digest_prompts")
+def q_digest_prompts(spark, sf_dir):
+    return ev.digest_prompts_transcripts(tb.transcripts(spark, sf_dir)).select("task_id", "prompt")
+
+
+@register("extractive_digest")
+def q_extractive_digest(spark, sf_dir):
+    return ev.extractive_digest(ch.segment_transcripts(tb.transcripts(spark, sf_dir)), 60)
+
+
+def _assistant_completions(spark, sf_dir):
+    m = tb.messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    return m.select((F.col("conv_id") * 100 + F.col("turn") - 1).alias("request_id"), "text",
+                    F.lit(None).cast("string").alias("error"))
+
+
+@register("attach_completions")
+def q_attach_completions(spark, sf_dir):
+    req = tb.user_turns(spark, sf_dir).select(F.col("query_id").alias("request_id"))
+    out = ev.attach_completions(req, _assistant_completions(spark, sf_dir))
+    return out.select("request_id", "completion", "completion_error")
+
+
+@register("route_messages")
+def q_route_messages(spark, sf_dir):
+    r = ro.route_messages(tb.routing_flags(spark, sf_dir))
+    return r.select("conv_id", "turn", "mode", "reason")
+
+
+@register("router_prompts")
+def q_router_prompts(spark, sf_dir):
+    m = tb.messages(spark, sf_dir).filter(F.col("role") == "user")
+    return ro.router_prompts(m).select("conv_id", "turn", "prompt")
+
+
+@register("parse_route")
+def q_parse_route(spark, sf_dir):
+    return ro.parse_route(tb.route_completions(spark, sf_dir)).select("request_id", "route_mode", "route_raw")
+
+
+@register("retrieval_report")
+def q_retrieval_report(spark, sf_dir):
+    h = _graded_f2(spark, sf_dir).filter(F.col("rank") <= 10)
+    return ev.retrieval_report(h).select("query_id", F.col("rank").cast("long").alias("rank"), "report_line")

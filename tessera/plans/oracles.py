@@ -579,3 +579,288 @@ merged AS (SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY b.sim
 
 sql("merge_hits", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + """
 SELECT query_id, chunk_id, round(similarity_score, 6) AS similarity_score, CAST(ord AS BIGINT) AS ord FROM merged""")
+
+
+# ---------------------------------------------------------------- corrective, evidence, routing
+STRIPS = """
+strips AS (SELECT query_id, task_id, vec_id, chunk_id, content, similarity_score, index_similarity,
+                  CAST(rk AS BIGINT) AS ord, CAST(rk AS BIGINT) AS rank, similarity_score AS score,
+                  ((vec_id * 37) % 101) / 100.0 AS fgrade
+           FROM topk)"""
+
+STRIP_BASE = (VECTORS, NORMED, RENORMED, topk_cte(10), STRIPS)
+
+sql("grading_prompts", with_(*STRIP_BASE) + """
+SELECT query_id AS request_id,
+       'You are a strict relevance grader. For each knowledge strip, output a JSON array where each item has: '
+       || '{chunk_id: string, grade: number between 0 and 1, reason: short string}.' || chr(10)
+       || 'Grade measures how well the strip helps answer the query.' || chr(10) || chr(10)
+       || 'Query: vec ' || CAST(query_id AS VARCHAR) || chr(10) || chr(10) || 'Knowledge strips:' || chr(10)
+       || string_agg('- [' || chunk_id || '] ' || substring(content, 1, 600) || chr(10), '' ORDER BY ord)
+       || chr(10) || 'Return ONLY valid JSON (array).' AS prompt
+FROM strips WHERE ord <= 8 GROUP BY query_id""")
+
+
+def first_letters_word(col: str) -> str:
+    return f"regexp_replace(split_part({col}, ' ', 1), '[^A-Za-z]', '', 'g')"
+
+
+GRADE_COMPLETIONS = f"""
+gitems AS (
+  SELECT conv_id, turn,
+         '{{"chunk_id": "c' || CAST(turn AS VARCHAR) || '", "grade": '
+         || CASE WHEN turn % 3 = 2 THEN '"n/a"' ELSE printf('%.2f', (length(text) % 150) / 100.0) END
+         || ', "reason": "' || {first_letters_word('text')} || '"}}' AS item
+  FROM conversations),
+garr AS (SELECT conv_id, '[' || string_agg(item, ', ' ORDER BY turn) || ']' AS arr FROM gitems GROUP BY conv_id),
+gcomp AS (
+  SELECT conv_id AS request_id,
+         CASE conv_id % 5 WHEN 0 THEN '```json' || chr(10) || arr || chr(10) || '```'
+                          WHEN 1 THEN arr
+                          WHEN 2 THEN 'Here are the grades: ' || arr || ' Hope this helps.'
+                          WHEN 3 THEN substring(arr, 1, length(arr) - 1)
+                          ELSE '[7, "text", ' || substring(arr, 2) END AS text
+  FROM garr)"""
+
+sql("parse_grades", with_(GRADE_COMPLETIONS) + """
+, arrs AS (SELECT request_id, nullif(regexp_extract(text, '(?s)\\[.*\\]', 0), '') AS a FROM gcomp),
+valid AS (SELECT request_id, a FROM arrs WHERE a IS NOT NULL AND json_valid(a) AND json_type(a) = 'ARRAY'),
+elems AS (SELECT request_id, i, json_extract(a, '$[' || CAST(i AS VARCHAR) || ']') AS e
+          FROM (SELECT request_id, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM valid))
+SELECT request_id, CAST(i AS BIGINT) AS elem, coalesce(json_extract_string(e, '$.chunk_id'), '') AS chunk_id,
+       round(greatest(0.0, least(1.0, coalesce(TRY_CAST(json_extract_string(e, '$.grade') AS DOUBLE), 0.0))), 6) AS grade,
+       coalesce(json_extract_string(e, '$.reason'), '') AS reason
+FROM elems WHERE json_type(e) = 'OBJECT'""")
+
+sql("align_grades", with_(*STRIP_BASE) + """
+, g AS (SELECT query_id, chunk_id, rank AS elem, fgrade AS grade, 'r' || CAST(vec_id AS VARCHAR) AS reason
+        FROM strips WHERE vec_id % 3 <> 0
+        UNION ALL
+        SELECT query_id, chunk_id, rank + 100, fgrade / 2, 'again' FROM strips WHERE vec_id % 4 = 0),
+last_g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY elem DESC) AS r FROM g)
+           WHERE r = 1)
+SELECT s.query_id, s.chunk_id, s.ord,
+       round(CASE WHEN s.ord <= 8 AND l.grade IS NOT NULL THEN l.grade ELSE 0.0 END, 6) AS grade,
+       CASE WHEN s.ord <= 8 AND l.grade IS NOT NULL THEN l.reason ELSE 'no-grade' END AS grade_reason
+FROM strips s LEFT JOIN last_g l USING (query_id, chunk_id)""")
+
+
+def words_sql(col: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({col}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def lexical_grade_sql(qcol: str, scol: str) -> str:
+    qw = f"list_distinct({words_sql(qcol)})"
+    return (f"CASE WHEN len({qw}) > 0 THEN CAST(len(list_intersect({qw}, list_distinct({words_sql(scol)}))) AS DOUBLE)"
+            f" / len({qw}) ELSE 0.0 END")
+
+
+TEXT_HITS = (*CHUNK_CTES, CORPUS, BENCH_Q, search_cte("hits", "bench_q", 5, 0.0))
+
+sql("lexical_grades", with_rec(*TEXT_HITS) + f"""
+SELECT h.query_id, h.chunk_id, round({lexical_grade_sql('b.text', 'h.content')}, 6) AS grade
+FROM hits h JOIN benchmark b ON b.item_id = h.query_id""")
+
+sql("needs_correction", with_(*STRIP_BASE) + """
+SELECT query_id, round(max(fgrade), 6) AS best_grade, max(fgrade) < 0.6 AS needs_correction
+FROM strips GROUP BY query_id""")
+
+sql("rewrite_prompts", with_(UTURNS) + """
+SELECT query_id AS request_id,
+       'Rewrite the following user query into 2 alternative concise searches that might retrieve better evidence.'
+       || chr(10) || 'Return ONLY a JSON array of strings.' || chr(10) || chr(10) || 'Query: ' || query || chr(10) AS prompt
+FROM upos""")
+
+REWRITE_COMPLETIONS = f"""
+rw AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN {first_letters_word('text')} END) AS w1,
+              max(CASE WHEN turn = 1 THEN {first_letters_word('text')} END) AS w2, count(*) AS n
+       FROM conversations GROUP BY conv_id),
+rcomp AS (
+  SELECT conv_id AS request_id,
+         CASE conv_id % 5
+           WHEN 0 THEN '```json' || chr(10) || arr || chr(10) || '```'
+           WHEN 1 THEN arr
+           WHEN 2 THEN 'Sure! ' || arr
+           WHEN 3 THEN '["' || coalesce(w1, '')
+           ELSE '[{{"x": 1}}, ' || CAST(conv_id AS VARCHAR) || ', "' || coalesce(w1, '') || '"]' END AS text
+  FROM (SELECT *, '["' || coalesce(w1, '') || ' ' || coalesce(w2, '') || '", "' || coalesce(w2, '') || '", '
+                  || CAST(n AS VARCHAR) || ']' AS arr FROM rw))"""
+
+sql("parse_rewrites", with_(REWRITE_COMPLETIONS) + f"""
+, valid AS (SELECT request_id, trim(text, {WS}) AS a FROM rcomp
+            WHERE json_valid(trim(text, {WS})) AND json_type(trim(text, {WS})) = 'ARRAY'),
+elems AS (SELECT request_id, i, json_extract(a, '$[' || CAST(i AS VARCHAR) || ']') AS e
+          FROM (SELECT request_id, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM valid)),
+kept AS (SELECT request_id, i, CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$')
+                                    ELSE CAST(e AS VARCHAR) END AS rewrite
+         FROM elems WHERE json_type(e) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE'))
+SELECT request_id, CAST(rn AS BIGINT) AS rewrite_no, rewrite FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY i) AS rn FROM kept) WHERE rn <= 2""")
+
+STOP_LIST = ("['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'de', 'des', 'du', 'en', 'et', 'for', 'from', 'how', "
+             "'in', 'is', 'it', 'la', 'le', 'les', 'of', 'on', 'or', 'que', 'qui', 'the', 'to', 'un', 'une', 'was', "
+             "'what', 'when', 'where', 'which', 'who', 'why', 'with']")
+
+
+def keyword_rewrites_cte(src: str, qcol: str = "query") -> str:
+    return f"""
+kw_w AS (SELECT query_id, task_id, {words_sql(qcol)} AS ws FROM {src}),
+kw AS (
+  SELECT query_id, task_id,
+         array_to_string(list_filter(ws, lambda w: NOT list_contains({STOP_LIST}, w)), ' ') AS r1,
+         array_to_string(list_transform(list_sort(list_transform(
+             list_filter(ws, lambda w, i: list_position(ws, w) = i),
+             lambda w, i: {{'l': -length(w), 'i': i, 'w': w}}))[1:3], lambda s: s.w), ' ') AS r2
+  FROM kw_w),
+kw_rows AS (SELECT query_id, task_id, CAST(1 AS BIGINT) AS rewrite_no, r1 AS rewrite FROM kw WHERE r1 <> ''
+            UNION ALL SELECT query_id, task_id, CAST(2 AS BIGINT), r2 FROM kw WHERE r2 <> '')"""
+
+
+sql("keyword_rewrites", with_(UTURNS, keyword_rewrites_cte("upos")) + """
+SELECT query_id, task_id, rewrite_no, rewrite FROM kw_rows""")
+
+
+def topk_named(name: str, k: int, qid: str, qfilter: str = "TRUE") -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT {qid} AS query_id, c.task_id, c.vec_id, c.chunk_id, c.content,
+           greatest(0.0, least(1.0, list_dot_product(q.vnn, c.vnn))) AS similarity_score,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.vn, c.vn) DESC, c.vec_id) AS rk
+    FROM renormed q JOIN renormed c ON q.task_id = c.task_id WHERE {qfilter})
+  WHERE rk <= {k})"""
+
+
+sql("corrective_merge", with_(VECTORS, NORMED, RENORMED, topk_cte(5), STRIPS,
+                              topk_named("rw1", 5, "q.vec_id - 5", "q.vec_id >= 5"),
+                              topk_named("rw2", 5, "q.vec_id - 10", "q.vec_id >= 10")) + """
+, rws AS (SELECT query_id, chunk_id, 1 AS rewrite_no, rk AS rank FROM rw1
+          UNION ALL SELECT query_id, chunk_id, 2, rk FROM rw2),
+fresh AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY rewrite_no, rank) AS x
+                         FROM rws r WHERE NOT EXISTS (SELECT 1 FROM strips s WHERE s.query_id = r.query_id
+                                                                                AND s.chunk_id = r.chunk_id))
+          WHERE x = 1),
+top AS (SELECT query_id, max(ord) AS t FROM strips GROUP BY query_id)
+SELECT query_id, chunk_id, ord FROM strips
+UNION ALL
+SELECT f.query_id, f.chunk_id,
+       CAST(coalesce(t.t, 0) + row_number() OVER (PARTITION BY f.query_id ORDER BY f.rewrite_no, f.rank) AS BIGINT)
+FROM fresh f LEFT JOIN top t USING (query_id)""")
+
+sql("select_strips", with_(*STRIP_BASE) + """
+SELECT query_id, chunk_id, final_rank FROM (
+  SELECT query_id, chunk_id,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY fgrade DESC, score DESC, ord) AS BIGINT) AS final_rank
+  FROM strips) WHERE final_rank <= 5""")
+
+sql("evidence_text", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
+, ev AS (SELECT query_id, string_agg({evidence_line_expr()}, chr(10) ORDER BY rank) AS evidence FROM graded_f2 GROUP BY query_id)
+SELECT query_id, evidence, CAST(length(evidence) AS BIGINT) AS evidence_chars, length(evidence) > 2000 AS needs_digest,
+       substring(evidence, 1, 2000) AS evidence_cut FROM ev""")
+
+sql("answer_prompts", with_rec(*TEXT_HITS) + f"""
+, lines AS (SELECT query_id, rank, {evidence_line_expr("h.")} AS line
+            FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM hits) h),
+ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY rank), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+SELECT CAST(b.item_id AS BIGINT) AS query_id,
+       'Retrieved evidence:' || chr(10) || chr(10) || coalesce(e.evidence, '') || chr(10) || chr(10)
+       || 'User question:' || chr(10) || b.text || chr(10) AS prompt
+FROM benchmark b LEFT JOIN ev e ON e.query_id = b.item_id""")
+
+sql("chat_prompts", """
+WITH h AS (
+  SELECT conv_id, turn, role, text,
+         list(struct_pack(turn := turn, role := coalesce(role, 'user'), text := coalesce(text, '')))
+           OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS hist
+  FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       'You are a helpful and concise assistant. Answer naturally based on the ongoing conversation.' || chr(10)
+       || 'Conversation so far:' || chr(10)
+       || coalesce(array_to_string(list_transform(list_sort(hist), lambda m: m.role || ': ' || m.text), chr(10)), '')
+       || chr(10) || chr(10) || 'User: ' || text || chr(10) || 'Assistant:' AS prompt
+FROM h WHERE role = 'user'""")
+
+sql("digest_prompts", with_(TRANSCRIPTS) + """
+SELECT task_id,
+       'You are a helpful assistant specialized in summarizing YouTube video transcripts that are generated by whisper model.'
+       || chr(10) || 'Given the transcript of a YouTube video, your task is to generate a straight to point and informative '
+       || 'summary. The summary should cover key points, main ideas, and critical information, organized in a '
+       || 'coherent and structured way. Ensure that the summary is not exceed 1000 words. Make sure that the summary '
+       || 'retains the flow and structure of the original transcript while omitting unnecessary details. The summary '
+       || 'should be easy to follow, informative, and structured, highlighting important tips, steps, or insights '
+       || 'provided in the transcript.' || chr(10) || chr(10) || 'Transcript: ' || text AS prompt
+FROM transcripts""")
+
+sql("extractive_digest", with_(TRANSCRIPTS, SEGMENTS) + f"""
+, words AS (SELECT task_id, seg_no, unnest(string_split_regex(lower(trim(text, {WS})), '\\s+')) AS w FROM segments),
+ws AS (SELECT * FROM words WHERE w <> ''),
+tf AS (SELECT task_id, w, count(*) AS tf FROM ws GROUP BY task_id, w),
+dfq AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+nd AS (SELECT count(DISTINCT task_id) AS n FROM segments),
+scored AS (SELECT ws.task_id, ws.seg_no, avg(tf.tf * ln(nd.n / dfq.df)) AS score, count(*) AS n_words
+           FROM ws JOIN tf USING (task_id, w) JOIN dfq USING (w), nd GROUP BY ws.task_id, ws.seg_no),
+picked AS (SELECT * FROM (SELECT *, sum(n_words) OVER (PARTITION BY task_id ORDER BY score DESC, seg_no
+                                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+                          FROM scored) WHERE run <= 60)
+SELECT p.task_id, string_agg(s.text, ' ' ORDER BY s.seg_no) AS digest
+FROM picked p JOIN segments s USING (task_id, seg_no) GROUP BY p.task_id""")
+
+sql("attach_completions", with_(UTURNS) + """
+, comp AS (SELECT conv_id * 100 + turn - 1 AS request_id, text FROM conversations WHERE role = 'assistant')
+SELECT u.query_id AS request_id, coalesce(c.text, '') AS completion,
+       CASE WHEN c.text IS NULL THEN 'missing completion' END AS completion_error
+FROM upos u LEFT JOIN comp c ON c.request_id = u.query_id""")
+
+
+def any_in_sql(msg: str, words) -> str:
+    return "(" + " OR ".join(f"contains({msg}, '{w}')" for w in words) + ")"
+
+
+ROUTE_TOPIC = ("video", "transcript", "dans la vidéo", "in the video", "speaker", "segment", "chunk",
+               "ce que la vidéo dit", "what the video", "whisper", "youtube")
+ROUTE_FACT = ("quel", "quelle", "combien", "when", "where", "who", "details", "exact")
+
+sql("route_messages", f"""
+WITH m AS (
+  SELECT conv_id, turn, lower(coalesce(text, '')) AS msg, conv_id % 11 AS r,
+         CASE WHEN conv_id % 11 IN (3, 4) THEN NULL ELSE 'all' END AS task_id
+  FROM conversations WHERE role = 'user')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE WHEN r = 0 THEN 'chat' WHEN r IN (1, 4) AND task_id IS NOT NULL THEN 'rag' WHEN r IN (1, 4) THEN 'chat'
+            WHEN r = 2 THEN 'chat' WHEN task_id IS NULL THEN 'chat'
+            WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
+            ELSE 'chat' END AS mode,
+       CASE WHEN r = 0 THEN 'chat_only toggle' WHEN r IN (1, 4) AND task_id IS NOT NULL THEN 'force_rag toggle'
+            WHEN r IN (1, 4) THEN 'force_rag but no task selected' WHEN r = 2 THEN 'auto_retrieve disabled'
+            WHEN task_id IS NULL THEN 'no task selected'
+            WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
+            WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'factual signal' ELSE 'default chat' END AS reason
+FROM m""")
+
+sql("router_prompts", """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE WHEN coalesce(text, '') = '' THEN NULL ELSE
+       'Tu es un détecteur de type de question.' || chr(10) || 'Voici le message de l''utilisateur : "' || text || '"'
+       || chr(10) || 'Réponds uniquement par ''RAG'' si la question demande une information externe,' || chr(10)
+       || 'ou ''NORMAL'' si c''est une question simple de conversation.' || chr(10) END AS prompt
+FROM conversations WHERE role = 'user'""")
+
+sql("parse_route", f"""
+WITH c AS (SELECT DISTINCT conv_id FROM conversations),
+comp AS (SELECT conv_id AS request_id, CASE conv_id % 5 WHEN 0 THEN 'RAG' WHEN 1 THEN 'NORMAL' WHEN 2 THEN '`RAG`'
+                                                        WHEN 3 THEN 'RAG or NORMAL' ELSE '' END AS text FROM c),
+t AS (SELECT request_id, trim(trim(trim(text, {WS}), '`'), {WS}) AS raw FROM comp)
+SELECT request_id,
+       CASE WHEN contains(upper(raw), 'RAG') AND NOT contains(upper(raw), 'NORMAL') THEN 'rag'
+            WHEN contains(upper(raw), 'NORMAL') AND NOT contains(upper(raw), 'RAG') THEN 'chat'
+            WHEN string_split_regex(upper(raw), '\\s+')[1] = 'RAG' THEN 'rag' ELSE 'chat' END AS route_mode,
+       raw AS route_raw
+FROM t""")
+
+sql("retrieval_report", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + """
+SELECT query_id, CAST(rank AS BIGINT) AS rank,
+       '  - id=' || chunk_id || ' rank=' || CAST(rank AS VARCHAR) || ' sim=' || printf('%.3f', similarity_score)
+       || ' faiss=' || printf('%.3f', index_similarity)
+       || ' grade=' || coalesce(printf('%.2f', grade), '-') || ' cl=' || coalesce(CAST(cluster_id AS VARCHAR), '-')
+       AS report_line
+FROM graded_f2 WHERE rank <= 10""")

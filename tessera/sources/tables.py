@@ -89,3 +89,70 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = u.join(offs, ["memory_key", "conv_id"]).withColumn("_j", F.col("_off") + F.row_number().over(wc) - 1)
     return u.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit("all").alias("task_id"),
                     "memory_key", (F.col("_j") * 2).cast("long").alias("pos"), "conv_id", "turn", "query", "answer")
+
+
+def _first_letters_word(c):
+    return F.regexp_replace(F.element_at(F.split(c, " "), 1), "[^A-Za-z]", "")
+
+
+def grade_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grader outputs built from conversations (request_id = conv_id), one JSON item per turn.
+
+    Shape by conv_id % 5: fenced array; bare array; array in chatter; broken JSON; array with
+    non-object elements. Every third turn carries a grade that is not a number.
+    """
+    m = messages(spark, sf_dir)
+    grade = F.when(F.col("turn") % 3 == 2, F.lit('"n/a"')).otherwise(
+        F.format_string("%.2f", (F.length("text") % 150) / 100.0))
+    item = F.concat(F.lit('{"chunk_id": "c'), F.col("turn").cast("string"), F.lit('", "grade": '), grade,
+                    F.lit(', "reason": "'), _first_letters_word(F.col("text")), F.lit('"}'))
+    per = (m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))).alias("_s"))
+           .select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("_s", lambda s: s["i"]), ", "),
+                                       F.lit("]")).alias("arr")))
+    shape = F.col("conv_id") % 5
+    text = (F.when(shape == 0, F.concat(F.lit("```json\n"), F.col("arr"), F.lit("\n```")))
+            .when(shape == 1, F.col("arr"))
+            .when(shape == 2, F.concat(F.lit("Here are the grades: "), F.col("arr"), F.lit(" Hope this helps.")))
+            .when(shape == 3, F.expr("substring(arr, 1, length(arr) - 1)"))
+            .otherwise(F.concat(F.lit('[7, "text", '), F.expr("substring(arr, 2)"))))
+    return per.select(F.col("conv_id").alias("request_id"), F.lit("grade").alias("stage"), text.alias("text"),
+                      F.lit(None).cast("string").alias("error"))
+
+
+def rewrite_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewriter outputs built from conversations (request_id = conv_id), shaped by conv_id % 5."""
+    m = messages(spark, sf_dir)
+    per = m.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, _first_letters_word(F.col("text")))).alias("w1"),
+        F.max(F.when(F.col("turn") == 1, _first_letters_word(F.col("text")))).alias("w2"),
+        F.count(F.lit(1)).alias("n"))
+    w1, w2 = F.coalesce("w1", F.lit("")), F.coalesce("w2", F.lit(""))
+    arr = F.concat(F.lit('["'), w1, F.lit(" "), w2, F.lit('", "'), w2, F.lit('", '), F.col("n").cast("string"), F.lit("]"))
+    shape = F.col("conv_id") % 5
+    text = (F.when(shape == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+            .when(shape == 1, arr)
+            .when(shape == 2, F.concat(F.lit("Sure! "), arr))
+            .when(shape == 3, F.concat(F.lit('["'), w1))
+            .otherwise(F.concat(F.lit('[{"x": 1}, '), F.col("conv_id").cast("string"), F.lit(', "'), w1, F.lit('"]'))))
+    return per.select(F.col("conv_id").alias("request_id"), F.lit("rewrite").alias("stage"), text.alias("text"),
+                      F.lit(None).cast("string").alias("error"))
+
+
+def route_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Router outputs per conversation: 'RAG', 'NORMAL', '`RAG`', 'RAG or NORMAL', '' by conv_id % 5."""
+    c = messages(spark, sf_dir).select("conv_id").distinct()
+    shape = F.col("conv_id") % 5
+    text = (F.when(shape == 0, F.lit("RAG")).when(shape == 1, F.lit("NORMAL")).when(shape == 2, F.lit("`RAG`"))
+            .when(shape == 3, F.lit("RAG or NORMAL")).otherwise(F.lit("")))
+    return c.select(F.col("conv_id").alias("request_id"), F.lit("route").alias("stage"), text.alias("text"),
+                    F.lit(None).cast("string").alias("error"))
+
+
+def routing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages with chat flags from conv_id % 11 (chat_only 0; force_rag 1 and 4; no
+    auto-retrieve 2; no task 3 and 4)."""
+    m = messages(spark, sf_dir).filter(F.col("role") == "user")
+    r = F.col("conv_id") % 11
+    return m.select("conv_id", "turn", "role", "text", (r == 0).alias("chat_only"), r.isin(1, 4).alias("force_rag"),
+                    (r != 2).alias("auto_retrieve"),
+                    F.when(r.isin(3, 4), F.lit(None).cast("string")).otherwise(F.lit("all")).alias("task_id"))
