@@ -697,3 +697,100 @@ def q_parse_route(spark, sf_dir):
 def q_retrieval_report(spark, sf_dir):
     h = _graded_f2(spark, sf_dir).filter(F.col("rank") <= 10)
     return ev.retrieval_report(h).select("query_id", F.col("rank").cast("long").alias("rank"), "report_line")
+
+
+# ---------------------------------------------------------------- pipelines (J1-J3, A11, E2), streams (J4, J5), media (A3)
+from tessera.plans import pipelines as pl  # noqa: E402
+from tessera.streaming import streams as sm  # noqa: E402
+
+
+@register("attach_vectors")
+def q_attach_vectors(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    vecs = em.DEFAULT_EMBEDDER.embed(chunks, "content", ["task_id", "chunk_index"], "vec")
+    return pl.attach_vectors(chunks, vecs).select("task_id", "chunk_id", "vec")
+
+
+@register("ingest")
+def q_ingest(spark, sf_dir):
+    out = pl.ingest(tb.transcripts(spark, sf_dir), cluster=False)
+    return out.vectors.select("task_id", "chunk_id", "vec_id", "character_count", "vec")
+
+
+@register("task_status")
+def q_task_status(spark, sf_dir):
+    t = tb.transcripts(spark, sf_dir)
+    return pl.task_status(t, _chunks(spark, sf_dir))
+
+
+@register("answer_queries")
+def q_answer_queries(spark, sf_dir):
+    store = corpus_store(spark, sf_dir)
+    out = pl.answer_queries(tb.user_turns(spark, sf_dir), store, store.select("task_id", "chunk_id", "cluster_id"),
+                            memory_table(spark, sf_dir))
+    return out.prompts
+
+
+@register("chat_turns")
+def q_chat_turns(spark, sf_dir):
+    store = corpus_store(spark, sf_dir)
+    out = pl.chat_turns(tb.routing_flags(spark, sf_dir).unionByName(
+        tb.messages(spark, sf_dir).filter(F.col("role") != "user"), allowMissingColumns=True),
+        store, store.select("task_id", "chunk_id", "cluster_id"))
+    return out.select("conv_id", "turn", "mode_used", "reason", "prompt")
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, sf_dir):
+    src = scratch_dir(spark, "incoming")
+    fl.write_transcript_files(tb.transcripts(spark, sf_dir), src)
+    store = scratch_dir(spark, "stream-store")
+    q = sm.ingest_stream(spark, src, store, scratch_dir(spark, "stream-ckpt"))
+    q.awaitTermination()
+    chunks = spark.read.parquet(f"{store}/chunks")
+    return chunks.groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
+
+
+@register("question_stream")
+def q_question_stream(spark, sf_dir):
+    store = corpus_store(spark, sf_dir)
+    out = scratch_dir(spark, "answers")
+    schema = "conv_id long, turn long, role string, text string"
+    src = (spark.readStream.format("parquet").schema(schema)
+           .option("pathGlobFilter", "conversations.parquet").load(sf_dir)
+           .withColumn("task_id", F.lit("all")))
+    members = store.select("task_id", "chunk_id", "cluster_id")
+
+    def run(batch, epoch_id):
+        from tessera.operators import routing as ro2
+        routed = ro2.route_messages(batch.filter(F.col("role") == "user"), chat_only=False, force_rag=False,
+                                    auto_retrieve=True)
+        rag = routed.filter(F.col("mode") == "rag").select(
+            (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "task_id", F.col("text").alias("query"))
+        qv = em.DEFAULT_EMBEDDER.embed(rag, "query", ["query_id", "task_id"], "qvec")
+        hits = rt.search_similar(qv, store, members, k=5, threshold=0.0)
+        n = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("n_hits"))
+        res = (routed.withColumn("query_id", F.col("conv_id") * 100 + F.col("turn")).join(n, "query_id", "left")
+               .select("conv_id", "turn", "mode", "reason", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
+               .withColumn("epoch", F.lit(epoch_id)))
+        res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out)
+
+    q = (src.writeStream.foreachBatch(run).option("checkpointLocation", scratch_dir(spark, "q-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
+
+
+@register("media_catalog")
+def q_media_catalog(spark, sf_dir):
+    pages = tb.table(spark, sf_dir, "pages")
+    cat = fl.video_catalog(pages)
+    named = cat.join(pages.select("page_id", "html"), "page_id").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("_"),
+                 F.regexp_replace("title", "[^A-Za-z0-9]+", "-"), F.lit(".mp3")).alias("name"),
+        F.col("html").alias("body"))
+    d = scratch_dir(spark, "media")
+    fl.write_named_files(named, d, "name", "body").count()
+    ids = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("task_id"))
+    m = fl.match_media_to_tasks(fl.media_catalog(spark, d), ids)
+    return m.select("task_id", "title", F.col("file_size").cast("long").alias("file_size"))

@@ -864,3 +864,127 @@ SELECT query_id, CAST(rank AS BIGINT) AS rank,
        || ' grade=' || coalesce(printf('%.2f', grade), '-') || ' cl=' || coalesce(CAST(cluster_id AS VARCHAR), '-')
        AS report_line
 FROM graded_f2 WHERE rank <= 10""")
+
+
+# ---------------------------------------------------------------- corrective rounds, pipelines, streams, media
+sql("corrective_rounds", with_rec(*TEXT_HITS) + f""",
+first AS (SELECT h.query_id, h.chunk_id, h.content, CAST(h.rank AS BIGINT) AS ord, h.similarity_score AS score,
+                 {lexical_grade_sql('b.text', 'h.content')} AS grade
+          FROM hits h JOIN benchmark b ON b.item_id = h.query_id),
+weak AS (SELECT query_id FROM first GROUP BY query_id HAVING max(grade) < 0.6),
+wq AS (SELECT CAST(item_id AS BIGINT) AS query_id, 'all' AS task_id, text AS query FROM benchmark
+       WHERE item_id IN (SELECT query_id FROM weak)),
+{keyword_rewrites_cte('wq')},
+""" + query_vecs_cte("rw_q", "(SELECT query_id * 10 + rewrite_no AS query_id, query_id AS parent_id, rewrite_no, task_id, "
+                     "rewrite AS query FROM kw_rows)", "query_id, parent_id, rewrite_no, task_id") + "," + \
+    search_cte("rw_hits", "rw_q", 5, 0.0, "q.query_id, q.parent_id, q.rewrite_no") + f""",
+fresh AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.parent_id, r.chunk_id ORDER BY rewrite_no, rank) AS x
+                         FROM rw_hits r WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = r.parent_id
+                                                                                AND f.chunk_id = r.chunk_id))
+          WHERE x = 1),
+top AS (SELECT query_id, max(ord) AS t FROM first GROUP BY query_id),
+merged AS (
+  SELECT query_id, chunk_id, content, ord, score FROM first WHERE query_id IN (SELECT query_id FROM weak)
+  UNION ALL
+  SELECT f.parent_id, f.chunk_id, f.content,
+         CAST(coalesce(t.t, 0) + row_number() OVER (PARTITION BY f.parent_id ORDER BY f.rewrite_no, f.rank) AS BIGINT),
+         f.similarity_score
+  FROM fresh f LEFT JOIN top t ON t.query_id = f.parent_id),
+regraded AS (SELECT m.query_id, m.chunk_id, m.ord, m.score,
+                    CASE WHEN m.ord <= 8 THEN {lexical_grade_sql('b.text', 'm.content')} ELSE 0.0 END AS grade
+             FROM merged m JOIN benchmark b ON b.item_id = m.query_id)
+SELECT query_id, chunk_id, ord, round(score, 6) AS score, round(grade, 6) AS grade FROM first
+WHERE query_id NOT IN (SELECT query_id FROM weak)
+UNION ALL
+SELECT query_id, chunk_id, ord, round(score, 6), round(grade, 6) FROM regraded""")
+
+sql("attach_vectors", with_rec(*CHUNK_CTES, tri_vectors_cte("cv", "chunks", "task_id, chunk_id", "content")) + """
+SELECT task_id, chunk_id, vec FROM cv""")
+
+sql("ingest", with_rec(*CHUNK_CTES, tri_vectors_cte("cv", "chunks", "task_id, chunk_id, chunk_index, character_count",
+                                                    "content")) + """
+SELECT task_id, chunk_id, CAST(chunk_index AS BIGINT) AS vec_id, character_count, vec FROM cv""")
+
+sql("task_status", with_rec(*CHUNK_CTES) + """
+, n AS (SELECT task_id, count(*) AS n FROM chunks GROUP BY task_id)
+SELECT t.task_id, 'index' AS stage, CASE WHEN coalesce(n.n, 0) > 0 THEN 'completed' ELSE 'failed' END AS status,
+       CASE WHEN coalesce(n.n, 0) > 0 THEN 'Hybrid index created successfully'
+            ELSE 'Index creation failed: No embeddings provided to build the index' END AS message,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_chunks
+FROM transcripts t LEFT JOIN n USING (task_id)""")
+
+ANSWER_PROMPT = """
+'Retrieved evidence:' || chr(10) || chr(10) || coalesce(e.evidence, '') || chr(10) || chr(10)
+|| 'User question:' || chr(10) || q.query || chr(10)"""
+
+sql("answer_queries", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + f"""
+, lines AS (SELECT query_id, ord, {evidence_line_expr("h.")} AS line
+            FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM merged) h),
+ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY ord), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+SELECT q.query_id, {ANSWER_PROMPT} AS prompt FROM upos q LEFT JOIN ev e USING (query_id)""")
+
+ROUTED = f"""
+routed AS (
+  SELECT conv_id, turn, text, conv_id * 100 + turn AS query_id, 'all' AS task_id, text AS query,
+         CASE WHEN r = 0 THEN 'chat' WHEN r IN (1, 4) AND tid IS NOT NULL THEN 'rag' WHEN r IN (1, 4) THEN 'chat'
+              WHEN r = 2 THEN 'chat' WHEN tid IS NULL THEN 'chat'
+              WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
+              ELSE 'chat' END AS mode,
+         CASE WHEN r = 0 THEN 'chat_only toggle' WHEN r IN (1, 4) AND tid IS NOT NULL THEN 'force_rag toggle'
+              WHEN r IN (1, 4) THEN 'force_rag but no task selected' WHEN r = 2 THEN 'auto_retrieve disabled'
+              WHEN tid IS NULL THEN 'no task selected'
+              WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
+              WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'factual signal' ELSE 'default chat' END AS reason
+  FROM (SELECT *, lower(coalesce(text, '')) AS msg, conv_id % 11 AS r,
+               CASE WHEN conv_id % 11 IN (3, 4) THEN NULL ELSE 'all' END AS tid
+        FROM conversations WHERE role = 'user'))"""
+
+CHAT_HIST = """
+chat_p AS (
+  SELECT conv_id, turn,
+         'You are a helpful and concise assistant. Answer naturally based on the ongoing conversation.' || chr(10)
+         || 'Conversation so far:' || chr(10)
+         || coalesce(array_to_string(list_transform(list_sort(hist), lambda m: m.role || ': ' || m.text), chr(10)), '')
+         || chr(10) || chr(10) || 'User: ' || text || chr(10) || 'Assistant:' AS prompt
+  FROM (SELECT conv_id, turn, role, text,
+               list(struct_pack(turn := turn, role := coalesce(role, 'user'), text := coalesce(text, '')))
+                 OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS hist
+        FROM conversations) WHERE role = 'user')"""
+
+sql("chat_turns", with_rec(*CHUNK_CTES, CORPUS, ROUTED,
+                           query_vecs_cte("rq", "(SELECT * FROM routed WHERE mode = 'rag')", "query_id, task_id, query"),
+                           search_cte("rag_hits", "rq", 5, 0.0), CHAT_HIST) + f"""
+, lines AS (SELECT query_id, rank, {evidence_line_expr("h.")} AS line
+            FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM rag_hits) h),
+ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY rank), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+SELECT CAST(q.conv_id AS BIGINT) AS conv_id, CAST(q.turn AS BIGINT) AS turn, q.mode AS mode_used, q.reason,
+       {ANSWER_PROMPT} AS prompt
+FROM routed q LEFT JOIN ev e USING (query_id) WHERE q.mode = 'rag'
+UNION ALL
+SELECT CAST(r.conv_id AS BIGINT), CAST(r.turn AS BIGINT), r.mode, r.reason, c.prompt
+FROM routed r LEFT JOIN chat_p c USING (conv_id, turn) WHERE r.mode = 'chat'""")
+
+sql("ingest_stream", with_rec(*CHUNK_CTES) + """
+SELECT task_id, CAST(count(*) AS BIGINT) AS n_chunks FROM chunks GROUP BY task_id""")
+
+sql("question_stream", with_rec(*CHUNK_CTES, CORPUS) + f"""
+, routed AS (
+  SELECT conv_id, turn, conv_id * 100 + turn AS query_id, 'all' AS task_id, text AS query,
+         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
+              ELSE 'chat' END AS mode,
+         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
+              WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'factual signal' ELSE 'default chat' END AS reason
+  FROM (SELECT *, lower(coalesce(text, '')) AS msg FROM conversations WHERE role = 'user')),
+""" + query_vecs_cte("rq", "(SELECT * FROM routed WHERE mode = 'rag')", "query_id, task_id, query") + "," + \
+    search_cte("rag_hits", "rq", 5, 0.0) + """,
+n AS (SELECT query_id, count(*) AS n FROM rag_hits GROUP BY query_id)
+SELECT CAST(r.conv_id AS BIGINT) AS conv_id, CAST(r.turn AS BIGINT) AS turn, r.mode, r.reason,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_hits
+FROM routed r LEFT JOIN n USING (query_id)""")
+
+sql("media_catalog", """
+WITH p AS (SELECT page_id, html, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'Unknown Title') AS t
+           FROM pages)
+SELECT 'p' || CAST(page_id AS VARCHAR) AS task_id, regexp_replace(t, '[^A-Za-z0-9]+', '-', 'g') AS title,
+       CAST(strlen(html) AS BIGINT) AS file_size
+FROM p""")
