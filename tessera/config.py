@@ -44,6 +44,7 @@ class Settings:
     n_init: int = N_INIT
     seed: int = KMEANS_SEED
     kmeans_iters: int = 20
+    kmeans_local_rows: int = 20_000  # tasks up to this size cluster in one bounded group
     k: int = SEARCH_K
     search_threshold: float = SEARCH_THRESHOLD
     answer_threshold: float = ANSWER_THRESHOLD

@@ -389,13 +389,26 @@ def q_search_by_cluster(spark, sf_dir):
 from tessera.operators import memory as mm  # noqa: E402
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def corpus_store(spark, sf_dir):
-    """Text corpus as a vector store: (task_id, vec_id, chunk_id, content, vec) plus members."""
-    c = text_corpus(spark, sf_dir)
-    c = c.withColumn("vec_id", (F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") * 100000
-                                + F.col("chunk_index")).cast("long"))
-    c = c.withColumn("vec", em.DEFAULT_EMBEDDER.vector(F.col("content")))
-    return c
+    """Text corpus as a vector store: (task_id, vec_id, chunk_id, chunk_index, content, cluster_id, vec).
+
+    Indexed once per session and data directory, written as a Parquet table under the shared
+    checkpoint folder (what an ingestion job leaves behind), then only read by the queries.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _STORES.get(key)
+    if path is None:
+        c = text_corpus(spark, sf_dir)
+        c = c.withColumn("vec_id", (F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") * 100000
+                                    + F.col("chunk_index")).cast("long"))
+        c = c.withColumn("vec", em.DEFAULT_EMBEDDER.vector(F.col("content")))
+        path = scratch_dir(spark, "corpus")
+        c.write.mode("overwrite").parquet(path)
+        _STORES[key] = path
+    return spark.read.parquet(path)
 
 
 def _text_hits(spark, sf_dir, queries, store=None, k=5, threshold=0.0):
