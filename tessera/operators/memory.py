@@ -56,25 +56,25 @@ def memory_candidates(queries: DataFrame, memory: DataFrame, cfg: Settings = Set
 
     ``queries``: (query_id, memory_key, pos, qvec); ``memory``: (memory_key, seq, type, text, vec).
     """
-    win = memory_window(queries.select("query_id", "memory_key", "pos"), memory, cfg.memory_window)
-    win = win.filter(F.col("type").isin(*MEMORY_TYPES) & F.col("vec").isNotNull())
-    j = win.join(queries.select("query_id", F.col(qvec).alias("_q")), "query_id")
-    sim = vx.inner_product_clip(vx.l2_normalize("_q"), vx.l2_normalize("vec"))
+    # Normalise once per memory entry and once per question, before the look-back join fans
+    # each question out to its window; per pair only the dot product remains.
+    mem = (memory.filter(F.col("type").isin(*MEMORY_TYPES) & F.col("vec").isNotNull())
+           .withColumn("_mn", vx.l2_normalize("vec")))
+    win = memory_window(queries.select("query_id", "memory_key", "pos"), mem, cfg.memory_window)
+    j = win.join(queries.select("query_id", vx.l2_normalize(qvec).alias("_qn")), "query_id")
+    sim = vx.inner_product_clip("_qn", "_mn")
     scored = j.withColumn("sim", sim).filter(F.col("sim") >= F.lit(cfg.memory_min_similarity))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("seq"))
     return (scored.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= cfg.memory_top_n)
             .select("query_id", "memory_key", "seq", "type", "text", "vec", "sim", "pick"))
 
 
-def centroid_retrieve(queries: DataFrame, candidates: DataFrame, store: DataFrame, members: DataFrame | None,
-                      cfg: Settings = Settings(), k: int | None = None, threshold: float | None = None,
-                      qvec: str = "qvec") -> DataFrame:
-    """search with normalise(q + alpha * mean(picked memory vectors)), both normalised first.
+def centroid_queries(queries: DataFrame, candidates: DataFrame, cfg: Settings = Settings(),
+                     qvec: str = "qvec") -> DataFrame:
+    """F6 query side: normalise(q + alpha * mean(picked memory vectors)), both normalised first.
 
     Picks are at most ``top_n`` per query, so the mean is an in-row fold over a bounded list.
     """
-    k = cfg.k if k is None else k
-    threshold = cfg.answer_threshold if threshold is None else threshold
     picked = (candidates.groupBy("query_id")
               .agg(F.collect_list(vx.l2_normalize("vec")).alias("_vs")))
     dim_mean = F.transform(F.element_at("_vs", 1), lambda _, i: F.aggregate(
@@ -82,10 +82,28 @@ def centroid_retrieve(queries: DataFrame, candidates: DataFrame, store: DataFram
     q = (queries.join(picked, "query_id", "inner")
          .withColumn("_m", dim_mean)
          .withColumn("qvec2", vx.blend_vectors(vx.l2_normalize(qvec), "_m", cfg.memory_alpha)))
-    return search_similar(q.select("query_id", "task_id", F.col("qvec2").alias("qvec")), store, members,
+    return q.select("query_id", "task_id", F.col("qvec2").alias("qvec"))
+
+
+def centroid_retrieve(queries: DataFrame, candidates: DataFrame, store: DataFrame, members: DataFrame | None,
+                      cfg: Settings = Settings(), k: int | None = None, threshold: float | None = None,
+                      qvec: str = "qvec") -> DataFrame:
+    """search with the memory-shifted query vector."""
+    k = cfg.k if k is None else k
+    threshold = cfg.answer_threshold if threshold is None else threshold
+    return search_similar(centroid_queries(queries, candidates, cfg, qvec), store, members,
                           k=k, threshold=threshold, cfg=cfg)
 
 
+def subquery_queries(candidates: DataFrame, queries: DataFrame, embedder=None) -> DataFrame:
+    """F7 query side: the question line of each picked memory, embedded: (query_id, pick, task_id, qvec)."""
+    emb = embedder or DEFAULT_EMBEDDER
+    sub = (candidates.select("query_id", "pick", tx.question_line("text").alias("subq"))
+           .filter(F.col("subq") != "")
+           .join(queries.select("query_id", "task_id"), "query_id"))
+    return emb.embed(sub, "subq", ["query_id", "pick", "task_id"], "qvec")
+
+
 def subquery_retrieve(candidates: DataFrame, queries: DataFrame, store: DataFrame, members: DataFrame | None,
                       cfg: Settings = Settings(), k: int | None = None, threshold: float | None = None,
                       embedder=None) -> DataFrame:
@@ -95,14 +113,9 @@ def subquery_retrieve(candidates: DataFrame, queries: DataFrame, store: DataFram
     """
     k = cfg.k if k is None else k
     threshold = cfg.answer_threshold if threshold is None else threshold
-    kk = max(2, k // 2)
-    emb = embedder or DEFAULT_EMBEDDER
-    sub = (candidates.select("query_id", "pick", tx.question_line("text").alias("subq"))
-           .filter(F.col("subq") != "")
-           .join(queries.select("query_id", "task_id"), "query_id"))
-    sub = sub.withColumn("_sid", F.col("query_id") * 100 + F.col("pick"))
-    sq = emb.embed(sub, "subq", ["_sid", "task_id"], "qvec").withColumnRenamed("_sid", "query_id")
-    hits = search_similar(sq, store, members, k=kk, threshold=threshold, cfg=cfg)
+    sq = subquery_queries(candidates, queries, embedder)
+    sq = sq.withColumn("query_id", F.col("query_id") * 100 + F.col("pick")).drop("pick")
+    hits = search_similar(sq, store, members, k=max(2, k // 2), threshold=threshold, cfg=cfg)
     return (hits.withColumn("pick", (F.col("query_id") % 100).cast("int"))
             .withColumn("query_id", (F.col("query_id") / 100).cast("long")))
 

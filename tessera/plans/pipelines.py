@@ -102,18 +102,27 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
     threshold = cfg.answer_threshold if threshold is None else threshold
     emb = embedder or em.DEFAULT_EMBEDDER
     keys = [c for c in ("query_id", "task_id", "memory_key", "pos", "query") if c in queries.columns]
-    qv = emb.embed(queries, "query", keys, "qvec")
-    base = rt.search_similar(qv.select("query_id", "task_id", "qvec"), store, members, k=k, threshold=threshold,
-                             cfg=cfg).withColumn("src_ord", F.lit(0))
-    sources = [base]
+    # The embedded questions and the memory picks feed several searches; keep them rather than
+    # recompute them per search (recomputed from lineage only if an executor is lost).
+    qv = emb.embed(queries, "query", keys, "qvec").persist()
+    # All searches of a question (its own vector, the memory-shifted vector, one per picked
+    # memory's question line) become rows of one request table with their own k, so the store
+    # is scanned once for all of them. sid = query_id * 10 + source order.
+    req = qv.select((F.col("query_id") * 10).alias("sid"), "task_id", "qvec", F.lit(k).alias("k_row"))
     used = queries.limit(0).select("query_id")
     if use_memory and memory is not None:
-        cands = mm.memory_candidates(qv, memory, cfg)
-        cen = mm.centroid_retrieve(qv, cands, store, members, cfg, k, threshold).withColumn("src_ord", F.lit(1))
-        sub = (mm.subquery_retrieve(cands, queries, store, members, cfg, k, threshold, emb)
-               .withColumn("src_ord", F.col("pick") + 1).drop("pick"))
-        sources += [cen, sub]
+        cands = mm.memory_candidates(qv, memory, cfg).persist()
+        cen = mm.centroid_queries(qv, cands, cfg)
+        sub = mm.subquery_queries(cands, queries, emb)
+        req = req.unionByName(cen.select((F.col("query_id") * 10 + 1).alias("sid"), "task_id", "qvec",
+                                         F.lit(k).alias("k_row")))
+        req = req.unionByName(sub.select((F.col("query_id") * 10 + 1 + F.col("pick")).alias("sid"), "task_id", "qvec",
+                                         F.lit(max(2, k // 2)).alias("k_row")))
         used = mm.memory_window(queries.select("query_id", "memory_key", "pos"), memory, cfg.memory_window)
+    hits = rt.search_similar(req.withColumnRenamed("sid", "query_id"), store, members, k=k, threshold=threshold,
+                             cfg=cfg, k_col="k_row")
+    sources = [hits.withColumn("src_ord", (F.col("query_id") % 10).cast("int"))
+               .withColumn("query_id", (F.col("query_id") / 10).cast("long"))]
     merged = mm.merge_hits(*sources)
     lines = ev.evidence_lines(merged.withColumn("score", F.col("similarity_score")))
     evidence = ev.evidence_text(lines, "query_id", "ord", cfg.max_evidence_chars)
