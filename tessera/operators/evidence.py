@@ -115,10 +115,11 @@ def extractive_digest(segments: DataFrame, max_words: int, by: str = "task_id",
     """
     words = segments.select(by, order, F.explode(F.split(F.lower(tx.strip(F.col(text_col))), r"(?U)\s+")).alias("w"))
     words = words.filter(F.col("w") != "")
-    n_docs = segments.select(by).distinct().count()
+    # The document count is a one-row aggregate joined in (no action on the driver).
+    n_docs = segments.select(by).distinct().agg(F.count(F.lit(1)).cast("double").alias("_nd"))
     tf = words.groupBy(by, "w").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.select("w", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf"))
+    idf = df_.crossJoin(F.broadcast(n_docs)).select("w", F.log(F.col("_nd") / F.col("df")).alias("idf"))
     scored = (words.join(tf, [by, "w"]).join(idf, "w")
               .groupBy(by, order).agg(F.avg(F.col("tf") * F.col("idf")).alias("score"),
                                       F.count(F.lit(1)).alias("n_words")))
