@@ -120,13 +120,18 @@ def extractive_digest(segments: DataFrame, max_words: int, by: str = "task_id",
     tf = words.groupBy(by, "w").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.crossJoin(F.broadcast(n_docs)).select("w", F.log(F.col("_nd") / F.col("df")).alias("idf"))
-    scored = (words.join(tf, [by, "w"]).join(idf, "w")
-              .groupBy(by, order).agg(F.avg(F.col("tf") * F.col("idf")).alias("score"),
-                                      F.count(F.lit(1)).alias("n_words")))
+    # tf-idf is attached per distinct (document, word) first; occurrences then join it on
+    # (document, word). Occurrences are never keyed by the word alone, so a very common word
+    # does not pull all its occurrences into one task.
+    tfidf = tf.join(idf, "w").select(by, "w", (F.col("tf") * F.col("idf")).alias("_v"))
+    # Both sides grow with the text: a sort-merge join, never a broadcast picked from an
+    # under-estimate of the exploded occurrences.
+    scored = (words.hint("merge").join(tfidf, [by, "w"])
+              .groupBy(by, order).agg(F.avg("_v").alias("score"), F.count(F.lit(1)).alias("n_words")))
     w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
     picked = scored.withColumn("_run", F.sum("n_words").over(w)).filter(F.col("_run") <= max_words)
     seg = segments.select(by, order, text_col)
-    return (picked.join(seg, [by, order])
+    return (picked.hint("merge").join(seg, [by, order])
             .groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, text_col))).alias("_s"))
             .select(by, F.array_join(F.transform("_s", lambda s: s[text_col]), " ").alias("digest")))
 

@@ -673,7 +673,10 @@ def q_digest_prompts(spark, sf_dir):
 
 @register("extractive_digest")
 def q_extractive_digest(spark, sf_dir):
-    return ev.extractive_digest(ch.segment_transcripts(tb.transcripts(spark, sf_dir)), 60)
+    # The segments feed four branches (occurrences, document count, tf, final texts): written
+    # once to the checkpoint folder instead of being split four times.
+    segs = ch.segment_transcripts(tb.transcripts(spark, sf_dir)).checkpoint()
+    return ev.extractive_digest(segs, 60)
 
 
 def _assistant_completions(spark, sf_dir):
