@@ -84,15 +84,23 @@ def answer_prompts(queries: DataFrame, evidence: DataFrame, by: str = "query_id"
 def chat_prompts(messages: DataFrame, max_history: int = CHAT_HISTORY) -> DataFrame:
     """H4: per user turn, the last ``max_history`` earlier messages as ``role: content``, then the new one.
 
-    A row frame over each conversation: bounded by ``max_history``, not by the conversation.
+    The history is an equi-join on (conv_id, turn - n) for n in 1..max_history (turns are
+    numbered densely within a conversation), so even a very long conversation is never
+    sorted in one task; the per-turn collect is bounded by ``max_history``.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-max_history, -1)
-    hist = F.collect_list(F.struct("turn", F.coalesce(F.col("role"), F.lit("user")).alias("role"),
-                                   F.coalesce(F.col("text"), F.lit("")).alias("text"))).over(w)
-    conv = F.array_join(F.transform(F.array_sort(F.col("_h")), lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    hist = messages.select("conv_id", F.col("turn").alias("_t"),
+                           F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"),
+                                    F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("_m"))
+    users = messages.filter(F.col("role") == "user")
+    back = users.select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(max_history))).alias("_n"))
+    back = back.select("conv_id", "turn", (F.col("turn") - F.col("_n")).alias("_t"))
+    h = (back.join(hist, ["conv_id", "_t"], "inner").groupBy("conv_id", "turn")
+         .agg(F.array_sort(F.collect_list("_m")).alias("_h")))
+    j = users.join(h, ["conv_id", "turn"], "left")
+    conv = F.array_join(F.transform(F.coalesce(F.col("_h"), F.array().cast(h.schema["_h"].dataType)),
+                                    lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
     prompt = F.concat(F.lit(CHAT_PROMPT_HEAD), conv, F.lit("\n\n"), F.lit("User: "), F.col("text"), F.lit("\nAssistant:"))
-    return (messages.withColumn("_h", hist).filter(F.col("role") == "user")
-            .withColumn("prompt", prompt).drop("_h"))
+    return j.withColumn("prompt", prompt).drop("_h")
 
 
 def digest_prompts_transcripts(transcripts: DataFrame) -> DataFrame:

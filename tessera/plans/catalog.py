@@ -105,11 +105,11 @@ def q_content_key(spark, sf_dir):
 
 @register("contains_ci")
 def q_contains_ci(spark, sf_dir):
-    """Documents containing each benchmark item's first word, any case (bounded query side broadcast)."""
+    """Documents containing each benchmark item's first word, any case."""
     words = tb.text_queries(spark, sf_dir).select(
-        "query_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("word"))
-    docs = tb.transcripts(spark, sf_dir)
-    hits = docs.join(F.broadcast(words), tx.contains_ci(docs["text"], words["word"]), "inner")
+        "query_id", "task_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("word"))
+    docs = tb.transcripts(spark, sf_dir).withColumn("task_id", F.lit("all"))
+    hits = rt.contains_search(words.withColumnRenamed("word", "query"), docs, text_col="text")
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
     return words.join(counts, "query_id", "left").select(
         "query_id", "word", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))

@@ -159,3 +159,22 @@ def test_kmeans_invariants_and_both_plans_agree(spark, sf):
     i1 = {r["task_id"]: r["inertia"] for r in s1.collect()}
     i2 = {r["task_id"]: r["inertia"] for r in s2.collect()}
     assert all(abs(i1[t] - i2[t]) < 1e-6 for t in i1)
+
+
+def test_contains_search_plans_agree_with_python(spark, sf):
+    from tessera.config import Settings
+
+    docs = tb.transcripts(spark, sf).withColumn("task_id", F.lit("all"))
+    q = tb.text_queries(spark, sf).select("query_id", "task_id",
+                                           F.element_at(F.split("query", " "), 1).alias("query"))
+    small = Settings(broadcast_max_queries=5, vectors_per_cell=17)
+    a = {(r["query_id"], r["task_id"], r["text"][:30]) for r in rt.contains_search(q, docs, text_col="text").collect()}
+    b = {(r["query_id"], r["task_id"], r["text"][:30]) for r in
+         rt.contains_search(q, docs, small, text_col="text").collect()}
+    want = set()
+    qs, ds = q.collect(), docs.collect()
+    for x in qs:
+        for d in ds:
+            if x["query"].lower() in d["text"].lower():
+                want.add((x["query_id"], "all", d["text"][:30]))
+    assert a == b == want
