@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators.embedding import DEFAULT_EMBEDDER
+from tessera.operators.embedding import DEFAULT_EMBEDDER, unflatten
 
 CHUNK_TYPE = "semantic_dynamic"
 _STATE = ("struct<start:int,cnt:int,k:int,s1:double,s2:double,len:int,thr:double,"
@@ -80,6 +80,9 @@ def _per_task_segments(transcripts: DataFrame, cfg: Settings, embedder=None) ->
     """(task_id, segs array<string>, vecs array<array<double>>), computed in-row: no exchange."""
     emb = embedder or DEFAULT_EMBEDDER
     t = transcripts.select("task_id", tx.split_segments("text").alias("segs"))
+    if hasattr(emb, "flat_vectors"):
+        t = t.select("task_id", "segs", emb.flat_vectors(F.col("segs")).alias("_flat"))
+        return t.select("task_id", "segs", unflatten("_flat", F.size("segs"), emb.dim).alias("vecs"))
     return t.select("task_id", "segs", emb.vectors(F.col("segs")).alias("vecs"))
 
 

@@ -44,26 +44,60 @@ class HashedTrigramEmbedder:
 
     @staticmethod
     def _counter(dim: int, limit: int):
+        """``counts(list of texts) -> (n, dim)`` for a whole batch at once.
+
+        Texts are normalised, padded and concatenated; every trigram becomes one int64 code
+        (three 21-bit code points); the bucket of each distinct code comes from a sorted
+        per-worker cache (md5 only for codes not seen before), and one ``bincount`` over
+        (text, bucket) gives all vectors. The Python work is per distinct new trigram, not
+        per character.
+        """
         import hashlib
 
-        cache: dict[str, int] = {}
-
-        def counts(text) -> np.ndarray:
-            if text is None:
-                return np.zeros(dim)
-            p = " " + " ".join(text.lower().split()) + " "
-            ids = []
-            get = cache.get
-            for i in range(len(p) - 2):
-                g = p[i:i + 3]
-                b = get(g)
-                if b is None:
-                    if len(cache) >= limit:
-                        cache.clear()
-                    b = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:2], 16) % dim
-                    cache[g] = b
-                ids.append(b)
-            return np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
+        state = {"codes": np.zeros(0, dtype=np.int64), "buckets": np.zeros(0, dtype=np.int64)}
+
+        def bucket_of(code: int) -> int:
+            g = chr(code >> 42) + chr((code >> 21) & 0x1FFFFF) + chr(code & 0x1FFFFF)
+            return int(hashlib.md5(g.encode("utf-8")).hexdigest()[:2], 16) % dim
+
+        def lookup(codes: np.ndarray) -> np.ndarray:
+            uniq, inv = np.unique(codes, return_inverse=True)
+            known, kb = state["codes"], state["buckets"]
+            pos = np.searchsorted(known, uniq)
+            hit = (pos < len(known)) & (known[np.minimum(pos, max(len(known) - 1, 0))] == uniq) if len(known) \
+                else np.zeros(len(uniq), dtype=bool)
+            ub = np.empty(len(uniq), dtype=np.int64)
+            ub[hit] = kb[pos[hit]]
+            new = uniq[~hit]
+            if len(new):
+                nb = np.fromiter((bucket_of(int(c)) for c in new), dtype=np.int64, count=len(new))
+                ub[~hit] = nb
+                if len(known) + len(new) > limit:
+                    known, kb = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                allc = np.concatenate([known, new])
+                allb = np.concatenate([kb, nb])
+                order = np.argsort(allc, kind="stable")
+                state["codes"], state["buckets"] = allc[order], allb[order]
+            return ub[inv]
+
+        def counts(texts) -> np.ndarray:
+            n = len(texts)
+            padded = [" " + " ".join(t.lower().split()) + " " if t is not None else "  " for t in texts]
+            lens = np.fromiter((len(p) for p in padded), dtype=np.int64, count=n)
+            out = np.zeros((n, dim))
+            total = int(lens.sum())
+            if n == 0 or total == 0:
+                return out
+            cps = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(n), lens)
+            local = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
+            idx = np.nonzero(local < np.repeat(lens - 2, lens))[0]
+            if len(idx) == 0:
+                return out
+            codes = (cps[idx] << 42) | (cps[idx + 1] << 21) | cps[idx + 2]
+            b = lookup(codes)
+            flat = np.bincount(owner[idx] * dim + b, minlength=n * dim)
+            return flat.reshape(n, dim).astype(np.float64)
 
         return counts
 
@@ -74,10 +108,32 @@ class HashedTrigramEmbedder:
         def _tri(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             counts = mk(dim, limit)
             for s in batches:
-                yield pd.Series([counts(t) for t in s])
+                yield pd.Series(list(counts(s.tolist())))
 
         return _tri(tx._col(text))
 
+    def flat_vectors(self, texts) -> Column:
+        """``array<string>`` -> one flat ``array<double>`` (len(texts) * dim) per row.
+
+        A flat array per row moves through Arrow far cheaper than an array of arrays; cut it
+        with :func:`unflatten` in a later projection (a Python UDF cannot sit inside a lambda).
+        """
+        dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def _tri_flat(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            counts = mk(dim, limit)
+            for s in batches:
+                lists = [list(x) if x is not None else [] for x in s]
+                m = counts([t for x in lists for t in x])
+                out, at = [], 0
+                for x in lists:
+                    out.append(m[at:at + len(x)].ravel())
+                    at += len(x)
+                yield pd.Series(out)
+
+        return _tri_flat(tx._col(texts))
+
     def vectors(self, texts) -> Column:
         dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
 
@@ -85,7 +141,13 @@ class HashedTrigramEmbedder:
         def _tri_many(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             counts = mk(dim, limit)
             for s in batches:
-                yield pd.Series([[counts(t) for t in x] if x is not None else [] for x in s])
+                lists = [list(x) if x is not None else [] for x in s]
+                m = counts([t for x in lists for t in x])
+                out, at = [], 0
+                for x in lists:
+                    out.append(list(m[at:at + len(x)]))
+                    at += len(x)
+                yield pd.Series(out)
 
         return _tri_many(tx._col(texts))
 
@@ -165,6 +227,12 @@ class PandasEmbedder:
         return df.select(*key_cols, self.vector(F.col(text_col)).alias(out_col))
 
 
+def unflatten(flat, n, dim: int) -> Column:
+    """Cut a flat ``array<double>`` into ``n`` vectors of ``dim``."""
+    flat = tx._col(flat)
+    return F.transform(F.sequence(F.lit(0), tx._col(n) - 1), lambda i: F.slice(flat, i * dim + 1, F.lit(dim)))
+
+
 DEFAULT_EMBEDDER = HashedTrigramEmbedder(64)
 
 
