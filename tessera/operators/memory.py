@@ -24,14 +24,16 @@ MEMORY_TYPES = ("query", "qa")
 def memory_append(memory: DataFrame, new: DataFrame, order_col: str = "ord") -> DataFrame:
     """Append entries per key after the largest ``seq``, in ``order_col`` order.
 
-    The offset is a grouped max (one row per key); the numbering of the new rows is a window
-    over one append batch.
+    The offset is a grouped max (one row per key); the new rows are numbered with
+    :func:`positions`, so a hot key is not numbered in one task. ``order_col`` must be unique
+    within a key.
     """
+    from tessera.operators.ordering import positions
+
     top = memory.groupBy("memory_key").agg(F.max("seq").alias("_top"))
-    w = Window.partitionBy("memory_key").orderBy(order_col)
-    added = (new.join(top, "memory_key", "left")
-             .withColumn("seq", (F.coalesce(F.col("_top"), F.lit(-1)) + F.row_number().over(w)).cast("long"))
-             .drop("_top", order_col))
+    added = (positions(new, "memory_key", [order_col], "_p").join(top, "memory_key", "left")
+             .withColumn("seq", (F.coalesce(F.col("_top"), F.lit(-1)) + F.col("_p") + 1).cast("long"))
+             .drop("_top", "_p", order_col))
     return memory.unionByName(added, allowMissingColumns=True)
 
 

@@ -44,7 +44,9 @@ def chunk_vectors(chunks: DataFrame, embedder=None, dedup: bool = False) -> Data
         v = em.embed_distinct(chunks, "content", embedder).drop("content_key")
     else:
         v = chunks.withColumn("vec", (embedder or em.DEFAULT_EMBEDDER).vector(F.col("content")))
-    return st.assign_vector_ids(v, None, "chunk_index")
+    # A fresh index numbers its vectors in chunk order, and chunk_index is already dense from
+    # 0 per task (assigned in-row by the fold): no numbering pass is needed.
+    return v.withColumn("vec_id", F.col("chunk_index").cast("long"))
 
 
 def attach_vectors(chunks: DataFrame, vecs: DataFrame) -> DataFrame:

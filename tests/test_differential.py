@@ -178,3 +178,16 @@ def test_contains_search_plans_agree_with_python(spark, sf):
             if x["query"].lower() in d["text"].lower():
                 want.add((x["query_id"], "all", d["text"][:30]))
     assert a == b == want
+
+
+def test_positions_with_a_hot_key_equal_row_number(spark):
+    from pyspark.sql import Window
+
+    from tessera.operators.ordering import positions
+
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, o long")
+    got = {(r["key"], r["o"]): r["pos"] for r in positions(df, "key", ["o"], n_parts=16).collect()}
+    want = {(r["key"], r["o"]): r["rn"] for r in
+            df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("o")) - 1).collect()}
+    assert got == want
