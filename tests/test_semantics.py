@@ -179,3 +179,24 @@ def test_stream_ingest_equals_batch(spark, sf):
     assert streamed == batch
     status = spark.read.parquet(f"{store}/task_status")
     assert status.count() == t.count()
+
+
+def test_ingest_with_clustering_end_to_end(spark, sf):
+    from tessera.plans import pipelines as pl
+
+    out = pl.ingest(tb.transcripts(spark, sf))
+    meta = {r["task_id"]: r for r in out.index_meta.collect()}
+    n = {r["task_id"]: r["n"] for r in out.chunks.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(meta) == set(n)
+    for t, m in meta.items():
+        assert m["total_chunks"] == n[t] and m["embedding_dimension"] == 64
+        if n[t] > 5:
+            assert m["n_clusters"] >= 1 and -1.0 <= m["silhouette_score"] <= 1.0
+        else:
+            assert m["n_clusters"] == 0
+    ids = out.vectors.groupBy("task_id").agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b"),
+                                             F.count(F.lit(1)).alias("n")).collect()
+    assert all(r["a"] == 0 and r["b"] == r["n"] - 1 for r in ids)
+    assert out.memory.count() == len(n)
+    status = {r["status"] for r in out.task_status.collect()}
+    assert status <= {"completed", "failed"}
