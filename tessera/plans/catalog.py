@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import Settings
 from tessera.operators import evidence as ev
 from tessera.operators import retrieval as rt
 from tessera.sources import tables as tb

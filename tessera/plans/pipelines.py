@@ -19,7 +19,6 @@ from tessera.operators import evidence as ev
 from tessera.operators import memory as mm
 from tessera.operators import retrieval as rt
 from tessera.operators import routing as ro
-from tessera.sources import store as st
 
 FAILED_NO_CHUNKS = "Index creation failed: No embeddings provided to build the index"
 COMPLETED = "Hybrid index created successfully"

@@ -1,6 +1,5 @@
 """Properties and the behaviours of the original that are kept or fixed on purpose."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
