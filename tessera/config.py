@@ -61,4 +61,5 @@ class Settings:
     # Scale knobs: rows of the query side that may be shipped to every executor,
     # and target vectors per cell of the salted grid when they may not.
     broadcast_max_queries: int = 50_000
+    broadcast_max_bytes: int = 64 << 20
     vectors_per_cell: int = 200_000
