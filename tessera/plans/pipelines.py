@@ -91,13 +91,19 @@ class Answered:
 
 def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | None, memory: DataFrame | None,
                    cfg: Settings = Settings(), completions: DataFrame | None = None, embedder=None,
-                   use_memory: bool = True, k: int | None = None, threshold: float | None = None) -> Answered:
+                   use_memory: bool = True, k: int | None = None, threshold: float | None = None,
+                   grader=None, rewriter=None) -> Answered:
     """Retrieve -> memory -> merge -> evidence -> prompt (-> answer -> memory rows).
 
     ``queries``: (query_id, task_id, query[, memory_key, pos]). ``store``: (task_id, vec_id,
     chunk_id, content, vec). Corrective grading needs a grader; run :mod:`corrective` on the
     provenance when one is available. Without a digest completion, over-budget evidence is
     cut to the budget (the original's fallback).
+
+    Corrective mode: with ``grader`` ((queries, strips) -> grade rows, e.g. parsed grader
+    completions or :func:`corrective.lexical_grades`) the first strips are graded, weak
+    questions go through :func:`corrective.corrective_rounds` with ``rewriter`` (default
+    :func:`corrective.keyword_rewrites`), and the best k by (grade, score) are kept (G11).
     """
     k = cfg.k if k is None else k
     threshold = cfg.answer_threshold if threshold is None else threshold
@@ -124,8 +130,25 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
                              cfg=cfg, k_col="k_row")
     sources = [hits.withColumn("src_ord", (F.col("query_id") % 10).cast("int"))
                .withColumn("query_id", (F.col("query_id") / 10).cast("long"))]
-    merged = mm.merge_hits(*sources)
-    lines = ev.evidence_lines(merged.withColumn("score", F.col("similarity_score")))
+    merged = mm.merge_hits(*sources).withColumn("score", F.col("similarity_score"))
+    if grader is not None:
+        from tessera.operators import corrective as cr
+
+        g = grader(queries, merged.filter(F.col("ord") <= cfg.grade_max_items))
+        graded = (merged.join(g.select("query_id", "chunk_id", "grade", "grade_reason"), ["query_id", "chunk_id"], "left")
+                  .withColumn("grade", F.coalesce("grade", F.lit(0.0)))
+                  .withColumn("grade_reason", F.coalesce("grade_reason", F.lit("no-grade"))))
+
+        def retrieve(rw: DataFrame) -> DataFrame:
+            rq = emb.embed(rw.withColumn("_sid", F.col("query_id") * 10 + F.col("rewrite_no")), "rewrite",
+                           ["_sid", "task_id"], "qvec").withColumnRenamed("_sid", "query_id")
+            h = rt.search_similar(rq, store, members, k=k, threshold=threshold, cfg=cfg)
+            return (h.withColumn("rewrite_no", (F.col("query_id") % 10).cast("long"))
+                    .withColumn("query_id", (F.col("query_id") / 10).cast("long")))
+
+        graded = cr.corrective_rounds(queries, graded, retrieve, grader, rewriter or cr.keyword_rewrites, cfg)
+        merged = cr.select_strips(graded, k).withColumn("ord", F.col("final_rank"))
+    lines = ev.evidence_lines(merged)
     evidence = ev.evidence_text(lines, "query_id", "ord", cfg.max_evidence_chars)
     if completions is not None:
         digest = completions.filter(F.col("stage") == "digest").select(

@@ -199,3 +199,23 @@ def test_ingest_with_clustering_end_to_end(spark, sf):
     assert out.memory.count() == len(n)
     status = {r["status"] for r in out.task_status.collect()}
     assert status <= {"completed", "failed"}
+
+
+def test_answer_queries_corrective_mode_keeps_k_graded_strips(spark, sf):
+    from tessera.operators import corrective as cr2
+    from tessera.plans import catalog
+    from tessera.plans import pipelines as pl
+
+    store = catalog.corpus_store(spark, sf)
+    q = tb.text_queries(spark, sf)
+    out = pl.answer_queries(q, store, store.select("task_id", "chunk_id", "cluster_id"), None,
+                            use_memory=False, grader=lambda qq, s: cr2.lexical_grades(qq, s))
+    prov = out.provenance  # merged strips before selection
+    prompts = {r["query_id"]: r["prompt"] for r in out.prompts.collect()}
+    assert len(prompts) == q.count()
+    for p in prompts.values():
+        evidence = p.split("Retrieved evidence:\n\n", 1)[1].split("\n\nUser question:", 1)[0]
+        lines = [x for x in evidence.split("\n") if x.startswith("[")]
+        # the evidence is cut at 2000 characters, so only whole lines are checked
+        assert len(lines) <= 5 and all("(grade " in x for x in lines[:-1])
+    assert prov.count() > 0
