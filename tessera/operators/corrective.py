@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import text as tx
+from tessera.session import checkpoint
 
 # Prompt texts of the grader and the rewriter.
 GRADER_HEAD = (
@@ -186,7 +187,7 @@ def corrective_rounds(queries: DataFrame, graded: DataFrame, retrieve: Callable[
         g = (g.withColumn("grade", F.coalesce("grade", F.lit(0.0)))
              .withColumn("grade_reason", F.coalesce("grade_reason", F.lit("no-grade"))))
         strong = done.join(weak, "query_id", "left_anti")
-        done = strong.unionByName(g, allowMissingColumns=True).checkpoint()
+        done = checkpoint(strong.unionByName(g, allowMissingColumns=True))
     return done
 
 

@@ -76,7 +76,7 @@ from tessera.functions import text as tx  # noqa: E402
 from tessera.functions import vectors as vx  # noqa: E402
 from tessera.operators import chunking as ch  # noqa: E402
 from tessera.operators import embedding as em  # noqa: E402
-from tessera.session import scratch_dir  # noqa: E402
+from tessera.session import checkpoint, scratch_dir  # noqa: E402
 from tessera.sources import files as fl  # noqa: E402
 from tessera.sources import store as st  # noqa: E402
 
@@ -674,7 +674,7 @@ def q_digest_prompts(spark, sf_dir):
 def q_extractive_digest(spark, sf_dir):
     # The segments feed four branches (occurrences, document count, tf, final texts): written
     # once to the checkpoint folder instead of being split four times.
-    segs = ch.segment_transcripts(tb.transcripts(spark, sf_dir)).checkpoint()
+    segs = checkpoint(ch.segment_transcripts(tb.transcripts(spark, sf_dir)))
     return ev.extractive_digest(segs, 60)
 
 

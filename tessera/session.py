@@ -55,3 +55,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpoint(df):
+    """``df.checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``.
+
+    Makes sure the SparkContext knows that folder first (a session built elsewhere may have
+    the setting but not have called ``setCheckpointDir``).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
