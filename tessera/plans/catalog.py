@@ -770,28 +770,12 @@ def q_ingest_stream(spark, sf_dir):
 def q_question_stream(spark, sf_dir):
     store = corpus_store(spark, sf_dir)
     out = scratch_dir(spark, "answers")
-    schema = "conv_id long, turn long, role string, text string"
-    src = (spark.readStream.format("parquet").schema(schema)
+    src = (spark.readStream.format("parquet").schema("conv_id long, turn long, role string, text string")
            .option("pathGlobFilter", "conversations.parquet").load(sf_dir)
            .withColumn("task_id", F.lit("all")))
-    members = store.select("task_id", "chunk_id", "cluster_id")
-
-    def run(batch, epoch_id):
-        from tessera.operators import routing as ro2
-        routed = ro2.route_messages(batch.filter(F.col("role") == "user"), chat_only=False, force_rag=False,
-                                    auto_retrieve=True)
-        rag = routed.filter(F.col("mode") == "rag").select(
-            (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "task_id", F.col("text").alias("query"))
-        qv = em.DEFAULT_EMBEDDER.embed(rag, "query", ["query_id", "task_id"], "qvec")
-        hits = rt.search_similar(qv, store, members, k=5, threshold=0.0)
-        n = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("n_hits"))
-        res = (routed.withColumn("query_id", F.col("conv_id") * 100 + F.col("turn")).join(n, "query_id", "left")
-               .select("conv_id", "turn", "mode", "reason", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
-               .withColumn("epoch", F.lit(epoch_id)))
-        res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out)
-
-    q = (src.writeStream.foreachBatch(run).option("checkpointLocation", scratch_dir(spark, "q-ckpt"))
-         .trigger(availableNow=True).start())
+    q = sm.question_stream(spark, src, store, store.select("task_id", "chunk_id", "cluster_id"), out,
+                           scratch_dir(spark, "q-ckpt"),
+                           route_flags={"chat_only": False, "force_rag": False, "auto_retrieve": True})
     q.awaitTermination()
     return spark.read.parquet(out).drop("epoch")
 
