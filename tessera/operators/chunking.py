@@ -87,17 +87,29 @@ def _per_task_segments(transcripts: DataFrame, cfg: Settings, embedder=None) ->
 
 
 def neighbour_steps(segs, vecs) -> "F.Column":
-    """array<struct<seg_no, sim, clen>>: similarity with the previous segment and collapsed length."""
+    """array<struct<seg_no, sim, clen>>: similarity with the previous segment and collapsed length.
+
+    Squared norms are computed once per segment (not twice per neighbour pair); the cosine is
+    dot / (sqrt(|a|^2) * sqrt(|b|^2)), 0 when either vector is zero.
+    """
     n = F.size(segs)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.alias("seg_no"),
-            F.when(i == 0, F.lit(None).cast("double"))
-             .otherwise(vx.cosine_similarity(vecs[i - 1], vecs[i])).alias("sim"),
-            F.length(tx.collapse_ws(segs[i])).alias("clen"),
-        ),
-    )
+
+    def with_norms(sq):
+        def cos(i):
+            na, nb = sq[i - 1], sq[i]
+            return F.when((na > 0) & (nb > 0), vx.dot(vecs[i - 1], vecs[i]) / (F.sqrt(na) * F.sqrt(nb))) \
+                .otherwise(F.lit(0.0))
+
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(
+                i.alias("seg_no"),
+                F.when(i == 0, F.lit(None).cast("double")).otherwise(cos(i)).alias("sim"),
+                F.length(tx.collapse_ws(segs[i])).alias("clen"),
+            ),
+        )
+
+    return vx.let(F.transform(vecs, vx.sq_norm), with_norms)
 
 
 def semantic_chunks(transcripts: DataFrame, cfg: Settings = Settings(), embedder=None) -> DataFrame:
