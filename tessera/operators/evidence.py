@@ -171,7 +171,7 @@ def retrieval_report(hits: DataFrame) -> DataFrame:
     line = F.concat(F.lit("  - id="), F.coalesce(F.col("chunk_id"), F.lit("")),
                     F.lit(" rank="), F.coalesce(F.col("rank").cast("string"), F.lit("-")),
                     F.lit(" sim="), F.format_string("%.3f", F.coalesce(F.col("similarity_score"), F.lit(0.0))),
-                    F.lit(" faiss="), F.coalesce(F.when(F.col("index_similarity").isNotNull(),
+                    F.lit(" index="), F.coalesce(F.when(F.col("index_similarity").isNotNull(),
                                                         F.format_string("%.3f", F.col("index_similarity"))), F.lit("-")),
                     F.lit(" grade="), F.coalesce(grade, F.lit("-")),
                     F.lit(" cl="), F.coalesce(F.col("cluster_id").cast("string"), F.lit("-")))

@@ -860,7 +860,7 @@ FROM t""")
 sql("retrieval_report", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + """
 SELECT query_id, CAST(rank AS BIGINT) AS rank,
        '  - id=' || chunk_id || ' rank=' || CAST(rank AS VARCHAR) || ' sim=' || printf('%.3f', similarity_score)
-       || ' faiss=' || printf('%.3f', index_similarity)
+       || ' index=' || printf('%.3f', index_similarity)
        || ' grade=' || coalesce(printf('%.2f', grade), '-') || ' cl=' || coalesce(CAST(cluster_id AS VARCHAR), '-')
        AS report_line
 FROM graded_f2 WHERE rank <= 10""")
