@@ -219,3 +219,30 @@ def test_answer_queries_corrective_mode_keeps_k_graded_strips(spark, sf):
         # the evidence is cut at 2000 characters, so only whole lines are checked
         assert len(lines) <= 5 and all("(grade " in x for x in lines[:-1])
     assert prov.count() > 0
+
+
+def test_segment_longer_than_budget_stays_whole(spark):
+    long_seg = "x" * 2500
+    t = spark.createDataFrame([("x", "Alpha beta gamma delta epsilon. " + long_seg + ". Tail words here.")],
+                              "task_id string, text string")
+    rows = ch.semantic_chunks(t).collect()
+    assert any(r["character_count"] >= 2500 and long_seg in r["content"] for r in rows)
+
+
+def test_summary_entry_takes_a_window_slot(spark):
+    mem = spark.createDataFrame(
+        [("m", 0, "ingest_summary", "s", None)] + [("m", i, "query", f"q{i}", [1.0, 0.0]) for i in range(1, 30)],
+        "memory_key string, seq long, type string, text string, vec array<double>")
+    q = spark.createDataFrame([(1, "m", 19, [1.0, 0.0])], "query_id long, memory_key string, pos long, qvec array<double>")
+    win = mm.memory_window(q.select("query_id", "memory_key", "pos"), mem, 20).collect()
+    assert len(win) == 20 and min(r["seq"] for r in win) == 0
+    picks = mm.memory_candidates(q, mem).collect()
+    assert [r["seq"] for r in sorted(picks, key=lambda r: r["pick"])] == [1, 2]
+
+
+def test_zero_vectors_score_zero(spark):
+    rows = [("t", 0, "c0", "zero", [0.0, 0.0]), ("t", 1, "c1", "one", [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "task_id string, vec_id long, chunk_id string, content string, vec array<double>")
+    q = spark.createDataFrame([(0, "t", [0.0, 0.0])], "query_id long, task_id string, qvec array<double>")
+    hits = rt.search_similar(q, v, None, k=2, threshold=0.0).collect()
+    assert len(hits) == 2 and all(h["similarity_score"] == 0.0 for h in hits)
