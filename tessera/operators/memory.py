@@ -133,11 +133,11 @@ def merge_hits(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         u = u.unionByName(s, allowMissingColumns=True)
     u = u.filter(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != ""))
-    occ = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("similarity_score"), "src_ord", "rank")
-    best = u.withColumn("_r", F.row_number().over(occ)).filter("_r = 1").drop("_r")
-    first_seen = (u.groupBy("query_id", "chunk_id")
-                  .agg(F.min(F.struct("src_ord", "rank")).alias("_first")))
-    best = best.join(first_seen, ["query_id", "chunk_id"])
+    occ = Window.partitionBy("query_id", "chunk_id")
+    # One pass over each (query, chunk) group: the best occurrence and the first position seen.
+    best = (u.withColumn("_r", F.row_number().over(occ.orderBy(F.desc("similarity_score"), "src_ord", "rank")))
+            .withColumn("_first", F.min(F.struct("src_ord", "rank")).over(occ))
+            .filter("_r = 1").drop("_r"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), F.col("_first"))
     return best.withColumn("ord", F.row_number().over(w)).drop("_first")
 
