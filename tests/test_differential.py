@@ -191,3 +191,34 @@ def test_positions_with_a_hot_key_equal_row_number(spark):
     want = {(r["key"], r["o"]): r["rn"] for r in
             df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("o")) - 1).collect()}
     assert got == want
+
+
+def test_per_row_k_same_in_both_plans(spark, sf):
+    from tessera.config import Settings
+
+    q = tb.vector_queries(spark, sf).withColumn("k_row", (F.col("query_id") % 3 + 1).cast("int"))
+    v = tb.vectors(spark, sf)
+    a = {(r["query_id"], r["vec_id"], r["rank"]) for r in
+         rt.vector_topk(q, v, k=5, k_col="k_row", strategy="block").collect()}
+    small = Settings(vectors_per_cell=23, broadcast_max_queries=40)
+    b = {(r["query_id"], r["vec_id"], r["rank"]) for r in
+         rt.vector_topk(q, v, k=5, cfg=small, k_col="k_row", strategy="grid").collect()}
+    assert a == b
+    per = {}
+    for qid, _, rank in a:
+        per[qid] = max(per.get(qid, 0), rank)
+    assert all(per[qid] == qid % 3 + 1 for qid in per)
+
+
+def test_kmeans_mixed_small_and_large_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [("big", i, (rng.normal(size=4) + (i % 3) * 5).tolist()) for i in range(300)]
+    rows += [(f"s{t}", i, (rng.normal(size=4) + (i % 2) * 5).tolist()) for t in range(3) for i in range(30)]
+    rows += [("tiny", i, rng.normal(size=4).tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "task_id string, vec_id long, vec array<double>")
+    members, centres, status = cl.kmeans_by_task(df, local_max_rows=100)
+    st = {r["task_id"]: r for r in status.collect()}
+    assert st["tiny"]["cluster_error"] is not None and st["big"]["inertia"] is not None
+    counts = {r["task_id"]: r["count"] for r in members.groupBy("task_id").count().collect()}
+    assert counts == {"big": 300, "s0": 30, "s1": 30, "s2": 30}
+    assert {r["task_id"] for r in centres.collect()} == {"big", "s0", "s1", "s2"}
