@@ -1,5 +1,6 @@
 """Properties and the behaviours of the original that are kept or fixed on purpose."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
@@ -246,3 +247,14 @@ def test_zero_vectors_score_zero(spark):
     q = spark.createDataFrame([(0, "t", [0.0, 0.0])], "query_id long, task_id string, qvec array<double>")
     hits = rt.search_similar(q, v, None, k=2, threshold=0.0).collect()
     assert len(hits) == 2 and all(h["similarity_score"] == 0.0 for h in hits)
+
+
+def test_embed_distinct_shares_vectors_and_uses_the_cache(spark):
+    from tessera.operators import embedding as em
+
+    emb = em.PandasEmbedder(lambda: (lambda texts: np.array([[float(len(t)), 1.0] for t in texts])), 2, "len")
+    df = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "bbb"), (4, "c")], "id long, text string")
+    cache = spark.createDataFrame([("c",)], "t string").select(F.md5("t").alias("content_key"),
+                                                                 F.array(F.lit(9.0), F.lit(9.0)).alias("vec"))
+    out = {r["id"]: r["vec"] for r in em.embed_distinct(df, "text", emb, cache=cache).collect()}
+    assert out[1] == out[2] == [2.0, 1.0] and out[3] == [3.0, 1.0] and out[4] == [9.0, 9.0]
