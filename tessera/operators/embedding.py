@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,11 +105,13 @@ class HashedTrigramEmbedder:
     def vector(self, text) -> Column:
         dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def _tri(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def _tri(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             counts = mk(dim, limit)
-            for s in batches:
-                yield pd.Series(list(counts(s.tolist())))
+            for arr in batches:
+                m = counts(arr.to_pylist())
+                offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dim)
+                yield pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))
 
         return _tri(tx._col(text))
 
@@ -120,17 +123,17 @@ class HashedTrigramEmbedder:
         """
         dim, limit, mk = self.dim, self.CACHE_LIMIT, self._counter
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def _tri_flat(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def _tri_flat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             counts = mk(dim, limit)
-            for s in batches:
-                lists = [list(x) if x is not None else [] for x in s]
-                m = counts([t for x in lists for t in x])
-                out, at = [], 0
-                for x in lists:
-                    out.append(m[at:at + len(x)].ravel())
-                    at += len(x)
-                yield pd.Series(out)
+            for arr in batches:
+                # list<string> -> one flat list of segments; the output row i holds the vectors
+                # of its own segments, so the list offsets are the input offsets times dim.
+                arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
+                arr = arr.fill_null(pa.scalar([], arr.type)) if arr.null_count else arr
+                m = counts(arr.flatten().to_pylist())
+                offsets = pa.array((arr.offsets.to_numpy() - arr.offsets[0].as_py()) * dim, type=pa.int32())
+                yield pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))
 
         return _tri_flat(tx._col(texts))
 
