@@ -173,7 +173,9 @@ def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None,
     """Route each user turn, then an answer prompt (rag) or a chat prompt (chat).
 
     ``messages``: user and assistant rows (conv_id, turn, role, text) with routing flags on the
-    user rows. Returns (conv_id, turn, mode_used, reason, prompt).
+    user rows. Returns (conv_id, turn, mode_used, reason, prompt). Memory-widened retrieval
+    needs (memory_key, pos) on the questions and the memory rows of earlier answers; pass
+    ``use_memory=True`` with such a memory table, otherwise turns are answered without memory.
     """
     routed = ro.route_messages(messages.filter(F.col("role") == "user"))
     rag = routed.filter(F.col("mode") == "rag").select(
