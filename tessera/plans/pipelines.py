@@ -169,17 +169,36 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
 
 
 def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None, cfg: Settings = Settings(),
-               embedder=None, memory: DataFrame | None = None, use_memory: bool = False) -> DataFrame:
+               embedder=None, memory: DataFrame | None = None, use_memory: bool = False,
+               answers: DataFrame | None = None) -> DataFrame:
     """Route each user turn, then an answer prompt (rag) or a chat prompt (chat).
 
     ``messages``: user and assistant rows (conv_id, turn, role, text) with routing flags on the
-    user rows. Returns (conv_id, turn, mode_used, reason, prompt). Memory-widened retrieval
-    needs (memory_key, pos) on the questions and the memory rows of earlier answers; pass
-    ``use_memory=True`` with such a memory table, otherwise turns are answered without memory.
+    user rows. Returns (conv_id, turn, mode_used, reason, prompt).
+
+    With ``use_memory`` the turns routed to retrieval share one memory per task, as in the
+    original: each such turn, in (conv_id, turn) order, sees the memory written before it
+    (``memory``, e.g. ingest summaries) plus the query and Q/A entries of the earlier
+    retrieval turns, whose answers come from ``answers`` (query_id, answer).
     """
+    from tessera.operators.ordering import positions
+
     routed = ro.route_messages(messages.filter(F.col("role") == "user"))
     rag = routed.filter(F.col("mode") == "rag").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "task_id", F.col("text").alias("query"))
+        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "task_id", F.col("text").alias("query"),
+        "conv_id", "turn")
+    if use_memory:
+        base = memory if memory is not None else rag.sparkSession.createDataFrame(
+            [], "memory_key string, seq long, type string, text string, vec array<double>")
+        top = base.groupBy("memory_key").agg(F.max("seq").alias("_top"))
+        rag = (positions(rag.withColumn("memory_key", F.col("task_id")), "memory_key", ["conv_id", "turn"], "_j")
+               .join(top, "memory_key", "left")
+               .withColumn("pos", (F.coalesce(F.col("_top"), F.lit(-1)) + 2 * F.col("_j")).cast("long"))
+               .drop("_j", "_top"))
+        given = answers if answers is not None else rag.select("query_id", F.lit("").alias("answer"))
+        # pos is the last seq a turn may see; its own entries take pos + 1 and pos + 2.
+        written = mm.qa_memory_rows(rag.join(given.select("query_id", "answer"), "query_id", "left"), embedder)
+        memory = base.unionByName(written.select("memory_key", "seq", "type", "text", "vec"))
     ans = answer_queries(rag, store, members, memory, cfg, embedder=embedder, use_memory=use_memory)
     rag_out = (routed.filter(F.col("mode") == "rag")
                .withColumn("query_id", F.col("conv_id") * 100 + F.col("turn"))

@@ -258,3 +258,21 @@ def test_embed_distinct_shares_vectors_and_uses_the_cache(spark):
                                                                  F.array(F.lit(9.0), F.lit(9.0)).alias("vec"))
     out = {r["id"]: r["vec"] for r in em.embed_distinct(df, "text", emb, cache=cache).collect()}
     assert out[1] == out[2] == [2.0, 1.0] and out[3] == [3.0, 1.0] and out[4] == [9.0, 9.0]
+
+
+def test_chat_turns_with_shared_task_memory(spark, sf):
+    from tessera.plans import catalog
+    from tessera.plans import pipelines as pl
+
+    store = catalog.corpus_store(spark, sf)
+    msgs = tb.routing_flags(spark, sf).unionByName(
+        tb.messages(spark, sf).filter(F.col("role") != "user"), allowMissingColumns=True)
+    answers = tb.user_turns(spark, sf).select("query_id", "answer")
+    out = pl.chat_turns(msgs, store, store.select("task_id", "chunk_id", "cluster_id"), use_memory=True,
+                        answers=answers)
+    plain = pl.chat_turns(msgs, store, store.select("task_id", "chunk_id", "cluster_id"))
+    a = {(r["conv_id"], r["turn"]): r for r in out.collect()}
+    b = {(r["conv_id"], r["turn"]): r for r in plain.collect()}
+    assert set(a) == set(b)
+    assert all(a[x]["mode_used"] == b[x]["mode_used"] for x in a)
+    assert all(a[x]["prompt"] for x in a if a[x]["mode_used"] == "rag")
