@@ -82,11 +82,10 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from conversations: every user turn, with the next assistant turn as its answer.
 
     query_id = conv_id * 100 + turn, task_id = 'all', memory_key = 'm' || (conv_id % 10).
-    ``pos`` = 2 * (position of the turn within its key, ordered by (conv_id, turn)), computed
-    in two levels (offsets per conversation, then rank inside the conversation), so no window
-    sorts a whole key.
+    ``pos`` = 2 * (position of the turn within its key, ordered by (conv_id, turn)), numbered
+    with range partitions and per-piece offsets, so no window sorts a whole key.
     """
-    from pyspark.sql import Window
+    from tessera.operators.ordering import positions
 
     m = messages(spark, sf_dir)
     ans = m.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
@@ -94,11 +93,7 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = (m.filter(F.col("role") == "user").join(ans, ["conv_id", "turn"], "left")
          .select("conv_id", "turn", F.col("text").alias("query"), F.coalesce("answer", F.lit("")).alias("answer"),
                  F.concat(F.lit("m"), (F.col("conv_id") % 10).cast("string")).alias("memory_key")))
-    per_conv = u.groupBy("memory_key", "conv_id").agg(F.count(F.lit(1)).alias("_c"))
-    wk = Window.partitionBy("memory_key").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, 0)
-    offs = per_conv.withColumn("_off", F.sum("_c").over(wk) - F.col("_c")).drop("_c")
-    wc = Window.partitionBy("conv_id").orderBy("turn")
-    u = u.join(offs, ["memory_key", "conv_id"]).withColumn("_j", F.col("_off") + F.row_number().over(wc) - 1)
+    u = positions(u, "memory_key", ["conv_id", "turn"], "_j")
     return u.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit("all").alias("task_id"),
                     "memory_key", (F.col("_j") * 2).cast("long").alias("pos"), "conv_id", "turn", "query", "answer")
 
