@@ -19,9 +19,10 @@ def positions(df: DataFrame, key: str, order: Sequence[str], out: str = "pos",
     per-key window over at most one row per partition.
     """
     order = list(order)
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id())
+    # Without an explicit count AQE may merge adjacent ranges of a small input; merged pieces
+    # stay contiguous and in order, which is all the offsets need.
+    r = (df.repartitionByRange(n_parts, key, *order) if n_parts else df.repartitionByRange(key, *order))
+    r = r.withColumn("_pid", F.spark_partition_id())
     local = r.withColumn("_lp", F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order)) - 1)
     sizes = r.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn(
