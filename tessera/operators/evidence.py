@@ -123,11 +123,11 @@ def extractive_digest(segments: DataFrame, max_words: int, by: str = "task_id",
     """
     words = segments.select(by, order, F.explode(F.split(F.lower(tx.strip(F.col(text_col))), r"(?U)\s+")).alias("w"))
     words = words.filter(F.col("w") != "")
-    # The document count is a one-row aggregate joined in (no action on the driver).
-    n_docs = segments.select(by).distinct().agg(F.count(F.lit(1)).cast("double").alias("_nd"))
+    # The document count is a scalar subquery (no action on the driver, no join).
+    n_docs = segments.select(by).distinct().agg(F.count(F.lit(1)).cast("double")).scalar()
     tf = words.groupBy(by, "w").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.crossJoin(F.broadcast(n_docs)).select("w", F.log(F.col("_nd") / F.col("df")).alias("idf"))
+    idf = df_.select("w", F.log(n_docs / F.col("df")).alias("idf"))
     # tf-idf is attached per distinct (document, word) first; occurrences then join it on
     # (document, word). Occurrences are never keyed by the word alone, so a very common word
     # does not pull all its occurrences into one task.
