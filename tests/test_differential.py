@@ -222,3 +222,22 @@ def test_kmeans_mixed_small_and_large_tasks(spark):
     counts = {r["task_id"]: r["count"] for r in members.groupBy("task_id").count().collect()}
     assert counts == {"big": 300, "s0": 30, "s1": 30, "s2": 30}
     assert {r["task_id"] for r in centres.collect()} == {"big", "s0", "s1", "s2"}
+
+
+def test_squared_silhouette_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", i, rng.normal(size=5).tolist(), int(i % 4)) for i in range(50)] + [("b", 0, [1.0, 0.0, 0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "task_id string, vec_id long, vec array<double>, cluster_id int")
+    _, per_task = cl.silhouette(df, metric="sqeuclidean")
+    have = {r["task_id"]: r["silhouette_score"] for r in per_task.collect()}
+    x = np.array([r[2] for r in rows if r[0] == "a"])
+    lab = np.array([r[3] for r in rows if r[0] == "a"])
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    s = []
+    for i in range(len(x)):
+        own = lab == lab[i]
+        own[i] = False
+        a = d[i, own].mean()
+        b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
+        s.append((b - a) / max(a, b))
+    assert abs(have["a"] - np.mean(s)) < 1e-9 and have["b"] == 0.0
