@@ -164,7 +164,7 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
     if completions is not None and "memory_key" in queries.columns:
         answers = completions.filter(F.col("stage") == "answer").select(
             F.col("request_id").alias("query_id"), F.col("text").alias("answer"))
-        memory_rows = mm.qa_memory_rows(queries.join(answers, "query_id", "left"), emb)
+        memory_rows = mm.qa_memory_rows(queries.drop("answer").join(answers, "query_id", "left"), emb)
     return Answered(prompts.select("query_id", "prompt"), merged, used, memory_rows)
 
 

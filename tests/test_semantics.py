@@ -276,3 +276,22 @@ def test_chat_turns_with_shared_task_memory(spark, sf):
     assert set(a) == set(b)
     assert all(a[x]["mode_used"] == b[x]["mode_used"] for x in a)
     assert all(a[x]["prompt"] for x in a if a[x]["mode_used"] == "rag")
+
+
+def test_answer_queries_uses_digest_when_over_budget_and_writes_memory(spark, sf):
+    from tessera.config import Settings
+    from tessera.plans import catalog
+    from tessera.plans import pipelines as pl
+
+    store = catalog.corpus_store(spark, sf)
+    q = tb.user_turns(spark, sf)
+    qids = [r["query_id"] for r in q.select("query_id").collect()]
+    comp = spark.createDataFrame(
+        [(i, "digest", f"digest of {i}", None) for i in qids] + [(i, "answer", f"answer {i}", None) for i in qids],
+        "request_id long, stage string, text string, error string")
+    out = pl.answer_queries(q, store, store.select("task_id", "chunk_id", "cluster_id"),
+                            catalog.memory_table(spark, sf), Settings(max_evidence_chars=50), completions=comp)
+    prompts = {r["query_id"]: r["prompt"] for r in out.prompts.collect()}
+    assert all(f"digest of {i}" in prompts[i] for i in qids)
+    rows = out.memory_rows.collect()
+    assert len(rows) == 2 * len(qids) and any(r["text"].startswith("Q: ") and "\nA: answer " in r["text"] for r in rows)
