@@ -295,3 +295,12 @@ def test_answer_queries_uses_digest_when_over_budget_and_writes_memory(spark, sf
     assert all(f"digest of {i}" in prompts[i] for i in qids)
     rows = out.memory_rows.collect()
     assert len(rows) == 2 * len(qids) and any(r["text"].startswith("Q: ") and "\nA: answer " in r["text"] for r in rows)
+
+
+def test_ingest_with_distinct_embedding_gives_the_same_vectors(spark, sf):
+    from tessera.plans import pipelines as pl
+
+    t = tb.transcripts(spark, sf)
+    a = {r["chunk_id"]: r["vec"] for r in pl.ingest(t, cluster=False).vectors.collect()}
+    b = {r["chunk_id"]: r["vec"] for r in pl.ingest(t, cluster=False, dedup=True).vectors.collect()}
+    assert a == b and len(a) > 0
