@@ -9,7 +9,8 @@ import __spark_entry__ as se
 from scripts.oracle_check import digest
 
 KEYS = ["vector_topk", "search_similar", "evidence_lines", "split_segments", "semantic_chunks", "assign_clusters",
-        "silhouette", "memory_candidates", "parse_grades", "route_messages", "keyword_rewrites", "chat_prompts"]
+        "silhouette", "memory_candidates", "parse_grades", "route_messages", "keyword_rewrites", "chat_prompts",
+        "answer_queries", "corrective_rounds"]
 if os.environ.get("TESSERA_ALL_ORACLES"):
     KEYS = sorted(se.oracle_sql())
 
