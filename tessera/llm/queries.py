@@ -35,3 +35,31 @@ def q_shards(spark, sf_dir):
     from tessera.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+@register("op2_quality_rules")
+def q_quality(spark, sf_dir):
+    from tessera.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_pii_anchors")
+def q_pii(spark, sf_dir):
+    from tessera.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+@register("op9_trie_token_counts")
+def q_token_counts(spark, sf_dir):
+    from tessera.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@register("op10_token_parquet")
+def q_token_parquet(spark, sf_dir):
+    from tessera.llm.token_output import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents"))
