@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import scratch_dir
 
@@ -171,3 +172,24 @@ def occurrence(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.empty(len(values), np.int64)
     out[order] = np.arange(len(values)) - np.repeat(start, np.diff(np.concatenate([start, [len(values)]])))
     return out
+
+
+def map_texts(docs: DataFrame, text_col: str, fn, out: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc struct, *out): ``fn(texts)`` gives the new columns of a block of whole texts; nothing is exchanged.
+
+    ``out`` is a DDL string of the new columns; ``fn`` returns their Arrow arrays in that order.
+    """
+    columns = [text_col, *[c for c in (keep if keep is not None else docs.columns) if c != text_col]]
+    rows = docs.select(F.struct(*[col(c) for c in columns]).alias("doc"))
+    added = T.StructType.fromDDL(out)
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *added.fields])
+
+    def run(batches):
+        for batch in batches:
+            doc = batch.column(0)
+            texts = doc.flatten()[0] if batch.num_rows else pa.array([], pa.string())
+            both = pa.RecordBatch.from_arrays([doc, texts], names=["doc", "text"])
+            for part, t in blocks([both]):
+                yield pa.RecordBatch.from_arrays([part.column(0), *fn(t)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -63,3 +63,62 @@ def q_token_parquet(spark, sf_dir):
     from tessera.llm.token_output import token_digest
 
     return token_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op3_order_minhash")
+def q_near_duplicates(spark, sf_dir):
+    from tessera.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_language_fusion")
+def q_language(spark, sf_dir):
+    from tessera.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@register("page_languages")
+def q_page_languages(spark, sf_dir):
+    from tessera.llm.language import identify, page_fields
+
+    return identify(page_fields(table(spark, sf_dir, "pages")), id_col="page_id", host_col="host", suffix_col="suffix")
+
+
+OP8_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id AS id, 0 AS side, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+  UNION ALL
+  SELECT item_id, 1, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+  SELECT id, side, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lowered
+), places AS (
+  SELECT id, side, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5
+), sh AS (
+  SELECT DISTINCT id, side, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), sizes AS (
+  SELECT id AS item, count(*) AS n FROM sh WHERE side = 1 GROUP BY id
+), hits AS (
+  SELECT d.id AS doc_id, b.id AS item, count(*) AS c
+  FROM sh d JOIN sh b ON d.s = b.s AND d.side = 0 AND b.side = 1 GROUP BY d.id, b.id
+), found AS (
+  SELECT h.doc_id, h.item, h.c / CAST(z.n AS DOUBLE) AS containment FROM hits h JOIN sizes z ON z.item = h.item
+  WHERE h.c / CAST(z.n AS DOUBLE) >= 0.8
+), best AS (
+  SELECT doc_id, item, containment, count(*) OVER (PARTITION BY doc_id) AS n_items,
+         row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, item) AS r FROM found
+)
+SELECT d.doc_id, coalesce(b.n_items, 0) AS n_items, coalesce(b.item, -1) AS best_item, coalesce(b.containment, 0.0) AS containment,
+       b.item IS NOT NULL AS contaminated
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1
+"""
+
+
+@register("op8_containment_decontamination", OP8_SQL)
+def q_decontamination(spark, sf_dir):
+    from tessera.llm.decontam import contaminated_documents
+
+    c = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return c.fillna({"best_item": -1})
