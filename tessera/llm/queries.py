@@ -122,3 +122,10 @@ def q_decontamination(spark, sf_dir):
 
     c = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return c.fillna({"best_item": -1})
+
+
+@register("op1_suffix_dedup")
+def q_suffix_dedup(spark, sf_dir):
+    from tessera.llm.suffix_dedup import deduplicated_texts
+
+    return deduplicated_texts(table(spark, sf_dir, "documents")).drop("kept")
