@@ -60,10 +60,21 @@ def grading_prompts(queries: DataFrame, graded: DataFrame, max_items: int = Sett
     return j.select(F.col("query_id").alias("request_id"), prompt.alias("prompt"))
 
 
+def whole_json(c: Column) -> Column:
+    """The text as one JSON value (null if invalid, or if anything follows the value).
+
+    The parser stops after a first value, so the text is parsed inside an array and inside an
+    object: text that leaves one of them early, or adds to it, fails in one of the two.
+    """
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when((F.size(inside) == 1) & keyed.isNotNull(), F.try_parse_json(c))
+
+
 def _json_array(text) -> Column:
     """The JSON array inside fenced or chatty text: first '[' to last ']' (null if none / invalid)."""
     arr = F.regexp_extract(tx._col(text), r"(?s)\[.*\]", 0)
-    return F.try_parse_json(F.nullif(arr, F.lit("")))
+    return whole_json(F.nullif(arr, F.lit("")))
 
 
 def parse_grades(completions: DataFrame, key: str = "request_id", text_col: str = "text") -> DataFrame:
@@ -95,6 +106,18 @@ def align_grades(graded: DataFrame, grades: DataFrame, max_items: int = Settings
             .drop("_g"))
 
 
+def apply_grades(strips: DataFrame, grades: DataFrame, max_items: int = Settings().grade_max_items) -> DataFrame:
+    """G3 for a grader's rows (query_id, chunk_id, grade[, elem | ord][, reason | grade_reason]).
+
+    A chunk graded twice counts once, with its last grade, so a strip is never repeated.
+    """
+    place = next((c for c in ("elem", "ord") if c in grades.columns), None)
+    reason = next((c for c in ("reason", "grade_reason") if c in grades.columns), None)
+    g = grades.select("query_id", "chunk_id", "grade", (F.col(place) if place else F.lit(0)).alias("elem"),
+                      (F.col(reason) if reason else F.lit("")).alias("reason"))
+    return align_grades(strips.drop("grade", "grade_reason"), g, max_items)
+
+
 def lexical_grades(queries: DataFrame, strips: DataFrame, query_col: str = "query",
                    text_col: str = "content") -> DataFrame:
     """G4 (stand-in for the grading model): share of the query's distinct words found in the strip."""
@@ -120,14 +143,15 @@ def rewrite_prompts(queries: DataFrame, n: int = Settings().num_rewrites, query_
 
 def parse_rewrites(completions: DataFrame, n: int = Settings().num_rewrites, key: str = "request_id",
                    text_col: str = "text") -> DataFrame:
-    """The completion must be a JSON array as a whole (no fence removal); string and number
-    elements become text, others are skipped; the first ``n`` are kept."""
-    v = completions.select(key, F.try_parse_json(tx.strip(text_col)).alias("_v"))
+    """The completion must be a JSON array as a whole (no fence removal); string, number and
+    boolean elements become text (``True``, ``False``), others are skipped; the first ``n`` are kept."""
+    v = completions.select(key, whole_json(tx.strip(text_col)).alias("_v"))
     elems = v.select(key, F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("_p", "_e"))
     kind = F.schema_of_variant("_e")
-    ok = (kind == "STRING") | kind.isin("BIGINT", "DOUBLE", "INT", "SMALLINT", "TINYINT", "FLOAT") | \
+    ok = kind.isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE", "INT", "SMALLINT", "TINYINT", "FLOAT") | \
         kind.startswith("DECIMAL")
-    kept = elems.filter(ok).select(key, "_p", F.try_variant_get("_e", "$", "string").alias("rewrite"))
+    text = F.try_variant_get("_e", "$", "string")
+    kept = elems.filter(ok).select(key, "_p", F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text).alias("rewrite"))
     w = Window.partitionBy(key).orderBy("_p")
     return (kept.withColumn("rewrite_no", F.row_number().over(w)).filter(F.col("rewrite_no") <= n)
             .select(key, F.col("rewrite_no").cast("long").alias("rewrite_no"), "rewrite"))
@@ -182,10 +206,7 @@ def corrective_rounds(queries: DataFrame, graded: DataFrame, retrieve: Callable[
         hits = retrieve(rw)  # (query_id, rewrite_no, chunk_id, content, similarity_score, rank, ...)
         weak_graded = done.join(weak, "query_id", "left_semi").drop("grade", "grade_reason")
         merged = corrective_merge(weak_graded, hits)
-        regraded = grade(wq, merged.filter(F.col("ord") <= cfg.grade_max_items))
-        g = merged.join(regraded.select("query_id", "chunk_id", "grade", "grade_reason"), ["query_id", "chunk_id"], "left")
-        g = (g.withColumn("grade", F.coalesce("grade", F.lit(0.0)))
-             .withColumn("grade_reason", F.coalesce("grade_reason", F.lit("no-grade"))))
+        g = apply_grades(merged, grade(wq, merged.filter(F.col("ord") <= cfg.grade_max_items)), cfg.grade_max_items)
         strong = done.join(weak, "query_id", "left_anti")
         done = checkpoint(strong.unionByName(g, allowMissingColumns=True))
     return done

@@ -19,16 +19,23 @@ DIGEST_EVIDENCE_PROMPT = (
     "Summarize the following retrieved evidence into a concise digest that preserves key facts and names.\n"
     "Use bullet points where appropriate, keep it under 500 words.\n\n"
 )
-DIGEST_TRANSCRIPT_PROMPT = (
+DIGEST_TRANSCRIPT_SYSTEM = (
     "You are a helpful assistant specialized in summarizing YouTube video transcripts that are generated by "
-    "whisper model.\n"
+    "whisper model."
+)
+DIGEST_TRANSCRIPT_HEAD = (
     "Given the transcript of a YouTube video, your task is to generate a straight to point and informative "
-    "summary. The summary should cover key points, main ideas, and critical information, organized in a "
-    "coherent and structured way. Ensure that the summary is not exceed 1000 words. Make sure that the summary "
-    "retains the flow and structure of the original transcript while omitting unnecessary details. The summary "
-    "should be easy to follow, informative, and structured, highlighting important tips, steps, or insights "
-    "provided in the transcript.\n\nTranscript: "
+    "summary. \n\n"
+    "             The summary should cover key points, main ideas, and critical information, organized in a "
+    "coherent and structured way. \n\n"
+    "              Ensure that the summary is not exceed 1000 words.\n\n"
+    "             Make sure that the summary retains the flow and structure of the original transcript while "
+    "omitting unnecessary details. \n\n"
+    "              The summary should be easy to follow, informative, and structured, highlighting important "
+    "tips, steps, or insights provided in the transcript.\n"
+    "            \n\nTranscript:  "
 )
+DIGEST_TRANSCRIPT_TAIL = " "
 CHAT_PROMPT_HEAD = ("You are a helpful and concise assistant. Answer naturally based on the ongoing conversation.\n"
                     "Conversation so far:\n")
 
@@ -56,8 +63,11 @@ def evidence_lines(graded: DataFrame, id_col: str = "chunk_id", score_col: str =
 
 def evidence_text(lines: DataFrame, by: str = "query_id", order: str = "ord",
                   max_chars: int = MAX_EVIDENCE_CHARS) -> DataFrame:
-    """H2: ordered lines joined by new lines per query; over budget -> flagged for a digest,
-    with the fallback cut to ``max_chars``.
+    """H2: ordered lines joined by new lines per query; over budget -> flagged for a digest.
+
+    ``evidence_cut`` is the original's fallback for a failed digest (the first ``max_chars``);
+    ``evidence_digest`` our offline stand-in for the digest itself: over budget, every line keeps an
+    equal share of the budget, so each hit is still read.
 
     One query's lines are at most k (or the merged hits of a few searches), so the ordered
     collect is bounded by the retrieval fan-in, not by the data.
@@ -65,10 +75,14 @@ def evidence_text(lines: DataFrame, by: str = "query_id", order: str = "ord",
     agg = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l"))))
                                 .alias("_l"))
     text = F.array_join(F.transform("_l", lambda s: s["l"]), "\n")
-    return (agg.select(by, text.alias("evidence"))
+    share = F.greatest(F.floor(F.lit(max_chars) / F.size("_l")) - 1, F.lit(0)).cast("int")
+    short = F.array_join(F.transform("_l", lambda s: F.substring(s["l"], F.lit(1), share)), "\n")
+    return (agg.select(by, text.alias("evidence"), short.alias("_short"))
             .withColumn("evidence_chars", F.length("evidence").cast("long"))
             .withColumn("needs_digest", F.col("evidence_chars") > F.lit(max_chars))
-            .withColumn("evidence_cut", F.substring("evidence", 1, max_chars)))
+            .withColumn("evidence_cut", F.substring("evidence", 1, max_chars))
+            .withColumn("evidence_digest", F.when(F.col("needs_digest"), F.col("_short")).otherwise(F.col("evidence")))
+            .drop("_short"))
 
 
 def answer_prompts(queries: DataFrame, evidence: DataFrame, by: str = "query_id", query_col: str = "query",
@@ -84,28 +98,34 @@ def answer_prompts(queries: DataFrame, evidence: DataFrame, by: str = "query_id"
 def chat_prompts(messages: DataFrame, max_history: int = CHAT_HISTORY) -> DataFrame:
     """H4: per user turn, the last ``max_history`` earlier messages as ``role: content``, then the new one.
 
-    The history is an equi-join on (conv_id, turn - n) for n in 1..max_history (turns are
-    numbered densely within a conversation), so even a very long conversation is never
-    sorted in one task; the per-turn collect is bounded by ``max_history``.
+    The history goes by place, not by turn number (turns may have gaps): messages are numbered
+    densely per conversation and the history is an equi-join on (conv_id, place - n) for n in
+    1..max_history, so even a very long conversation is never sorted in one task; the per-turn
+    collect is bounded by ``max_history``.
     """
-    hist = messages.select("conv_id", F.col("turn").alias("_t"),
+    from tessera.operators.ordering import positions
+
+    messages = positions(messages, "conv_id", ["turn"], "_place")
+    hist = messages.select("conv_id", F.col("_place").alias("_t"),
                            F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"),
                                     F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("_m"))
     users = messages.filter(F.col("role") == "user")
-    back = users.select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(max_history))).alias("_n"))
-    back = back.select("conv_id", "turn", (F.col("turn") - F.col("_n")).alias("_t"))
+    back = users.select("conv_id", "turn", "_place", F.explode(F.sequence(F.lit(1), F.lit(max_history))).alias("_n"))
+    back = back.select("conv_id", "turn", (F.col("_place") - F.col("_n")).alias("_t"))
     h = (back.join(hist, ["conv_id", "_t"], "inner").groupBy("conv_id", "turn")
          .agg(F.array_sort(F.collect_list("_m")).alias("_h")))
     j = users.join(h, ["conv_id", "turn"], "left")
     conv = F.array_join(F.transform(F.coalesce(F.col("_h"), F.array().cast(h.schema["_h"].dataType)),
                                     lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
     prompt = F.concat(F.lit(CHAT_PROMPT_HEAD), conv, F.lit("\n\n"), F.lit("User: "), F.col("text"), F.lit("\nAssistant:"))
-    return j.withColumn("prompt", prompt).drop("_h")
+    return j.withColumn("prompt", prompt).drop("_h", "_place")
 
 
 def digest_prompts_transcripts(transcripts: DataFrame) -> DataFrame:
-    """H5 (transcripts): summary prompt asking for at most 1000 words."""
-    return transcripts.withColumn("prompt", F.concat(F.lit(DIGEST_TRANSCRIPT_PROMPT), F.col("text")))
+    """H5 (transcripts): summary prompt asking for at most 1000 words, as system and user message."""
+    return (transcripts.withColumn("system", F.lit(DIGEST_TRANSCRIPT_SYSTEM))
+            .withColumn("prompt", F.concat(F.lit(DIGEST_TRANSCRIPT_HEAD), F.coalesce("text", F.lit("")),
+                                           F.lit(DIGEST_TRANSCRIPT_TAIL))))
 
 
 def digest_prompts_evidence(evidence: DataFrame, evidence_col: str = "evidence") -> DataFrame:
@@ -119,7 +139,8 @@ def extractive_digest(segments: DataFrame, max_words: int, by: str = "task_id",
 
     Sentences are scored by the mean TF-IDF of their words (tf within the document, idf over
     documents), the best are taken while the running word total stays within ``max_words``
-    (ties by position), and printed in original order.
+    (ties by position), and printed in original order. A document none of whose best
+    sentences fits has an empty digest.
     """
     words = segments.select(by, order, F.explode(F.split(F.lower(tx.strip(F.col(text_col))), r"(?U)\s+")).alias("w"))
     words = words.filter(F.col("w") != "")
@@ -139,9 +160,11 @@ def extractive_digest(segments: DataFrame, max_words: int, by: str = "task_id",
     w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
     picked = scored.withColumn("_run", F.sum("n_words").over(w)).filter(F.col("_run") <= max_words)
     seg = segments.select(by, order, text_col)
-    return (picked.hint("merge").join(seg, [by, order])
+    said = (picked.hint("merge").join(seg, [by, order])
             .groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, text_col))).alias("_s"))
             .select(by, F.array_join(F.transform("_s", lambda s: s[text_col]), " ").alias("digest")))
+    return (segments.select(by).distinct().join(said, by, "left")
+            .select(by, F.coalesce("digest", F.lit("")).alias("digest")))
 
 
 def ingest_summary(chunks: DataFrame, n: int = 3, cut: int = 400) -> DataFrame:
@@ -164,15 +187,14 @@ def attach_completions(prompts: DataFrame, completions: DataFrame, key: str = "r
             .withColumn("completion_error", err).drop("_ct", "_ce"))
 
 
-def retrieval_report(hits: DataFrame) -> DataFrame:
-    """one formatted line per hit: id, rank, sim, index score, grade (or -), cluster (or -)."""
-    grade = (F.when(F.col("grade").isNotNull(), F.format_string("%.2f", F.col("grade")))
-             if "grade" in hits.columns else F.lit(None).cast("string"))
-    line = F.concat(F.lit("  - id="), F.coalesce(F.col("chunk_id"), F.lit("")),
-                    F.lit(" rank="), F.coalesce(F.col("rank").cast("string"), F.lit("-")),
-                    F.lit(" sim="), F.format_string("%.3f", F.coalesce(F.col("similarity_score"), F.lit(0.0))),
-                    F.lit(" index="), F.coalesce(F.when(F.col("index_similarity").isNotNull(),
-                                                        F.format_string("%.3f", F.col("index_similarity"))), F.lit("-")),
-                    F.lit(" grade="), F.coalesce(grade, F.lit("-")),
-                    F.lit(" cl="), F.coalesce(F.col("cluster_id").cast("string"), F.lit("-")))
-    return hits.withColumn("report_line", line)
+def retrieval_report(hits: DataFrame, n: int = 10) -> DataFrame:
+    """the first ``n`` hits, one formatted line each: rank, similarity, grade (0.00 if none), index
+    score, cluster (or -), id."""
+    grade = F.coalesce(F.col("grade"), F.lit(0.0)) if "grade" in hits.columns else F.lit(0.0)
+    line = F.concat(F.lit("  - r="), F.coalesce(F.col("rank").cast("string"), F.lit("-")),
+                    F.lit(", sim="), _fmt2(F.coalesce(F.col("similarity_score"), F.lit(0.0))),
+                    F.lit(", grade="), _fmt2(grade),
+                    F.lit(" faiss="), _fmt2(F.coalesce(F.col("index_similarity"), F.lit(0.0))),
+                    F.lit(", cl="), F.coalesce(F.col("cluster_id").cast("string"), F.lit("-")),
+                    F.lit(" id="), F.coalesce(F.col("chunk_id"), F.lit("")))
+    return hits.filter(F.col("rank") <= n).withColumn("report_line", line)

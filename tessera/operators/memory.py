@@ -16,7 +16,7 @@ from tessera.config import Settings
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators.embedding import DEFAULT_EMBEDDER
-from tessera.operators.retrieval import search_similar
+from tessera.operators.retrieval import search_requests, search_similar
 
 MEMORY_TYPES = ("query", "qa")
 
@@ -111,15 +111,12 @@ def subquery_retrieve(candidates: DataFrame, queries: DataFrame, store: DataFram
                       embedder=None) -> DataFrame:
     """one more search per picked memory, with its question line, k' = max(2, k // 2).
 
-    Each (query, pick) becomes its own search row; the result keeps ``pick``.
+    Each (query, pick) is its own request; the result keeps ``pick``.
     """
     k = cfg.k if k is None else k
     threshold = cfg.answer_threshold if threshold is None else threshold
     sq = subquery_queries(candidates, queries, embedder)
-    sq = sq.withColumn("query_id", F.col("query_id") * 100 + F.col("pick")).drop("pick")
-    hits = search_similar(sq, store, members, k=max(2, k // 2), threshold=threshold, cfg=cfg)
-    return (hits.withColumn("pick", (F.col("query_id") % 100).cast("int"))
-            .withColumn("query_id", (F.col("query_id") / 100).cast("long")))
+    return search_requests(sq, store, members, keys=["query_id", "pick"], k=max(2, k // 2), threshold=threshold, cfg=cfg)
 
 
 def merge_hits(*sources: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evidence as ev
 from tessera.operators import retrieval as rt
+from tessera.operators.ordering import with_row_ids
 from tessera.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +54,9 @@ def q_search_similar(spark, sf_dir):
                     F.col("rank").cast("long").alias("rank"))
 
 
-def _graded_f2(spark, sf_dir):
+def _graded_f2(spark, sf_dir, k=5, threshold=F2_THRESHOLD):
     """F2 hits; even vec_ids carry a grade ((vec_id * 37) % 101) / 100, odd ones none."""
-    h = _f2_hits(spark, sf_dir)
+    h = _f2_hits(spark, sf_dir, k, threshold)
     return h.withColumn("grade", F.when(F.col("vec_id") % 2 == 0, ((F.col("vec_id") * 37) % 101) / 100.0)) \
             .withColumn("score", F.col("similarity_score"))
 
@@ -104,14 +105,17 @@ def q_content_key(spark, sf_dir):
 
 @register("contains_ci")
 def q_contains_ci(spark, sf_dir):
-    """Documents containing each benchmark item's first word, any case."""
-    words = tb.text_queries(spark, sf_dir).select(
-        "query_id", "task_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("word"))
+    """Documents containing each benchmark item's whole text, and its first word, any case."""
+    q = tb.text_queries(spark, sf_dir)
+    words = q.select("query_id", "task_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("query"))
+    both = q.select("query_id", "task_id", "query", F.lit("text").alias("part")).unionByName(
+        words.withColumn("part", F.lit("word")))
+    both = with_row_ids(both, "_rid")
     docs = tb.transcripts(spark, sf_dir).withColumn("task_id", F.lit("all"))
-    hits = rt.contains_search(words.withColumnRenamed("word", "query"), docs, text_col="text")
-    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
-    return words.join(counts, "query_id", "left").select(
-        "query_id", "word", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+    hits = rt.contains_search(both.select(F.col("_rid").alias("query_id"), "task_id", "query"), docs, text_col="text")
+    counts = hits.groupBy(F.col("query_id").alias("_rid")).agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
+    return both.join(counts, "_rid", "left").select(
+        "query_id", "part", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
 @register("clip_text")
@@ -266,11 +270,14 @@ def _delete_requests(spark, sf_dir):
 @register("delete_tasks")
 def q_delete_tasks(spark, sf_dir):
     """Per task id (requested or stored): whether anything was removed, and rows left."""
-    store = tb.vectors(spark, sf_dir)
+    path = _written_store(spark, sf_dir)
     req = _delete_requests(spark, sf_dir)
-    remaining, flags = st.delete_tasks(store, req)
-    left = remaining.groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_remaining"))
-    ids = req.unionByName(store.select("task_id")).distinct()
+    _, flags = st.delete_tasks(st.load_chunk_store(spark, path), req)
+    flags = checkpoint(flags)
+    ids = checkpoint(req.unionByName(st.load_chunk_store(spark, path).select("task_id")).distinct())
+    st.delete_from_store(spark, path, [r["task_id"] for r in req.collect()])  # a caller's list of requests
+    left = (st.load_chunk_store(spark, path).groupBy("task_id")  # the store as it is read afterwards
+            .agg(F.count(F.lit(1)).cast("long").alias("n_remaining")))
     return (ids.join(flags, "task_id", "left").join(left, "task_id", "left")
             .select("task_id", F.coalesce("removed", F.lit(False)).alias("removed"),
                     F.coalesce("n_remaining", F.lit(0)).cast("long").alias("n_remaining")))
@@ -378,10 +385,15 @@ def first_word_queries(spark, sf_dir):
 
 @register("search_by_cluster")
 def q_search_by_cluster(spark, sf_dir):
-    corpus = text_corpus(spark, sf_dir)
-    hits = cl.search_by_cluster(first_word_queries(spark, sf_dir), corpus.drop("cluster_id"),
+    """Chunks containing each benchmark item's whole text, or its first word, any case."""
+    corpus = corpus_store(spark, sf_dir)
+    both = tb.text_queries(spark, sf_dir).withColumn("part", F.lit("text")).unionByName(
+        first_word_queries(spark, sf_dir).withColumn("part", F.lit("word")))
+    both = with_row_ids(both, "_rid")
+    hits = cl.search_by_cluster(both.select(F.col("_rid").alias("query_id"), "task_id", "query"), corpus.drop("cluster_id"),
                                 corpus.select("task_id", "chunk_id", "cluster_id"))
-    return hits.select("query_id", "chunk_id", F.col("cluster_id").cast("long").alias("cluster_id"), "match_type")
+    hits = hits.withColumnRenamed("query_id", "_rid").join(both.select("_rid", "query_id", "part"), "_rid")
+    return hits.select("query_id", "part", "chunk_id", F.col("cluster_id").cast("long").alias("cluster_id"), "match_type")
 
 
 # ---------------------------------------------------------------- text corpus retrieval (F3), memory
@@ -401,7 +413,7 @@ def corpus_store(spark, sf_dir):
     path = _STORES.get(key)
     if path is None:
         c = text_corpus(spark, sf_dir)
-        c = c.withColumn("vec_id", (F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") * 100000
+        c = c.withColumn("vec_id", (F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") * (1 << 32)
                                     + F.col("chunk_index")).cast("long"))
         c = c.withColumn("vec", em.DEFAULT_EMBEDDER.vector(F.col("content")))
         path = scratch_dir(spark, "corpus")
@@ -625,11 +637,11 @@ def corrective_text(spark, sf_dir, store=None):
     graded = cr.lexical_grades(q, first)
 
     def retrieve(rw):
-        r = rw.withColumn("_rid", F.col("query_id") * 10 + F.col("rewrite_no"))
+        r = with_row_ids(rw, "_rid")
         hits = _text_hits(spark, sf_dir, r.select(F.col("_rid").alias("query_id"), "task_id",
                                                   F.col("rewrite").alias("query")), store)
-        return (hits.withColumn("rewrite_no", F.col("query_id") % 10)
-                .withColumn("query_id", (F.col("query_id") / 10).cast("long")))
+        return (hits.withColumnRenamed("query_id", "_rid")
+                .join(r.select("_rid", "query_id", "rewrite_no"), "_rid").drop("_rid"))
 
     return cr.corrective_rounds(q, graded, retrieve, lambda qq, s: cr.lexical_grades(qq, s))
 
@@ -644,12 +656,12 @@ def q_corrective_rounds(spark, sf_dir):
 def q_evidence_text(spark, sf_dir):
     lines = ev.evidence_lines(_graded_f2(spark, sf_dir)).withColumn("ord", F.col("rank"))
     e = ev.evidence_text(lines)
-    return e.select("query_id", "evidence", "evidence_chars", "needs_digest", "evidence_cut")
+    return e.select("query_id", "evidence", "evidence_chars", "needs_digest", "evidence_cut", "evidence_digest")
 
 
 def _answer_prompts(spark, sf_dir, queries, hits):
     lines = ev.evidence_lines(hits.withColumn("score", F.col("similarity_score")).withColumn("ord", F.col("rank")))
-    e = ev.evidence_text(lines).withColumn("evidence", F.col("evidence_cut"))
+    e = ev.evidence_text(lines).withColumn("evidence", F.col("evidence_digest"))
     return ev.answer_prompts(queries, e)
 
 
@@ -667,7 +679,15 @@ def q_chat_prompts(spark, sf_dir):
 
 @register("digest_prompts")
 def q_digest_prompts(spark, sf_dir):
-    return ev.digest_prompts_transcripts(tb.transcripts(spark, sf_dir)).select("task_id", "prompt")
+    return ev.digest_prompts_transcripts(tb.transcripts(spark, sf_dir)).select("task_id", "system", "prompt")
+
+
+@register("digest_prompts_evidence")
+def q_digest_prompts_evidence(spark, sf_dir):
+    q = tb.text_queries(spark, sf_dir)
+    lines = ev.evidence_lines(_text_hits(spark, sf_dir, q).withColumn("score", F.col("similarity_score")))
+    over = ev.evidence_text(lines, order="rank").filter("needs_digest")
+    return ev.digest_prompts_evidence(over).select("query_id", "prompt")
 
 
 @register("extractive_digest")
@@ -680,7 +700,7 @@ def q_extractive_digest(spark, sf_dir):
 
 def _assistant_completions(spark, sf_dir):
     m = tb.messages(spark, sf_dir).filter(F.col("role") == "assistant")
-    return m.select((F.col("conv_id") * 100 + F.col("turn") - 1).alias("request_id"), "text",
+    return m.select((tb.turn_id("conv_id", "turn") - 1).alias("request_id"), "text",
                     F.lit(None).cast("string").alias("error"))
 
 
@@ -710,8 +730,7 @@ def q_parse_route(spark, sf_dir):
 
 @register("retrieval_report")
 def q_retrieval_report(spark, sf_dir):
-    h = _graded_f2(spark, sf_dir).filter(F.col("rank") <= 10)
-    return ev.retrieval_report(h).select("query_id", F.col("rank").cast("long").alias("rank"), "report_line")
+    return ev.retrieval_report(_graded_f2(spark, sf_dir, k=20, threshold=0.0), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "report_line")
 
 
 # ---------------------------------------------------------------- pipelines (J1-J3, A11, E2), streams (J4, J5), media (A3)
@@ -732,6 +751,17 @@ def q_ingest(spark, sf_dir):
     return out.vectors.select("task_id", "chunk_id", "vec_id", "character_count", "vec")
 
 
+@register("ingest_outcome")
+def q_ingest_outcome(spark, sf_dir):
+    """Ingestion with clustering: index metadata, summary memory and status of every transcript."""
+    out = pl.ingest(tb.transcripts(spark, sf_dir))
+    meta = out.index_meta.select("task_id", "total_chunks", "embedding_model", "embedding_dimension", "cluster_error",
+                                 (F.col("n_clusters") > 0).alias("clustered"))
+    memory = out.memory.select(F.col("memory_key").alias("task_id"), F.col("text").alias("summary"))
+    return (out.task_status.join(meta, "task_id", "left").join(memory, "task_id", "left")
+            .fillna({"total_chunks": 0, "embedding_dimension": 0, "clustered": False}))
+
+
 @register("task_status")
 def q_task_status(spark, sf_dir):
     t = tb.transcripts(spark, sf_dir)
@@ -762,8 +792,11 @@ def q_ingest_stream(spark, sf_dir):
     store = scratch_dir(spark, "stream-store")
     q = sm.ingest_stream(spark, src, store, scratch_dir(spark, "stream-ckpt"))
     q.awaitTermination()
-    chunks = spark.read.parquet(f"{store}/chunks")
-    return chunks.groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
+    chunks = st.read_by_task(spark, f"{store}/chunks").groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
+    meta = st.read_by_task(spark, f"{store}/index_meta").select("task_id", "total_chunks", "cluster_error")
+    status = st.read_by_task(spark, f"{store}/task_status").select("task_id", "status")
+    return (status.join(chunks, "task_id", "left").join(meta, "task_id", "left")
+            .fillna({"n_chunks": 0, "total_chunks": 0}))
 
 
 @register("question_stream")

@@ -84,6 +84,15 @@ def evidence_line_expr(prefix: str = "") -> str:
             f"coalesce(CAST({p}cluster_id AS VARCHAR), '-') || ') ' || coalesce({p}content, '')")
 
 
+def digest_cte(name: str, lines: str, order: str, chars: int = 2000) -> str:
+    """The offline digest: the joined lines, or over budget an equal share of the budget from each."""
+    return f"""{name} AS (
+  SELECT query_id, CASE WHEN length(string_agg(line, chr(10) ORDER BY {order})) <= {chars}
+                        THEN string_agg(line, chr(10) ORDER BY {order})
+                        ELSE string_agg(substring(line, 1, greatest({chars} // n - 1, 0)), chr(10) ORDER BY {order}) END AS evidence
+  FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM {lines}) GROUP BY query_id)"""
+
+
 sql("evidence_lines", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
 SELECT query_id, CAST(rank AS BIGINT) AS rank, {evidence_line_expr()} AS line
 FROM graded_f2""")
@@ -208,10 +217,11 @@ sql("content_key", with_(TRANSCRIPTS) + """
 SELECT task_id, md5(text) AS content_key FROM transcripts""")
 
 sql("contains_ci", """
-WITH words AS (SELECT CAST(item_id AS BIGINT) AS query_id, string_split_regex(trim(text), '\\s+')[1] AS word FROM benchmark)
-SELECT w.query_id, w.word, CAST(count(d.doc_id) AS BIGINT) AS n_docs
-FROM words w LEFT JOIN documents d ON contains(lower(d.text), lower(w.word))
-GROUP BY w.query_id, w.word""")
+WITH parts AS (SELECT CAST(item_id AS BIGINT) AS query_id, 'word' AS part, string_split_regex(trim(text), '\\s+')[1] AS q FROM benchmark
+               UNION ALL SELECT CAST(item_id AS BIGINT), 'text', text FROM benchmark)
+SELECT w.query_id, w.part, CAST(count(d.doc_id) AS BIGINT) AS n_docs
+FROM parts w LEFT JOIN documents d ON contains(lower(d.text), lower(w.q))
+GROUP BY w.query_id, w.part""")
 
 sql("clip_text", with_(TRANSCRIPTS) + """
 SELECT task_id, substring(text, 1, 600) AS cut600, substring(text, 1, 400) || '...' AS cut400,
@@ -415,12 +425,13 @@ index_meta AS (
   SELECT v.task_id, CAST(count(*) AS BIGINT) AS total_chunks, 'hashed-trigram-64' AS embedding_model,
          CAST(max(len(v.vec)) AS BIGINT) AS embedding_dimension, CAST(512 AS BIGINT) AS chunk_size,
          CAST(64 AS BIGINT) AS chunk_overlap, CAST(count(DISTINCT v.label) AS BIGINT) AS n_clusters,
-         any_value(s.silhouette_score) AS silhouette_score, 'exact-inner-product' AS index_type
+         any_value(s.silhouette_score) AS silhouette_score, 'exact-inner-product' AS index_type,
+         CAST(NULL AS VARCHAR) AS cluster_error
   FROM vectors v LEFT JOIN sil s USING (task_id) GROUP BY v.task_id)"""
 
 sql("index_metadata", with_(VECTORS, SILHOUETTE, INDEX_META) + """
 SELECT task_id, total_chunks, embedding_model, embedding_dimension, chunk_size, chunk_overlap, n_clusters,
-       round(silhouette_score, 6) AS silhouette_score, index_type FROM index_meta""")
+       round(silhouette_score, 6) AS silhouette_score, index_type, cluster_error FROM index_meta""")
 
 sql("index_statistics", with_(VECTORS, SILHOUETTE, INDEX_META) + """
 , req AS (SELECT DISTINCT 't' || CAST(label % 7 AS VARCHAR) AS task_id FROM embeddings)
@@ -429,10 +440,11 @@ SELECT task_id, total_chunks, embedding_model, chunk_size, chunk_overlap, n_clus
 FROM index_meta WHERE task_id IN (SELECT task_id FROM req)""")
 
 WORDS = """
-words AS (SELECT CAST(item_id AS BIGINT) AS query_id, string_split_regex(trim(text), '\\s+')[1] AS word FROM benchmark)"""
+words AS (SELECT CAST(item_id AS BIGINT) AS query_id, 'word' AS part, string_split_regex(trim(text), '\\s+')[1] AS word FROM benchmark
+          UNION ALL SELECT CAST(item_id AS BIGINT), 'text', text FROM benchmark)"""
 
 sql("search_by_cluster", with_rec(*CHUNK_CTES, WORDS) + """
-SELECT w.query_id, c.chunk_id, CAST(c.chunk_index % 5 AS BIGINT) AS cluster_id, 'text' AS match_type
+SELECT w.query_id, w.part, c.chunk_id, CAST(c.chunk_index % 5 AS BIGINT) AS cluster_id, 'text' AS match_type
 FROM chunks c JOIN words w ON contains(lower(c.content), lower(w.word))""")
 
 
@@ -442,7 +454,7 @@ def nrm(v: str) -> str:
 
 
 CORPUS = tri_vectors_cte("corpus_vecs", """(SELECT 'all' AS task_id,
-       CAST(substring(task_id, 5) AS BIGINT) * 100000 + chunk_index AS vec_id, chunk_id,
+       CAST(substring(task_id, 5) AS BIGINT) * 4294967296 + chunk_index AS vec_id, chunk_id,
        CAST(chunk_index % 5 AS INTEGER) AS cluster_id, content FROM chunks)""",
                          "task_id, vec_id, chunk_id, cluster_id", "content") + f""",
 corpus_n AS (SELECT task_id, vec_id, chunk_id, cluster_id, content, {nrm('vec')} AS vn FROM corpus_vecs),
@@ -484,7 +496,7 @@ FROM chunks WHERE chunk_index < 3 GROUP BY task_id""")
 
 UTURNS = """
 uturns AS (
-  SELECT CAST(u.conv_id * 100 + u.turn AS BIGINT) AS query_id, 'all' AS task_id,
+  SELECT CAST(u.conv_id * 4294967296 + u.turn AS BIGINT) AS query_id, 'all' AS task_id,
          'm' || CAST(u.conv_id % 10 AS VARCHAR) AS memory_key, u.conv_id, u.turn, u.text AS query,
          coalesce(a.text, '') AS answer
   FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -618,6 +630,7 @@ gcomp AS (
          CASE conv_id % 5 WHEN 0 THEN '```json' || chr(10) || arr || chr(10) || '```'
                           WHEN 1 THEN arr
                           WHEN 2 THEN 'Here are the grades: ' || arr || ' Hope this helps.'
+                                      || CASE WHEN conv_id % 2 = 0 THEN ' See also [1].' ELSE '' END
                           WHEN 3 THEN substring(arr, 1, length(arr) - 1)
                           ELSE '[7, "text", ' || substring(arr, 2) END AS text
   FROM garr)"""
@@ -680,9 +693,9 @@ rcomp AS (
          CASE conv_id % 5
            WHEN 0 THEN '```json' || chr(10) || arr || chr(10) || '```'
            WHEN 1 THEN arr
-           WHEN 2 THEN 'Sure! ' || arr
+           WHEN 2 THEN CASE WHEN conv_id % 2 = 0 THEN arr || ' Hope this helps.' ELSE 'Sure! ' || arr END
            WHEN 3 THEN '["' || coalesce(w1, '')
-           ELSE '[{{"x": 1}}, ' || CAST(conv_id AS VARCHAR) || ', "' || coalesce(w1, '') || '"]' END AS text
+           ELSE '[{{"x": 1}}, ' || CASE WHEN conv_id % 2 = 0 THEN 'true, ' ELSE '' END || CAST(conv_id AS VARCHAR) || ', "' || coalesce(w1, '') || '"]' END AS text
   FROM (SELECT *, '["' || coalesce(w1, '') || ' ' || coalesce(w2, '') || '", "' || coalesce(w2, '') || '", '
                   || CAST(n AS VARCHAR) || ']' AS arr FROM rw))"""
 
@@ -692,8 +705,10 @@ sql("parse_rewrites", with_(REWRITE_COMPLETIONS) + f"""
 elems AS (SELECT request_id, i, json_extract(a, '$[' || CAST(i AS VARCHAR) || ']') AS e
           FROM (SELECT request_id, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM valid)),
 kept AS (SELECT request_id, i, CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$')
+                                    WHEN json_type(e) = 'BOOLEAN' AND CAST(e AS VARCHAR) = 'true' THEN 'True'
+                                    WHEN json_type(e) = 'BOOLEAN' THEN 'False'
                                     ELSE CAST(e AS VARCHAR) END AS rewrite
-         FROM elems WHERE json_type(e) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE'))
+         FROM elems WHERE json_type(e) IN ('VARCHAR', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE'))
 SELECT request_id, CAST(rn AS BIGINT) AS rewrite_no, rewrite FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY i) AS rn FROM kept) WHERE rn <= 2""")
 
@@ -754,14 +769,16 @@ SELECT query_id, chunk_id, final_rank FROM (
   FROM strips) WHERE final_rank <= 5""")
 
 sql("evidence_text", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
-, ev AS (SELECT query_id, string_agg({evidence_line_expr()}, chr(10) ORDER BY rank) AS evidence FROM graded_f2 GROUP BY query_id)
-SELECT query_id, evidence, CAST(length(evidence) AS BIGINT) AS evidence_chars, length(evidence) > 2000 AS needs_digest,
-       substring(evidence, 1, 2000) AS evidence_cut FROM ev""")
+, ev AS (SELECT query_id, string_agg({evidence_line_expr()}, chr(10) ORDER BY rank) AS evidence FROM graded_f2 GROUP BY query_id),
+l AS (SELECT query_id, rank, {evidence_line_expr()} AS line FROM graded_f2), {digest_cte("dg", "l", "rank")}
+SELECT e.query_id, e.evidence, CAST(length(e.evidence) AS BIGINT) AS evidence_chars, length(e.evidence) > 2000 AS needs_digest,
+       substring(e.evidence, 1, 2000) AS evidence_cut, d.evidence AS evidence_digest
+FROM ev e JOIN dg d USING (query_id)""")
 
 sql("answer_prompts", with_rec(*TEXT_HITS) + f"""
 , lines AS (SELECT query_id, rank, {evidence_line_expr("h.")} AS line
             FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM hits) h),
-ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY rank), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+{digest_cte("ev", "lines", "rank")}
 SELECT CAST(b.item_id AS BIGINT) AS query_id,
        'Retrieved evidence:' || chr(10) || chr(10) || coalesce(e.evidence, '') || chr(10) || chr(10)
        || 'User question:' || chr(10) || b.text || chr(10) AS prompt
@@ -780,16 +797,34 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
        || chr(10) || chr(10) || 'User: ' || text || chr(10) || 'Assistant:' AS prompt
 FROM h WHERE role = 'user'""")
 
-sql("digest_prompts", with_(TRANSCRIPTS) + """
-SELECT task_id,
-       'You are a helpful assistant specialized in summarizing YouTube video transcripts that are generated by whisper model.'
-       || chr(10) || 'Given the transcript of a YouTube video, your task is to generate a straight to point and informative '
-       || 'summary. The summary should cover key points, main ideas, and critical information, organized in a '
-       || 'coherent and structured way. Ensure that the summary is not exceed 1000 words. Make sure that the summary '
-       || 'retains the flow and structure of the original transcript while omitting unnecessary details. The summary '
-       || 'should be easy to follow, informative, and structured, highlighting important tips, steps, or insights '
-       || 'provided in the transcript.' || chr(10) || chr(10) || 'Transcript: ' || text AS prompt
-FROM transcripts""")
+# The transcript digest messages.
+DIGEST_SYSTEM = """
+You are a helpful assistant specialized in summarizing YouTube video transcripts that are generated by whisper model.
+""".strip()
+DIGEST_HEAD = """
+Given the transcript of a YouTube video, your task is to generate a straight to point and informative summary.~
+
+             The summary should cover key points, main ideas, and critical information, organized in a coherent and structured way.~
+
+              Ensure that the summary is not exceed 1000 words.
+
+             Make sure that the summary retains the flow and structure of the original transcript while omitting unnecessary details.~
+
+              The summary should be easy to follow, informative, and structured, highlighting important tips, steps, or insights provided in the transcript.
+            _
+
+Transcript:  """.lstrip("\n").replace("~", " ").replace("_\n", "\n")
+
+sql("digest_prompts", with_(TRANSCRIPTS) + f"""
+SELECT task_id, '{DIGEST_SYSTEM}' AS system, '{DIGEST_HEAD}' || text || ' ' AS prompt FROM transcripts""")
+
+sql("digest_prompts_evidence", with_rec(*TEXT_HITS) + f"""
+, lines AS (SELECT query_id, rank, {evidence_line_expr("h.")} AS line
+            FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM hits) h),
+ev AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS evidence FROM lines GROUP BY query_id)
+SELECT query_id, 'Summarize the following retrieved evidence into a concise digest that preserves key facts and names.'
+       || chr(10) || 'Use bullet points where appropriate, keep it under 500 words.' || chr(10) || chr(10) || evidence AS prompt
+FROM ev WHERE length(evidence) > 2000""")
 
 sql("extractive_digest", with_(TRANSCRIPTS, SEGMENTS) + f"""
 , words AS (SELECT task_id, seg_no, unnest(string_split_regex(lower(trim(text, {WS})), '\\s+')) AS w FROM segments),
@@ -802,11 +837,13 @@ scored AS (SELECT ws.task_id, ws.seg_no, avg(tf.tf * ln(nd.n / dfq.df)) AS score
 picked AS (SELECT * FROM (SELECT *, sum(n_words) OVER (PARTITION BY task_id ORDER BY score DESC, seg_no
                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
                           FROM scored) WHERE run <= 60)
-SELECT p.task_id, string_agg(s.text, ' ' ORDER BY s.seg_no) AS digest
-FROM picked p JOIN segments s USING (task_id, seg_no) GROUP BY p.task_id""")
+, said AS (SELECT p.task_id, string_agg(s.text, ' ' ORDER BY s.seg_no) AS digest
+          FROM picked p JOIN segments s USING (task_id, seg_no) GROUP BY p.task_id)
+SELECT t.task_id, coalesce(s.digest, '') AS digest
+FROM (SELECT DISTINCT task_id FROM segments) t LEFT JOIN said s USING (task_id)""")
 
 sql("attach_completions", with_(UTURNS) + """
-, comp AS (SELECT conv_id * 100 + turn - 1 AS request_id, text FROM conversations WHERE role = 'assistant')
+, comp AS (SELECT conv_id * 4294967296 + turn - 1 AS request_id, text FROM conversations WHERE role = 'assistant')
 SELECT u.query_id AS request_id, coalesce(c.text, '') AS completion,
        CASE WHEN c.text IS NULL THEN 'missing completion' END AS completion_error
 FROM upos u LEFT JOIN comp c ON c.request_id = u.query_id""")
@@ -857,12 +894,11 @@ SELECT request_id,
        raw AS route_raw
 FROM t""")
 
-sql("retrieval_report", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + """
+sql("retrieval_report", with_(VECTORS, NORMED, RENORMED, topk_cte(20), f2_cte(20, 0.0), GRADED_F2) + """
 SELECT query_id, CAST(rank AS BIGINT) AS rank,
-       '  - id=' || chunk_id || ' rank=' || CAST(rank AS VARCHAR) || ' sim=' || printf('%.3f', similarity_score)
-       || ' index=' || printf('%.3f', index_similarity)
-       || ' grade=' || coalesce(printf('%.2f', grade), '-') || ' cl=' || coalesce(CAST(cluster_id AS VARCHAR), '-')
-       AS report_line
+       '  - r=' || CAST(rank AS VARCHAR) || ', sim=' || printf('%.2f', similarity_score)
+       || ', grade=' || printf('%.2f', coalesce(grade, 0.0)) || ' faiss=' || printf('%.2f', index_similarity)
+       || ', cl=' || coalesce(CAST(cluster_id AS VARCHAR), '-') || ' id=' || chunk_id AS report_line
 FROM graded_f2 WHERE rank <= 10""")
 
 
@@ -910,9 +946,28 @@ sql("task_status", with_rec(*CHUNK_CTES) + """
 SELECT t.task_id, 'index' AS stage, CASE WHEN coalesce(n.n, 0) > 0 THEN 'completed' ELSE 'failed' END AS status,
        CASE WHEN coalesce(n.n, 0) > 0 THEN 'Hybrid index created successfully'
             ELSE 'Index creation failed: No embeddings provided to build the index' END AS message,
+       CASE WHEN coalesce(n.n, 0) = 0 THEN 'No embeddings provided to build the index' END AS error,
        CAST(coalesce(n.n, 0) AS BIGINT) AS n_chunks
 FROM transcripts t LEFT JOIN n USING (task_id)""")
 
+INGEST_META = tri_vectors_cte("cv", "chunks", "task_id, chunk_index", "content") + """,
+meta AS (SELECT task_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT CAST(vec AS VARCHAR)) AS d,
+                CAST(max(len(vec)) AS BIGINT) AS dim FROM cv GROUP BY task_id),
+meta2 AS (SELECT *, CASE WHEN n <= 5 THEN 'n_samples=' || CAST(n AS VARCHAR) || ' should be > n_clusters=5'
+                         WHEN d < 2 THEN 'all points coincide' END AS cluster_error FROM meta)"""
+
+sql("ingest_outcome", with_rec(*CHUNK_CTES, INGEST_META) + """
+, sm AS (SELECT task_id, string_agg(substring(content, 1, 400) || '...', '' ORDER BY chunk_index) AS summary
+         FROM chunks WHERE chunk_index < 3 GROUP BY task_id)
+SELECT t.task_id, 'index' AS stage, CASE WHEN m.n > 0 THEN 'completed' ELSE 'failed' END AS status,
+       CASE WHEN m.n > 0 THEN 'Hybrid index created successfully'
+            ELSE 'Index creation failed: No embeddings provided to build the index' END AS message,
+       CASE WHEN m.n IS NULL THEN 'No embeddings provided to build the index' END AS error,
+       CAST(coalesce(m.n, 0) AS BIGINT) AS n_chunks, coalesce(m.n, 0) AS total_chunks,
+       CASE WHEN m.n > 0 THEN 'hashed-trigram-64' END AS embedding_model, coalesce(m.dim, 0) AS embedding_dimension,
+       m.cluster_error, coalesce(m.n, 0) > 0 AND m.cluster_error IS NULL AS clustered, s.summary
+FROM transcripts t LEFT JOIN meta2 m USING (task_id) LEFT JOIN sm s USING (task_id)""")
+
 ANSWER_PROMPT = """
 'Retrieved evidence:' || chr(10) || chr(10) || coalesce(e.evidence, '') || chr(10) || chr(10)
 || 'User question:' || chr(10) || q.query || chr(10)"""
@@ -920,12 +975,12 @@ ANSWER_PROMPT = """
 sql("answer_queries", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + f"""
 , lines AS (SELECT query_id, ord, {evidence_line_expr("h.")} AS line
             FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM merged) h),
-ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY ord), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+{digest_cte("ev", "lines", "ord")}
 SELECT q.query_id, {ANSWER_PROMPT} AS prompt FROM upos q LEFT JOIN ev e USING (query_id)""")
 
 ROUTED = f"""
 routed AS (
-  SELECT conv_id, turn, text, conv_id * 100 + turn AS query_id, 'all' AS task_id, text AS query,
+  SELECT conv_id, turn, text, conv_id * 4294967296 + turn AS query_id, 'all' AS task_id, text AS query,
          CASE WHEN r = 0 THEN 'chat' WHEN r IN (1, 4) AND tid IS NOT NULL THEN 'rag' WHEN r IN (1, 4) THEN 'chat'
               WHEN r = 2 THEN 'chat' WHEN tid IS NULL THEN 'chat'
               WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
@@ -956,7 +1011,7 @@ sql("chat_turns", with_rec(*CHUNK_CTES, CORPUS, ROUTED,
                            search_cte("rag_hits", "rq", 5, 0.0), CHAT_HIST) + f"""
 , lines AS (SELECT query_id, rank, {evidence_line_expr("h.")} AS line
             FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM rag_hits) h),
-ev AS (SELECT query_id, substring(string_agg(line, chr(10) ORDER BY rank), 1, 2000) AS evidence FROM lines GROUP BY query_id)
+{digest_cte("ev", "lines", "rank")}
 SELECT CAST(q.conv_id AS BIGINT) AS conv_id, CAST(q.turn AS BIGINT) AS turn, q.mode AS mode_used, q.reason,
        {ANSWER_PROMPT} AS prompt
 FROM routed q LEFT JOIN ev e USING (query_id) WHERE q.mode = 'rag'
@@ -964,12 +1019,15 @@ UNION ALL
 SELECT CAST(r.conv_id AS BIGINT), CAST(r.turn AS BIGINT), r.mode, r.reason, c.prompt
 FROM routed r LEFT JOIN chat_p c USING (conv_id, turn) WHERE r.mode = 'chat'""")
 
-sql("ingest_stream", with_rec(*CHUNK_CTES) + """
-SELECT task_id, CAST(count(*) AS BIGINT) AS n_chunks FROM chunks GROUP BY task_id""")
+sql("ingest_stream", with_rec(*CHUNK_CTES, INGEST_META) + """
+SELECT t.task_id, CASE WHEN m.n > 0 THEN 'completed' ELSE 'failed' END AS status, coalesce(m.n, 0) AS n_chunks,
+       coalesce(m.n, 0) AS total_chunks,
+       m.cluster_error
+FROM transcripts t LEFT JOIN meta2 m USING (task_id)""")
 
 sql("question_stream", with_rec(*CHUNK_CTES, CORPUS) + f"""
 , routed AS (
-  SELECT conv_id, turn, conv_id * 100 + turn AS query_id, 'all' AS task_id, text AS query,
+  SELECT conv_id, turn, conv_id * 4294967296 + turn AS query_id, 'all' AS task_id, text AS query,
          CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
               ELSE 'chat' END AS mode,
          CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
@@ -977,9 +1035,9 @@ sql("question_stream", with_rec(*CHUNK_CTES, CORPUS) + f"""
   FROM (SELECT *, lower(coalesce(text, '')) AS msg FROM conversations WHERE role = 'user')),
 """ + query_vecs_cte("rq", "(SELECT * FROM routed WHERE mode = 'rag')", "query_id, task_id, query") + "," + \
     search_cte("rag_hits", "rq", 5, 0.0) + """,
-n AS (SELECT query_id, count(*) AS n FROM rag_hits GROUP BY query_id)
+n AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS hits FROM rag_hits GROUP BY query_id)
 SELECT CAST(r.conv_id AS BIGINT) AS conv_id, CAST(r.turn AS BIGINT) AS turn, r.mode, r.reason,
-       CAST(coalesce(n.n, 0) AS BIGINT) AS n_hits
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_hits, coalesce(n.hits, '') AS hits
 FROM routed r LEFT JOIN n USING (query_id)""")
 
 sql("media_catalog", """

@@ -1,7 +1,8 @@
 """End-to-end plans: ingestion (J1, A11), answering (J2), chat turns.
 
-Each is one lazy DataFrame plan per output; Spark runs them when they are written. Model
-calls are table boundaries: prompts leave as rows, completions come back as rows.
+Outputs are lazy DataFrame plans over a few tables written on the way (requests, numbered rows,
+bounded hits) to the shared checkpoint folder. Model calls are table boundaries: prompts leave
+as rows, completions come back as rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tessera.operators import evidence as ev
 from tessera.operators import memory as mm
 from tessera.operators import retrieval as rt
 from tessera.operators import routing as ro
+from tessera.session import checkpoint
 
 FAILED_NO_CHUNKS = "Index creation failed: No embeddings provided to build the index"
 COMPLETED = "Hybrid index created successfully"
@@ -53,28 +55,41 @@ def attach_vectors(chunks: DataFrame, vecs: DataFrame) -> DataFrame:
     return chunks.join(vecs.select("task_id", "chunk_index", "vec"), ["task_id", "chunk_index"], "inner")
 
 
-def task_status(transcripts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One outcome per task; a task without chunks fails at the index stage."""
+def task_status(transcripts: DataFrame, chunks: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
+    """One outcome per task; a task without chunks fails at the index stage.
+
+    ``upstream``: (task_id, stage_no, stage, status, message, error) of the stages before. The first
+    stage that did not complete decides, and nothing after it is reported.
+    """
     n = chunks.groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
     j = transcripts.select("task_id").join(n, "task_id", "left")
     ok = F.coalesce(F.col("n_chunks"), F.lit(0)) > 0
-    return j.select("task_id", F.lit("index").alias("stage"),
-                    F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-                    F.when(ok, F.lit(COMPLETED)).otherwise(F.lit(FAILED_NO_CHUNKS)).alias("message"),
-                    F.coalesce(F.col("n_chunks"), F.lit(0)).cast("long").alias("n_chunks"))
+    own = F.struct(F.lit("index").alias("stage"), F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+                   F.when(ok, F.lit(COMPLETED)).otherwise(F.lit(FAILED_NO_CHUNKS)).alias("message"),
+                   F.when(~ok, F.lit("No embeddings provided to build the index")).alias("error"))
+    if upstream is not None:
+        stopped = (upstream.filter(~F.col("status").eqNullSafe("completed")).groupBy("task_id")
+                   .agg(F.min_by(F.struct("stage", "status", "message", "error"), "stage_no").alias("_u")))
+        j = j.join(stopped, "task_id", "full")
+        own = F.coalesce("_u", own)
+    return (j.withColumn("_s", own)
+            .select("task_id", "_s.stage", "_s.status", "_s.message", "_s.error",
+                    F.coalesce(F.col("n_chunks"), F.lit(0)).cast("long").alias("n_chunks")))
 
 
 def ingest(transcripts: DataFrame, cfg: Settings = Settings(), embedder=None, cluster: bool = True,
            dedup: bool = False) -> Ingested:
     """Chunk -> embed -> index -> cluster -> summary memory -> task status, for all transcripts."""
-    chunks = ch.semantic_chunks(transcripts, cfg, embedder)
-    vectors = chunk_vectors(chunks, embedder, dedup)
-    members = sil = None
+    emb = embedder or em.DEFAULT_EMBEDDER
+    # Segmentation and embedding run once; every output is derived from the written vectors.
+    vectors = checkpoint(chunk_vectors(ch.semantic_chunks(transcripts, cfg, embedder), embedder, dedup))
+    chunks = vectors.drop("vec", "vec_id")
+    members = sil = status = None
     if cluster:
-        m, _, _ = cl.kmeans_by_task(vectors, cfg=cfg)
+        m, _, status = cl.kmeans_by_task(vectors, cfg=cfg)
         members = m.join(vectors.select("task_id", "vec_id", "chunk_id"), ["task_id", "vec_id"])
         _, sil = cl.silhouette(vectors.join(m, ["task_id", "vec_id"]))
-    meta = cl.index_metadata(vectors, members, sil, cfg)
+    meta = cl.index_metadata(vectors, members, sil, cfg, model=getattr(emb, "name", None), status=status)
     summary = ev.ingest_summary(chunks).select(
         F.col("task_id").alias("memory_key"), F.lit(0).cast("long").alias("seq"), "type", "text",
         F.lit(None).cast("array<double>").alias("vec"))
@@ -96,9 +111,9 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
     """Retrieve -> memory -> merge -> evidence -> prompt (-> answer -> memory rows).
 
     ``queries``: (query_id, task_id, query[, memory_key, pos]). ``store``: (task_id, vec_id,
-    chunk_id, content, vec). Corrective grading needs a grader; run :mod:`corrective` on the
-    provenance when one is available. Without a digest completion, over-budget evidence is
-    cut to the budget (the original's fallback).
+    chunk_id, content, vec). With ``completions``, an over-budget question takes its digest
+    completion, or, if that is missing or empty, the first ``max_evidence_chars`` (the original's
+    fallback for a failed digest). Without any, the offline digest of :func:`evidence.evidence_text`.
 
     Corrective mode: with ``grader`` ((queries, strips) -> grade rows, e.g. parsed grader
     completions or :func:`corrective.lexical_grades`) the first strips are graded, weak
@@ -109,42 +124,33 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
     threshold = cfg.answer_threshold if threshold is None else threshold
     emb = embedder or em.DEFAULT_EMBEDDER
     keys = [c for c in ("query_id", "task_id", "memory_key", "pos", "query") if c in queries.columns]
-    # The embedded questions and the memory picks feed several searches; keep them rather than
-    # recompute them per search (recomputed from lineage only if an executor is lost).
-    qv = emb.embed(queries, "query", keys, "qvec").persist()
+    # The embedded questions and the memory picks feed several searches; they are written once.
+    qv = checkpoint(emb.embed(queries, "query", keys, "qvec"))
     # All searches of a question (its own vector, the memory-shifted vector, one per picked
-    # memory's question line) become rows of one request table with their own k, so the store
-    # is scanned once for all of them. sid = query_id * 10 + source order.
-    req = qv.select((F.col("query_id") * 10).alias("sid"), "task_id", "qvec", F.lit(k).alias("k_row"))
+    # memory's question line) become requests (query_id, src_ord) with their own k, so the store
+    # is scanned once for all of them.
+    req = qv.select("query_id", F.lit(0).alias("src_ord"), "task_id", "qvec", F.lit(k).alias("k_row"))
     used = queries.limit(0).select("query_id")
     if use_memory and memory is not None:
-        cands = mm.memory_candidates(qv, memory, cfg).persist()
+        cands = checkpoint(mm.memory_candidates(qv, memory, cfg))
         cen = mm.centroid_queries(qv, cands, cfg)
         sub = mm.subquery_queries(cands, queries, emb)
-        req = req.unionByName(cen.select((F.col("query_id") * 10 + 1).alias("sid"), "task_id", "qvec",
-                                         F.lit(k).alias("k_row")))
-        req = req.unionByName(sub.select((F.col("query_id") * 10 + 1 + F.col("pick")).alias("sid"), "task_id", "qvec",
+        req = req.unionByName(cen.select("query_id", F.lit(1).alias("src_ord"), "task_id", "qvec", F.lit(k).alias("k_row")))
+        req = req.unionByName(sub.select("query_id", (F.col("pick") + 1).cast("int").alias("src_ord"), "task_id", "qvec",
                                          F.lit(max(2, k // 2)).alias("k_row")))
         used = mm.memory_window(queries.select("query_id", "memory_key", "pos"), memory, cfg.memory_window)
-    hits = rt.search_similar(req.withColumnRenamed("sid", "query_id"), store, members, k=k, threshold=threshold,
-                             cfg=cfg, k_col="k_row")
-    sources = [hits.withColumn("src_ord", (F.col("query_id") % 10).cast("int"))
-               .withColumn("query_id", (F.col("query_id") / 10).cast("long"))]
-    merged = mm.merge_hits(*sources).withColumn("score", F.col("similarity_score"))
+    hits = rt.search_requests(req, store, members, keys=["query_id", "src_ord"], k=k, threshold=threshold, cfg=cfg,
+                              k_col="k_row")
+    merged = mm.merge_hits(hits).withColumn("score", F.col("similarity_score"))
     if grader is not None:
         from tessera.operators import corrective as cr
 
-        g = grader(queries, merged.filter(F.col("ord") <= cfg.grade_max_items))
-        graded = (merged.join(g.select("query_id", "chunk_id", "grade", "grade_reason"), ["query_id", "chunk_id"], "left")
-                  .withColumn("grade", F.coalesce("grade", F.lit(0.0)))
-                  .withColumn("grade_reason", F.coalesce("grade_reason", F.lit("no-grade"))))
+        graded = cr.apply_grades(merged, grader(queries, merged.filter(F.col("ord") <= cfg.grade_max_items)),
+                                 cfg.grade_max_items)
 
         def retrieve(rw: DataFrame) -> DataFrame:
-            rq = emb.embed(rw.withColumn("_sid", F.col("query_id") * 10 + F.col("rewrite_no")), "rewrite",
-                           ["_sid", "task_id"], "qvec").withColumnRenamed("_sid", "query_id")
-            h = rt.search_similar(rq, store, members, k=k, threshold=threshold, cfg=cfg)
-            return (h.withColumn("rewrite_no", (F.col("query_id") % 10).cast("long"))
-                    .withColumn("query_id", (F.col("query_id") / 10).cast("long")))
+            rq = emb.embed(rw, "rewrite", ["query_id", "rewrite_no", "task_id"], "qvec")
+            return rt.search_requests(rq, store, members, keys=["query_id", "rewrite_no"], k=k, threshold=threshold, cfg=cfg)
 
         graded = cr.corrective_rounds(queries, graded, retrieve, grader, rewriter or cr.keyword_rewrites, cfg)
         merged = cr.select_strips(graded, k).withColumn("ord", F.col("final_rank"))
@@ -158,7 +164,7 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
                                                    F.coalesce(F.nullif("_digest", F.lit("")), F.col("evidence_cut")))
                                 .otherwise(F.col("evidence"))).drop("_digest"))
     else:
-        evidence = evidence.withColumn("evidence", F.col("evidence_cut"))
+        evidence = evidence.withColumn("evidence", F.col("evidence_digest"))
     prompts = ev.answer_prompts(queries.select("query_id", "query"), evidence)
     memory_rows = None
     if completions is not None and "memory_key" in queries.columns:
@@ -179,14 +185,15 @@ def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None,
     With ``use_memory`` the turns routed to retrieval share one memory per task, as in the
     original: each such turn, in (conv_id, turn) order, sees the memory written before it
     (``memory``, e.g. ingest summaries) plus the query and Q/A entries of the earlier
-    retrieval turns, whose answers come from ``answers`` (query_id, answer).
+    retrieval turns, whose answers come from ``answers`` (conv_id, turn, answer).
     """
-    from tessera.operators.ordering import positions
+    from tessera.operators.ordering import positions, with_row_ids
 
     routed = ro.route_messages(messages.filter(F.col("role") == "user"))
-    rag = routed.filter(F.col("mode") == "rag").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "task_id", F.col("text").alias("query"),
-        "conv_id", "turn")
+    rag = with_row_ids(routed.filter(F.col("mode") == "rag")
+                       .select("task_id", F.col("text").alias("query"), "conv_id", "turn", "mode", "reason"), "query_id")
+    turns = rag.select("query_id", "conv_id", "turn", "mode", "reason")
+    rag = rag.drop("mode", "reason")
     if use_memory:
         base = memory if memory is not None else rag.sparkSession.createDataFrame(
             [], "memory_key string, seq long, type string, text string, vec array<double>")
@@ -195,14 +202,12 @@ def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None,
                .join(top, "memory_key", "left")
                .withColumn("pos", (F.coalesce(F.col("_top"), F.lit(-1)) + 2 * F.col("_j")).cast("long"))
                .drop("_j", "_top"))
-        given = answers if answers is not None else rag.select("query_id", F.lit("").alias("answer"))
+        given = answers if answers is not None else rag.select("conv_id", "turn", F.lit("").alias("answer"))
         # pos is the last seq a turn may see; its own entries take pos + 1 and pos + 2.
-        written = mm.qa_memory_rows(rag.join(given.select("query_id", "answer"), "query_id", "left"), embedder)
+        written = mm.qa_memory_rows(rag.join(given.select("conv_id", "turn", "answer"), ["conv_id", "turn"], "left"), embedder)
         memory = base.unionByName(written.select("memory_key", "seq", "type", "text", "vec"))
     ans = answer_queries(rag, store, members, memory, cfg, embedder=embedder, use_memory=use_memory)
-    rag_out = (routed.filter(F.col("mode") == "rag")
-               .withColumn("query_id", F.col("conv_id") * 100 + F.col("turn"))
-               .join(ans.prompts, "query_id", "left").select("conv_id", "turn", "mode", "reason", "prompt"))
+    rag_out = turns.join(ans.prompts, "query_id", "left").select("conv_id", "turn", "mode", "reason", "prompt")
     chat = ev.chat_prompts(messages.select("conv_id", "turn", "role", "text"))
     chat_out = (routed.filter(F.col("mode") == "chat").select("conv_id", "turn", "mode", "reason")
                 .join(chat.select("conv_id", "turn", "prompt"), ["conv_id", "turn"], "left"))

@@ -78,10 +78,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "role", "text")
 
 
+def turn_id(conv: str, turn: str):
+    """One LONG for (conversation, turn) of the driver's table; turns stay below 2**32."""
+    return F.col(conv) * (1 << 32) + F.col(turn)
+
+
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from conversations: every user turn, with the next assistant turn as its answer.
 
-    query_id = conv_id * 100 + turn, task_id = 'all', memory_key = 'm' || (conv_id % 10).
+    query_id = conv_id * 2**32 + turn (turns below 2**32), task_id = 'all', memory_key = 'm' || (conv_id % 10).
     ``pos`` = 2 * (position of the turn within its key, ordered by (conv_id, turn)), numbered
     with range partitions and per-piece offsets, so no window sorts a whole key.
     """
@@ -94,7 +99,7 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
          .select("conv_id", "turn", F.col("text").alias("query"), F.coalesce("answer", F.lit("")).alias("answer"),
                  F.concat(F.lit("m"), (F.col("conv_id") % 10).cast("string")).alias("memory_key")))
     u = positions(u, "memory_key", ["conv_id", "turn"], "_j")
-    return u.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit("all").alias("task_id"),
+    return u.select(turn_id("conv_id", "turn").alias("query_id"), F.lit("all").alias("task_id"),
                     "memory_key", (F.col("_j") * 2).cast("long").alias("pos"), "conv_id", "turn", "query", "answer")
 
 
@@ -119,7 +124,8 @@ def grade_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("conv_id") % 5
     text = (F.when(shape == 0, F.concat(F.lit("```json\n"), F.col("arr"), F.lit("\n```")))
             .when(shape == 1, F.col("arr"))
-            .when(shape == 2, F.concat(F.lit("Here are the grades: "), F.col("arr"), F.lit(" Hope this helps.")))
+            .when(shape == 2, F.concat(F.lit("Here are the grades: "), F.col("arr"), F.lit(" Hope this helps."),
+                                       F.when(F.col("conv_id") % 2 == 0, F.lit(" See also [1].")).otherwise(F.lit(""))))
             .when(shape == 3, F.expr("substring(arr, 1, length(arr) - 1)"))
             .otherwise(F.concat(F.lit('[7, "text", '), F.expr("substring(arr, 2)"))))
     return per.select(F.col("conv_id").alias("request_id"), F.lit("grade").alias("stage"), text.alias("text"),
@@ -138,9 +144,11 @@ def rewrite_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("conv_id") % 5
     text = (F.when(shape == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
             .when(shape == 1, arr)
-            .when(shape == 2, F.concat(F.lit("Sure! "), arr))
+            .when(shape == 2, F.when(F.col("conv_id") % 2 == 0, F.concat(arr, F.lit(" Hope this helps.")))
+                  .otherwise(F.concat(F.lit("Sure! "), arr)))
             .when(shape == 3, F.concat(F.lit('["'), w1))
-            .otherwise(F.concat(F.lit('[{"x": 1}, '), F.col("conv_id").cast("string"), F.lit(', "'), w1, F.lit('"]'))))
+            .otherwise(F.concat(F.lit('[{"x": 1}, '), F.when(F.col("conv_id") % 2 == 0, F.lit("true, ")).otherwise(F.lit("")),
+                                F.col("conv_id").cast("string"), F.lit(', "'), w1, F.lit('"]'))))
     return per.select(F.col("conv_id").alias("request_id"), F.lit("rewrite").alias("stage"), text.alias("text"),
                       F.lit(None).cast("string").alias("error"))
 

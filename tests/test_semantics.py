@@ -267,7 +267,7 @@ def test_chat_turns_with_shared_task_memory(spark, sf):
     store = catalog.corpus_store(spark, sf)
     msgs = tb.routing_flags(spark, sf).unionByName(
         tb.messages(spark, sf).filter(F.col("role") != "user"), allowMissingColumns=True)
-    answers = tb.user_turns(spark, sf).select("query_id", "answer")
+    answers = tb.user_turns(spark, sf).select("conv_id", "turn", "answer")
     out = pl.chat_turns(msgs, store, store.select("task_id", "chunk_id", "cluster_id"), use_memory=True,
                         answers=answers)
     plain = pl.chat_turns(msgs, store, store.select("task_id", "chunk_id", "cluster_id"))
