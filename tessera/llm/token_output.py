@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, col
+from tessera.llm.common import blocks, col, materialize
 from tessera.session import scratch_dir
 
 END_ID = 2
@@ -50,6 +51,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.later: dict[str, bytes] = {}  # words after a blank
+        self.first: dict[str, bytes] = {}  # letters at the start of a line
+        self.signs: dict[str, bytes] = {}  # marks after letters
+        self.line_break = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.map = str.maketrans({b: chr(c) for b, c in self._byte_chars().items()})
 
     @staticmethod
@@ -59,35 +63,60 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in keep]
         return {**{b: b for b in keep}, **{b: 256 + i for i, b in enumerate(rest)}}
 
-    def _model(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.map))]
+    def _model(self, part: str, blank: bool = False) -> bytes:
+        """Ids of one pre-token; in the byte alphabet printable ASCII stands for itself and a blank is ``Ġ``."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.map)
+        part = "Ġ" + part if blank else part
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def word(self, text: str, blank: bool) -> bytes:
+    def _line(self, text: str, blank: bool) -> bytes | None:
+        """Ids of letters and marks, None for any other text."""
         m = _PLAIN.fullmatch(text)
-        if m:
-            ids = self._model(" " + m[1] if blank else m[1])
-            if m[2]:
-                ids += self._model(m[2])
+        if m is None:
+            return None
+        letters, signs = m.groups()
+        if blank:
+            got = self.later.get(letters)
+            if got is None:
+                got = self.later[letters] = self._model(letters, True)
         else:
-            ids = self.tokenizer.encode(" " + text if blank else text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            got = self.first.get(letters)
+            if got is None:
+                got = self.first[letters] = self._model(letters)
+        if not signs:
+            return got
+        tail = self.signs.get(signs)
+        if tail is None:
+            tail = self.signs[signs] = self._model(signs)
+        return got + tail
+
+    def word(self, text: str, blank: bool) -> bytes:
+        # A line break between letters or marks is a pre-token of its own.
+        head, *rest = text.split("\n")
+        parts = [self._line(head, blank), *[self._line(x, False) for x in rest]]
+        if None in parts:
+            return array("I", self.tokenizer.encode(" " + text if blank else text, add_special_tokens=False).ids).tobytes()
+        return self.line_break.join(parts)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         words = _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
-        head, words = words[0], words[1:]
-        known = self.later
-        new = [w for w in words if w not in known]
-        if new:
+        head, known = words.pop(0), self.later
+        parts = list(map(known.get, words))
+        if None in parts:
             if len(known) > CACHE_WORDS:
                 known.clear()
-                new = words
-            for w in new:
-                if w not in known:
-                    known[w] = self.word(w, True)
-        return (self.word(head, False) if head else b"") + b"".join(map(known.__getitem__, words))
+                self.first.clear()
+                self.signs.clear()
+            for i, p in enumerate(parts):
+                if p is None:
+                    w = words[i]
+                    p = known.get(w)
+                    parts[i] = p if p is not None else known.setdefault(w, self.word(w, True))
+        return (self.word(head, False) if head else b"") + b"".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -174,4 +203,5 @@ def token_digest(docs: DataFrame, tokenizer: str | None = None, **options) -> Da
     """Write the token table to the shared scratch folder, read it back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
     path = write_tokens(docs, scratch_dir(spark, "tokens"), tokenizer, **options)
-    return starts(checksums(read_tokens(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = materialize(checksums(read_tokens(spark, path)), "token-sums")  # the token column is read once
+    return starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
