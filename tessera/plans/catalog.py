@@ -776,6 +776,21 @@ def q_answer_queries(spark, sf_dir):
     return out.prompts
 
 
+@register("answer_graded")
+def q_answer_graded(spark, sf_dir):
+    """Answering with correction: benchmark questions, lexical grades (cut to hundredths), keyword rewrites,
+    a second retrieval where needed, the best five strips, evidence or its digest, prompt."""
+    store = corpus_store(spark, sf_dir)
+
+    def grader(queries, strips):
+        g = cr.lexical_grades(queries, strips)
+        return g.withColumn("grade", F.floor(F.col("grade") * 100 + 1e-9) / 100)
+
+    out = pl.answer_queries(tb.text_queries(spark, sf_dir), store, store.select("task_id", "chunk_id", "cluster_id"), None,
+                            use_memory=False, grader=grader)
+    return out.prompts
+
+
 @register("chat_turns")
 def q_chat_turns(spark, sf_dir):
     store = corpus_store(spark, sf_dir)

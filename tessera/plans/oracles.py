@@ -978,6 +978,46 @@ sql("answer_queries", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + f"""
 {digest_cte("ev", "lines", "ord")}
 SELECT q.query_id, {ANSWER_PROMPT} AS prompt FROM upos q LEFT JOIN ev e USING (query_id)""")
 
+def cut_grade(q: str, s: str) -> str:
+    return f"floor({lexical_grade_sql(q, s)} * 100 + 1e-9) / 100"
+
+
+sql("answer_graded", with_rec(*TEXT_HITS) + f""",
+first AS (SELECT h.query_id, h.chunk_id, h.content, h.cluster_id, CAST(h.rank AS BIGINT) AS ord, h.similarity_score AS score,
+                 {cut_grade('b.text', 'h.content')} AS grade
+          FROM hits h JOIN benchmark b ON b.item_id = h.query_id),
+weak AS (SELECT query_id FROM first GROUP BY query_id HAVING max(grade) < 0.6),
+wq AS (SELECT CAST(item_id AS BIGINT) AS query_id, 'all' AS task_id, text AS query FROM benchmark
+       WHERE item_id IN (SELECT query_id FROM weak)),
+{keyword_rewrites_cte('wq')},
+""" + query_vecs_cte("rw_q", "(SELECT query_id * 10 + rewrite_no AS query_id, query_id AS parent_id, rewrite_no, task_id, "
+                     "rewrite AS query FROM kw_rows)", "query_id, parent_id, rewrite_no, task_id") + "," + \
+    search_cte("rw_hits", "rw_q", 5, 0.0, "q.query_id, q.parent_id, q.rewrite_no") + f""",
+fresh AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.parent_id, r.chunk_id ORDER BY rewrite_no, rank) AS x
+                         FROM rw_hits r WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = r.parent_id
+                                                                                AND f.chunk_id = r.chunk_id))
+          WHERE x = 1),
+top AS (SELECT query_id, max(ord) AS t FROM first GROUP BY query_id),
+merged AS (
+  SELECT query_id, chunk_id, content, cluster_id, ord, score FROM first WHERE query_id IN (SELECT query_id FROM weak)
+  UNION ALL
+  SELECT f.parent_id, f.chunk_id, f.content, f.cluster_id,
+         CAST(coalesce(t.t, 0) + row_number() OVER (PARTITION BY f.parent_id ORDER BY f.rewrite_no, f.rank) AS BIGINT),
+         f.similarity_score
+  FROM fresh f LEFT JOIN top t ON t.query_id = f.parent_id),
+graded AS (
+  SELECT * FROM first WHERE query_id NOT IN (SELECT query_id FROM weak)
+  UNION ALL
+  SELECT m.query_id, m.chunk_id, m.content, m.cluster_id, m.ord, m.score,
+         CASE WHEN m.ord <= 8 THEN {cut_grade('b.text', 'm.content')} ELSE 0.0 END
+  FROM merged m JOIN benchmark b ON b.item_id = m.query_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, score DESC, ord) AS fr
+                        FROM graded) WHERE fr <= 5),
+lines AS (SELECT query_id, fr, {evidence_line_expr()} AS line FROM best),
+{digest_cte("ev", "lines", "fr")}
+SELECT q.query_id, {ANSWER_PROMPT} AS prompt
+FROM (SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM benchmark) q LEFT JOIN ev e USING (query_id)""")
+
 ROUTED = f"""
 routed AS (
   SELECT conv_id, turn, text, conv_id * 4294967296 + turn AS query_id, 'all' AS task_id, text AS query,
