@@ -37,3 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     nodes = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return nodes.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after adding ``links`` (a, b) to components found before: only roots are linked anew."""
+    if labels is None:
+        return components(links)
+    a, b = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    tops = components(links.join(a, "a", "left").join(b, "b", "left")
+                      .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    known = (labels.join(tops.toDF("root", "top"), "root", "left")
+             .select("node", F.coalesce("top", "root").alias("root")))
+    return materialize(known.unionByName(tops.join(labels.select("node"), "node", "left_anti")), "components")

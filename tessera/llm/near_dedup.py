@@ -7,10 +7,11 @@ do not count as similar. Candidates that share a repeat are verified by the exac
 their shingle sequences inside the band that the threshold allows:
 similarity = aligned / (a + b - aligned) >= 0.8.
 
-Equal texts are one node. Inside a bucket (equal repeat, compatible lengths) nodes are not
-compared with each other but with one hub, round after round: components found so far are
-represented by one member each, a new hub is drawn, and the rounds end when no bucket gives a
-new link. So a bucket of g texts costs about g alignments per round, and no bucket is capped.
+Equal texts are one node. Inside a bucket (one equal repeat, or two neighbouring ones, and
+compatible lengths) nodes are not compared with each other but with one hub, round after round:
+components found so far are represented by one member each, a new hub is drawn, and the rounds
+end when no bucket gives a new link. So a bucket of g texts costs about g alignments per round, and
+no bucket is capped. The buckets of two repeats part families that meet by a common passage.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, blocks, col, materialize, mix, occurrence, packed, text_bytes, unpacked
-from tessera.llm.components import components
+from tessera.llm.components import joined_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at 0.8 shares a repeat with probability about 0.8**3; it misses all 14 with about 1e-4.
 PICK, REPEATS = 3, 14
 #: Rounds with new hubs that must find nothing before the search ends.
-QUIET_ROUNDS = 2
+QUIET_ROUNDS = 1
 _SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -148,26 +149,34 @@ def verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
 
 def cells(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, n): every signature, once for the text's length class and once for the next.
+    """(key, node, n): every signature, and every two neighbouring ones, once for the text's length class
+    and once for the next.
 
     Lengths of a similar pair differ by at most the threshold's factor, so their classes are equal
     or neighbours and the pair shares a cell.
     """
     step = float(np.log(1 / threshold))
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    e = nodes.filter("n > 0").select("node", "n", size.alias("size"), F.posexplode("sigs").alias("repeat", "sig"))
+    last = F.element_at("sigs", -1)
+    two = F.zip_with("sigs", F.concat(F.array(last), F.slice("sigs", 1, REPEATS - 1)), lambda x, y: F.xxhash64(x, y))
+    e = nodes.filter("n > 0").select("node", "n", size.alias("size"), F.posexplode(F.concat("sigs", two)).alias("repeat", "sig"))
     e = e.withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
     return e.select(F.xxhash64("repeat", "sig", "size").alias("key"), "node", "n")
 
 
 def round_pairs(members: DataFrame, labels: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) to verify in this round: per bucket one member of every component against the hub's."""
+    """Pairs (a, b) to verify in this round: per bucket one member of every component against the hub.
+
+    First round: every node against the bucket's least node. Later: one member of each component
+    against one of the bucket's largest component, both drawn anew per bucket, so a text meets as
+    many members of a family as it shares buckets with it.
+    """
     m = members.withColumn("comp", F.col("node")) if labels is None else (
         members.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
-    per = m.groupBy("key", "comp").agg(F.min(draw).alias("one"))
-    first = F.col("comp") if turn == 1 else F.xxhash64("comp", F.lit(turn))
-    hub = per.groupBy("key").agg(F.min(F.struct(first.alias("h"), "comp", "one")).alias("hub"), F.count(F.lit(1)).alias("c"))
+    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n")
+    per = m.groupBy("key", "comp").agg(F.min(draw).alias("one"), F.count(F.lit(1)).alias("size"))
+    order = F.col("comp") if turn == 1 else F.struct(-F.col("size"), F.xxhash64("comp", "key", F.lit(turn)))
+    hub = per.groupBy("key").agg(F.min(F.struct(order.alias("h"), "comp", "one")).alias("hub"), F.count(F.lit(1)).alias("c"))
     p = per.join(hub.filter("c > 1").select("key", "hub"), "key").filter("comp <> hub.comp")
     p = p.select(F.col("one.node").alias("u"), F.col("one.n").alias("nu"), F.col("hub.one.node").alias("v"),
                  F.col("hub.one.n").alias("nv"))
@@ -196,7 +205,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
                    & F.col("id").eqNullSafe(F.col("nid"))).select("node", "text")
     # Repeated rows of a text give the same sequence; one is enough.
     seqs = materialize(sequences(texts.groupBy("node").agg(F.first("text").alias("text"))), "sequences")
-    tested, found, labels, turn, quiet = None, None, None, 0, 0
+    tested, labels, turn, quiet = None, None, 0, 0
     while quiet < QUIET_ROUNDS:
         turn += 1
         pairs = round_pairs(members, labels, turn, threshold)
@@ -212,8 +221,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
             quiet += 1
             continue
         quiet = 0
-        found = new if found is None else found.unionByName(new)
-        labels = components(found)
+        labels = joined_components(labels, new)
     return labels
 
 
