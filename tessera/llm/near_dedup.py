@@ -12,6 +12,10 @@ compatible lengths) nodes are not compared with each other but with one hub, rou
 components found so far are represented by one member each, a new hub is drawn, and the rounds
 end when no bucket gives a new link. So a bucket of g texts costs about g alignments per round, and
 no bucket is capped. The buckets of two repeats part families that meet by a common passage.
+
+The rounds only join families cheaply; they do not end the search. Members of buckets that still
+hold several components are finished exactly (:func:`rest_pairs`): every pair of them in different
+components is aligned unless a bound proves it below the threshold.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ THRESHOLD = 0.8
 PICK, REPEATS = 3, 14
 #: Rounds with new hubs that must find nothing before the search ends.
 QUIET_ROUNDS = 1
+#: Longs in a text's parity bitmap.
+PARITY = 8
 _SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -184,6 +190,71 @@ def round_pairs(members: DataFrame, labels: DataFrame | None, turn: int, thresho
     return p.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
+def parities(seqs: DataFrame) -> DataFrame:
+    """(node, b0, b1, ...): per bit, whether an odd number of the text's shingles fall on it.
+
+    Two texts differ in at most as many bits as there are shingles that only one of them has.
+    """
+
+    def run(batches):
+        for batch in batches:
+            seq = batch.column(1)
+            values, off = seq.values.to_numpy().view(np.uint64), seq.offsets.to_numpy().astype(np.int64)
+            values = values[off[0]:off[-1]]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            bit = (mix(values) >> np.uint64(55)).astype(np.int64)
+            odd = np.bincount(owner * 64 * PARITY + bit, minlength=batch.num_rows * 64 * PARITY) & 1
+            longs = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(batch.num_rows, PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, k].copy()) for k in range(PARITY))],
+                                             names=["node", *(f"b{k}" for k in range(PARITY))])
+
+    return seqs.select("node", "seq").mapInArrow(run, "node long, " + ", ".join(f"b{k} long" for k in range(PARITY)))
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components among the members of all buckets that hold several components,
+    without those that cannot reach the threshold.
+
+    The bounds are exact. The shingles of all these texts get one order, rarest first. A similar pair
+    has at least ``t / (1 + t) * (a + b)`` shingles in common, so the first one it has in common stands
+    in both texts early enough to leave as many, itself included; pairs meet by such shingles only. A text's
+    own share of a crowd's passage stands last, so a crowd does not meet by its passage. What meets must
+    also differ in no more parity bits than a similar pair has shingles apart.
+    """
+    comp = F.col("node") if labels is None else F.coalesce("root", "node")
+    m = members if labels is None else members.join(labels, "node", "left")
+    m = m.select("key", "node", "n", comp.alias("comp"))
+    open_ = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    left = materialize(m.join(open_, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "rest")
+    own = seqs.join(left.select("node"), "node")
+    tokens = own.select("node", F.explode("seq").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = (tokens.join(common, "token").groupBy("node")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common")))
+    # Shingles of one text only come first; the last place that leaves threshold * n shingles is n - threshold * n.
+    room = F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-6)).cast("int") + 1
+    ranked = ranked.join(left, "node").withColumn("before", (F.col("n") - F.size("common")).cast("int"))
+    early = ranked.withColumn("early", F.slice("common", F.lit(1), F.greatest(room - F.col("before"), F.lit(0))))
+    early = (early.filter(F.size("early") > 0)
+             .select("node", "n", "comp", "before", F.posexplode("early").alias("at", "s"))
+             .select("node", "n", "comp", F.col("s.token").alias("token"),
+                     (F.col("n") - F.col("before") - F.col("at")).alias("after")))
+    early = materialize(early, "early")
+    per = early.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    most = (per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("c"))
+            .filter("c > 1").select("token", F.col("most.comp").alias("main")))
+    bits = [f"b{k}" for k in range(PARITY)]
+    met = materialize(early.join(most, "token").join(parities(own), "node"), "met")
+    x = met.filter("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "after", *bits)])
+    least = F.lit(threshold / (1 + threshold)) * (F.col("x_n") + F.col("n")) - F.lit(1e-6)
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b))) for b in bits), F.lit(0))
+    # Pairs with the shingle's largest component come from the other side only; the rest once by node.
+    pairs = x.hint("merge").join(met, "token").filter(
+        (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("x_node") < F.col("node")))
+        & (F.least("after", "x_after") >= least) & (apart <= F.col("x_n") + F.col("n") - 2 * least))
+    return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+
+
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): the sketched rows without signatures, and one node per distinct text."""
     sk = materialize(sketches(docs, id_col, text_col), "sketches")
@@ -222,7 +293,11 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
             continue
         quiet = 0
         labels = joined_components(labels, new)
-    return labels
+    rest = rest_pairs(members, labels, seqs, threshold)
+    if tested is not None:
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+    new = materialize(verified(materialize(rest, "rest-pairs"), seqs, threshold), "verified")
+    return labels if new.isEmpty() else joined_components(labels, new)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

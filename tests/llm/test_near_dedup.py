@@ -114,6 +114,25 @@ def test_large_group_of_near_copies_and_a_shared_passage(make_docs):
     assert kept == [0] + list(range(200, 350))
 
 
+def crowd(seed, texts, pairs, passage, own):
+    """Texts that begin with the same ``passage`` words (below 0.8); the last 2 * ``pairs`` are near copies in pairs."""
+    rnd = random.Random(seed)
+    shared = [f"p{i}" for i in range(passage)]
+    words = lambda n: [f"u{rnd.random()}" for _ in range(n)]
+    tails = [words(own) for _ in range(texts)]
+    for _ in range(pairs):
+        base = words(own)
+        tails += [base, [*base[:5], *words(1), *base[6:11], *words(1), *base[12:]]]
+    return [(i, " ".join(shared + t)) for i, t in enumerate(tails)]
+
+
+def test_near_pairs_inside_a_crowd(make_docs):
+    docs = crowd(5, 60, 30, 103, 17)
+    docs += [(1000 + i, t.replace("p", "q")) for i, t in crowd(6, 30, 15, 90, 30)]
+    got = near_duplicates(make_docs([(i, t, "en", "s") for i, t in docs])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
+
+
 def test_odd_rows(odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     rows = near_duplicates(odd_docs).collect()
