@@ -34,8 +34,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at 0.8 shares a repeat with probability about 0.8**3; it misses all 14 with about 1e-4.
 PICK, REPEATS = 3, 14
-#: Rounds with new hubs that must find nothing before the search ends.
-QUIET_ROUNDS = 1
 #: Longs in a text's parity bitmap.
 PARITY = 8
 _SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -276,22 +274,19 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
                    & F.col("id").eqNullSafe(F.col("nid"))).select("node", "text")
     # Repeated rows of a text give the same sequence; one is enough.
     seqs = materialize(sequences(texts.groupBy("node").agg(F.first("text").alias("text"))), "sequences")
-    tested, labels, turn, quiet = None, None, 0, 0
-    while quiet < QUIET_ROUNDS:
+    tested, labels, turn = None, None, 0
+    while True:  # A round without a link ends only the cheap joining; what is untested then is left to the rest.
         turn += 1
         pairs = round_pairs(members, labels, turn, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            quiet += 1
-            continue
+            break
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialize(verified(pairs, seqs, threshold), "verified")
         if new.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
+            break
         labels = joined_components(labels, new)
     rest = rest_pairs(members, labels, seqs, threshold)
     if tested is not None:

@@ -133,6 +133,16 @@ def test_near_pairs_inside_a_crowd(make_docs):
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
 
 
+def test_a_round_without_links_does_not_end_the_search(monkeypatch, make_docs):
+    import tessera.llm.near_dedup as m
+
+    nothing = lambda members, *_: members.selectExpr("node as a", "node as b").limit(0)
+    monkeypatch.setattr(m, "round_pairs", nothing)
+    docs = crowd(8, 20, 10, 90, 30)
+    got = near_duplicates(make_docs([(i, t, "en", "s") for i, t in docs])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
+
+
 def test_odd_rows(odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     rows = near_duplicates(odd_docs).collect()
