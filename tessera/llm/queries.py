@@ -129,3 +129,10 @@ def q_suffix_dedup(spark, sf_dir):
     from tessera.llm.suffix_dedup import deduplicated_texts
 
     return deduplicated_texts(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op13_backtrack_bpe")
+def q_backtrack_bpe(spark, sf_dir):
+    from tessera.llm.backtrack_bpe import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"))
