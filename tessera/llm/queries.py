@@ -136,3 +136,74 @@ def q_backtrack_bpe(spark, sf_dir):
     from tessera.llm.backtrack_bpe import bpe_digest
 
     return bpe_digest(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS tree,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text,
+         CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+                                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS received
+  FROM documents, crc_table
+), hashed AS (
+  SELECT rid, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(received) || ':' || received, '-')) AS got
+  FROM docs
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS d FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, lvl, pos // 16
+), heights AS (
+  SELECT tree, max(lvl) AS h FROM nodes GROUP BY tree
+), subroots AS (
+  SELECT n.tree, n.d AS subroot, h, row_number() OVER (ORDER BY n.tree) - 1 AS pos
+  FROM nodes n JOIN heights USING (tree) WHERE n.lvl = h
+), tops AS (
+  SELECT 0 AS lvl, pos, subroot AS d FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY lvl, pos // 16
+), top_height AS (
+  SELECT max(lvl) AS th FROM tops
+), steps AS (
+  SELECT l.rid, m.lvl AS k,
+         coalesce(string_agg(m.d, '' ORDER BY m.pos) FILTER (m.pos < l.pos // (16 ** m.lvl)::BIGINT), '') AS pre,
+         coalesce(string_agg(m.d, '' ORDER BY m.pos) FILTER (m.pos > l.pos // (16 ** m.lvl)::BIGINT), '') AS post
+  FROM leaves l JOIN subroots s ON s.tree = l.tree
+  JOIN nodes m ON m.tree = l.tree AND m.lvl < s.h AND m.pos // 16 = l.pos // (16 ** (m.lvl + 1))::BIGINT
+  GROUP BY l.rid, m.lvl
+  UNION ALL
+  SELECT l.rid, 1000 + m.lvl,
+         coalesce(string_agg(m.d, '' ORDER BY m.pos) FILTER (m.pos < s.pos // (16 ** m.lvl)::BIGINT), ''),
+         coalesce(string_agg(m.d, '' ORDER BY m.pos) FILTER (m.pos > s.pos // (16 ** m.lvl)::BIGINT), '')
+  FROM leaves l JOIN subroots s ON s.tree = l.tree CROSS JOIN top_height
+  JOIN tops m ON m.lvl < th AND m.pos // 16 = s.pos // (16 ** (m.lvl + 1))::BIGINT
+  GROUP BY l.rid, m.lvl
+), proofs AS (
+  SELECT rid, sha256(string_agg(pre || post, '' ORDER BY k)) AS proof, list(pre || '@' || post ORDER BY k) AS way FROM steps GROUP BY rid
+), folded AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT d FROM tops, top_height WHERE lvl = th) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+         list_reduce(coalesce(p.way, []), lambda f, w: sha256(replace(w, '@', f)), l.got) AS folded_root
+  FROM leaves l JOIN subroots s ON s.tree = l.tree LEFT JOIN proofs p ON p.rid = l.rid
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@register("op12_merkle_manifest", OP12_SQL)
+def q_merkle(spark, sf_dir):
+    from tessera.llm.merkle import manifest_audit
+
+    return manifest_audit(table(spark, sf_dir, "documents"))
