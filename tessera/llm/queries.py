@@ -207,3 +207,49 @@ def q_merkle(spark, sf_dir):
     from tessera.llm.merkle import manifest_audit
 
     return manifest_audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), words AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), counts AS (
+  SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS c FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term
+  GROUP BY w.lang, w.source, w.term
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT d.lang, d.source, coalesce(max(l.v), 0) AS v, coalesce(max(l.n), 0) AS ln, coalesce(max(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN langs l ON l.lang = d.lang
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source) c ON c.lang = d.lang AND c.source = d.source
+  GROUP BY d.lang, d.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (g.n + g.v) AS p,
+         1 + (1000000000 * (k.total + 1)) // (g.ln + g.v) AS pl
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - pl) * (p - pl)) // pl FROM shares WHERE c > 0 AND p > pl
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 200
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def q_divergence(spark, sf_dir):
+    from tessera.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
