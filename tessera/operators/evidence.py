@@ -95,6 +95,12 @@ def answer_prompts(queries: DataFrame, evidence: DataFrame, by: str = "query_id"
     return j.withColumn("prompt", prompt)
 
 
+def chat_prompt(history: Column, text: Column) -> Column:
+    """The prompt of one user message after its history, an ordered array of (role, text)."""
+    said = F.array_join(F.transform(history, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return F.concat(F.lit(CHAT_PROMPT_HEAD), said, F.lit("\n\n"), F.lit("User: "), text, F.lit("\nAssistant:"))
+
+
 def chat_prompts(messages: DataFrame, max_history: int = CHAT_HISTORY) -> DataFrame:
     """H4: per user turn, the last ``max_history`` earlier messages as ``role: content``, then the new one.
 
@@ -115,9 +121,7 @@ def chat_prompts(messages: DataFrame, max_history: int = CHAT_HISTORY) -> DataFr
     h = (back.join(hist, ["conv_id", "_t"], "inner").groupBy("conv_id", "turn")
          .agg(F.array_sort(F.collect_list("_m")).alias("_h")))
     j = users.join(h, ["conv_id", "turn"], "left")
-    conv = F.array_join(F.transform(F.coalesce(F.col("_h"), F.array().cast(h.schema["_h"].dataType)),
-                                    lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
-    prompt = F.concat(F.lit(CHAT_PROMPT_HEAD), conv, F.lit("\n\n"), F.lit("User: "), F.col("text"), F.lit("\nAssistant:"))
+    prompt = chat_prompt(F.coalesce(F.col("_h"), F.array().cast(h.schema["_h"].dataType)), F.col("text"))
     return j.withColumn("prompt", prompt).drop("_h", "_place")
 
 

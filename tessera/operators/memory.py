@@ -139,15 +139,19 @@ def merge_hits(*sources: DataFrame) -> DataFrame:
     return best.withColumn("ord", F.row_number().over(w)).drop("_first")
 
 
+def qa_text(query, answer):
+    """Text of a Q/A entry; a missing answer is empty."""
+    return F.concat(F.lit("Q: "), query, F.lit("\nA: "), F.coalesce(answer, F.lit("")))
+
+
 def qa_memory_rows(answered: DataFrame, embedder=None) -> DataFrame:
     """H8: two memory rows per answered question: the question, and ``Q: ...\\nA: ...``.
 
     ``answered``: (memory_key, pos, query, answer). The rows take seq pos + 1 and pos + 2.
     """
     emb = embedder or DEFAULT_EMBEDDER
-    qa_text = F.concat(F.lit("Q: "), F.col("query"), F.lit("\nA: "), F.coalesce(F.col("answer"), F.lit("")))
     rows = answered.select("memory_key", F.explode(F.array(
         F.struct((F.col("pos") + 1).alias("seq"), F.lit("query").alias("type"), F.col("query").alias("text")),
-        F.struct((F.col("pos") + 2).alias("seq"), F.lit("qa").alias("type"), qa_text.alias("text")))).alias("r"))
+        F.struct((F.col("pos") + 2).alias("seq"), F.lit("qa").alias("type"), qa_text(F.col("query"), F.col("answer")).alias("text")))).alias("r"))
     rows = rows.select("memory_key", F.col("r.seq").cast("long").alias("seq"), "r.type", "r.text")
     return rows.withColumn("vec", emb.vector(F.col("text")))

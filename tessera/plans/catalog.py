@@ -791,6 +791,21 @@ def q_answer_graded(spark, sf_dir):
     return out.prompts
 
 
+@register("answer_graded_memory")
+def q_answer_graded_memory(spark, sf_dir):
+    """Answering with memory and correction in one call: user turns over the memory table, lexical grades cut to
+    hundredths, keyword rewrites, the best five strips, evidence or its digest, prompt."""
+    store = corpus_store(spark, sf_dir)
+
+    def grader(queries, strips):
+        g = cr.lexical_grades(queries, strips)
+        return g.withColumn("grade", F.floor(F.col("grade") * 100 + 1e-9) / 100)
+
+    out = pl.answer_queries(tb.user_turns(spark, sf_dir), store, store.select("task_id", "chunk_id", "cluster_id"),
+                            memory_table(spark, sf_dir), grader=grader)
+    return out.prompts
+
+
 @register("chat_turns")
 def q_chat_turns(spark, sf_dir):
     store = corpus_store(spark, sf_dir)
@@ -800,6 +815,26 @@ def q_chat_turns(spark, sf_dir):
     return out.select("conv_id", "turn", "mode_used", "reason", "prompt")
 
 
+def _chat_with_memory(spark, sf_dir):
+    """Chat turns over one memory per task, begun by a summary entry; the assistant's turns are the answers."""
+    store = corpus_store(spark, sf_dir)
+    return pl.chat_session(tb.routing_flags(spark, sf_dir).unionByName(
+        tb.messages(spark, sf_dir).filter(F.col("role") != "user"), allowMissingColumns=True),
+        store, store.select("task_id", "chunk_id", "cluster_id"), memory=tb.first_memory(spark), use_memory=True,
+        answers=tb.given_answers(spark, sf_dir))
+
+
+@register("chat_turns_memory")
+def q_chat_turns_memory(spark, sf_dir):
+    return _chat_with_memory(spark, sf_dir).turns.select("conv_id", "turn", "mode_used", "reason", "prompt")
+
+
+@register("chat_memory_rows")
+def q_chat_memory_rows(spark, sf_dir):
+    """The rows that the chat turns append to the memory."""
+    return _chat_with_memory(spark, sf_dir).memory_rows
+
+
 @register("ingest_stream")
 def q_ingest_stream(spark, sf_dir):
     src = scratch_dir(spark, "incoming")
@@ -816,16 +851,20 @@ def q_ingest_stream(spark, sf_dir):
 
 @register("question_stream")
 def q_question_stream(spark, sf_dir):
+    """Messages in three micro-batches, by conversation; memory and histories are carried in streaming state."""
     store = corpus_store(spark, sf_dir)
-    out = scratch_dir(spark, "answers")
-    src = (spark.readStream.format("parquet").schema("conv_id long, turn long, role string, text string")
-           .option("pathGlobFilter", "conversations.parquet").load(sf_dir)
-           .withColumn("task_id", F.lit("all")))
+    out, src = scratch_dir(spark, "answers"), scratch_dir(spark, "messages")
+    m = tb.messages(spark, sf_dir)
+    low, high = m.agg(F.min("conv_id"), F.max("conv_id")).first()
+    third = F.floor((F.col("conv_id") - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    for k in range(3):  # one file each: files are taken in the order of their times
+        m.filter(third == k).withColumn("task_id", F.lit("all")).coalesce(1).write.mode("append").parquet(src)
     q = sm.question_stream(spark, src, store, store.select("task_id", "chunk_id", "cluster_id"), out,
-                           scratch_dir(spark, "q-ckpt"),
-                           route_flags={"chat_only": False, "force_rag": False, "auto_retrieve": True})
+                           scratch_dir(spark, "q-ckpt"), schema="conv_id long, turn long, role string, text string, task_id string",
+                           route_flags={"chat_only": False, "force_rag": False, "auto_retrieve": True},
+                           memory=tb.first_memory(spark), answers=tb.given_answers(spark, sf_dir), max_files=1)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("epoch")
+    return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", "mode_used", "reason", "prompt")
 
 
 @register("media_catalog")

@@ -504,7 +504,9 @@ uturns AS (
 upos AS (SELECT *, CAST(2 * (row_number() OVER (PARTITION BY memory_key ORDER BY conv_id, turn) - 1) AS BIGINT) AS pos
          FROM uturns)"""
 
-MEMORY = UTURNS + """,
+def memory_cte(uturns: str) -> str:
+    """Numbered turns with the memory that they see and write."""
+    return uturns + """,
 qa_rows AS (
   SELECT memory_key, pos + 1 AS seq, 'query' AS type, query AS text FROM upos
   UNION ALL
@@ -515,6 +517,9 @@ memory AS (
          CAST(NULL AS DOUBLE[]) AS vec FROM upos
   UNION ALL SELECT memory_key, CAST(seq AS BIGINT), type, text, vec FROM qa_vecs)"""
 
+
+MEMORY = memory_cte(UTURNS)
+
 sql("qa_memory_rows", with_(MEMORY) + """
 SELECT memory_key, CAST(seq AS BIGINT) AS seq, type, text, vec FROM qa_vecs""")
 
@@ -982,23 +987,21 @@ def cut_grade(q: str, s: str) -> str:
     return f"floor({lexical_grade_sql(q, s)} * 100 + 1e-9) / 100"
 
 
-sql("answer_graded", with_rec(*TEXT_HITS) + f""",
-first AS (SELECT h.query_id, h.chunk_id, h.content, h.cluster_id, CAST(h.rank AS BIGINT) AS ord, h.similarity_score AS score,
-                 {cut_grade('b.text', 'h.content')} AS grade
-          FROM hits h JOIN benchmark b ON b.item_id = h.query_id),
+def graded_ctes(questions: str) -> str:
+    """From ``first`` (strips with their first grades) to ``best``: rewrites of weak questions, retrieved, merged, graded."""
+    return f"""
 weak AS (SELECT query_id FROM first GROUP BY query_id HAVING max(grade) < 0.6),
-wq AS (SELECT CAST(item_id AS BIGINT) AS query_id, 'all' AS task_id, text AS query FROM benchmark
-       WHERE item_id IN (SELECT query_id FROM weak)),
+wq AS (SELECT query_id, 'all' AS task_id, query FROM {questions} WHERE query_id IN (SELECT query_id FROM weak)),
 {keyword_rewrites_cte('wq')},
 """ + query_vecs_cte("rw_q", "(SELECT query_id * 10 + rewrite_no AS query_id, query_id AS parent_id, rewrite_no, task_id, "
                      "rewrite AS query FROM kw_rows)", "query_id, parent_id, rewrite_no, task_id") + "," + \
-    search_cte("rw_hits", "rw_q", 5, 0.0, "q.query_id, q.parent_id, q.rewrite_no") + f""",
+        search_cte("rw_hits", "rw_q", 5, 0.0, "q.query_id, q.parent_id, q.rewrite_no") + f""",
 fresh AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.parent_id, r.chunk_id ORDER BY rewrite_no, rank) AS x
                          FROM rw_hits r WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = r.parent_id
                                                                                 AND f.chunk_id = r.chunk_id))
           WHERE x = 1),
 top AS (SELECT query_id, max(ord) AS t FROM first GROUP BY query_id),
-merged AS (
+widened AS (
   SELECT query_id, chunk_id, content, cluster_id, ord, score FROM first WHERE query_id IN (SELECT query_id FROM weak)
   UNION ALL
   SELECT f.parent_id, f.chunk_id, f.content, f.cluster_id,
@@ -1009,14 +1012,28 @@ graded AS (
   SELECT * FROM first WHERE query_id NOT IN (SELECT query_id FROM weak)
   UNION ALL
   SELECT m.query_id, m.chunk_id, m.content, m.cluster_id, m.ord, m.score,
-         CASE WHEN m.ord <= 8 THEN {cut_grade('b.text', 'm.content')} ELSE 0.0 END
-  FROM merged m JOIN benchmark b ON b.item_id = m.query_id),
+         CASE WHEN m.ord <= 8 THEN {cut_grade('b.query', 'm.content')} ELSE 0.0 END
+  FROM widened m JOIN {questions} b ON b.query_id = m.query_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, score DESC, ord) AS fr
                         FROM graded) WHERE fr <= 5),
 lines AS (SELECT query_id, fr, {evidence_line_expr()} AS line FROM best),
-{digest_cte("ev", "lines", "fr")}
-SELECT q.query_id, {ANSWER_PROMPT} AS prompt
-FROM (SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM benchmark) q LEFT JOIN ev e USING (query_id)""")
+{digest_cte("ev", "lines", "fr")}"""
+
+
+sql("answer_graded", with_rec(*TEXT_HITS) + f""",
+asked AS (SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM benchmark),
+first AS (SELECT h.query_id, h.chunk_id, h.content, h.cluster_id, CAST(h.rank AS BIGINT) AS ord, h.similarity_score AS score,
+                 {cut_grade('b.query', 'h.content')} AS grade
+          FROM hits h JOIN asked b USING (query_id)),
+{graded_ctes('asked')}
+SELECT q.query_id, {ANSWER_PROMPT} AS prompt FROM asked q LEFT JOIN ev e USING (query_id)""")
+
+sql("answer_graded_memory", with_rec(*CHUNK_CTES, CORPUS, *MEM_BASE, MERGED) + f""",
+first AS (SELECT h.query_id, h.chunk_id, h.content, h.cluster_id, CAST(h.ord AS BIGINT) AS ord, h.similarity_score AS score,
+                 CASE WHEN h.ord <= 8 THEN {cut_grade('b.query', 'h.content')} ELSE 0.0 END AS grade
+          FROM merged h JOIN upos b USING (query_id)),
+{graded_ctes('upos')}
+SELECT q.query_id, {ANSWER_PROMPT} AS prompt FROM upos q LEFT JOIN ev e USING (query_id)""")
 
 ROUTED = f"""
 routed AS (
@@ -1059,27 +1076,52 @@ UNION ALL
 SELECT CAST(r.conv_id AS BIGINT), CAST(r.turn AS BIGINT), r.mode, r.reason, c.prompt
 FROM routed r LEFT JOIN chat_p c USING (conv_id, turn) WHERE r.mode = 'chat'""")
 
+ROUTED_AUTO = f"""
+routed AS (
+  SELECT conv_id, turn, text, conv_id * 4294967296 + turn AS query_id, 'all' AS task_id, text AS query,
+         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
+              ELSE 'chat' END AS mode,
+         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
+              WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'factual signal' ELSE 'default chat' END AS reason
+  FROM (SELECT *, lower(coalesce(text, '')) AS msg FROM conversations WHERE role = 'user'))"""
+
+RAG_TURNS = """
+uturns AS (
+  SELECT CAST(u.query_id AS BIGINT) AS query_id, 'all' AS task_id, 'all' AS memory_key, u.conv_id, u.turn, u.query,
+         coalesce(a.text, '') AS answer
+  FROM routed u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.mode = 'rag'),
+upos AS (SELECT *, CAST(2 * (row_number() OVER (PARTITION BY memory_key ORDER BY conv_id, turn) - 1) AS BIGINT) AS pos
+         FROM uturns)"""
+
+
+def chat_memory_sql(routed: str) -> str:
+    """Turns of J3 over one memory per task; also what the question stream writes in all its micro-batches."""
+    return with_rec(*CHUNK_CTES, CORPUS, routed, memory_cte(RAG_TURNS), TURN_Q, CANDS, MERGED, CHAT_HIST) + f"""
+, lines AS (SELECT query_id, ord, {evidence_line_expr("h.")} AS line
+            FROM (SELECT *, similarity_score AS score, CAST(NULL AS DOUBLE) AS grade FROM merged) h),
+{digest_cte("ev", "lines", "ord")}
+SELECT CAST(q.conv_id AS BIGINT) AS conv_id, CAST(q.turn AS BIGINT) AS turn, q.mode AS mode_used, q.reason,
+       {ANSWER_PROMPT} AS prompt
+FROM routed q LEFT JOIN ev e USING (query_id) WHERE q.mode = 'rag'
+UNION ALL
+SELECT CAST(r.conv_id AS BIGINT), CAST(r.turn AS BIGINT), r.mode, r.reason, c.prompt
+FROM routed r LEFT JOIN chat_p c USING (conv_id, turn) WHERE r.mode = 'chat'"""
+
+
+sql("chat_turns_memory", chat_memory_sql(ROUTED))
+
+sql("chat_memory_rows", with_(ROUTED, memory_cte(RAG_TURNS)) + """
+SELECT memory_key, CAST(seq AS BIGINT) AS seq, type, text, vec FROM qa_vecs""")
+
+sql("question_stream", chat_memory_sql(ROUTED_AUTO))
+
 sql("ingest_stream", with_rec(*CHUNK_CTES, INGEST_META) + """
 SELECT t.task_id, CASE WHEN m.n > 0 THEN 'completed' ELSE 'failed' END AS status, coalesce(m.n, 0) AS n_chunks,
        coalesce(m.n, 0) AS total_chunks,
        m.cluster_error
 FROM transcripts t LEFT JOIN meta2 m USING (task_id)""")
 
-sql("question_stream", with_rec(*CHUNK_CTES, CORPUS) + f"""
-, routed AS (
-  SELECT conv_id, turn, conv_id * 4294967296 + turn AS query_id, 'all' AS task_id, text AS query,
-         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'rag' WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'rag'
-              ELSE 'chat' END AS mode,
-         CASE WHEN {any_in_sql('msg', ROUTE_TOPIC)} THEN 'heuristic keywords matched'
-              WHEN {any_in_sql('msg', ROUTE_FACT)} THEN 'factual signal' ELSE 'default chat' END AS reason
-  FROM (SELECT *, lower(coalesce(text, '')) AS msg FROM conversations WHERE role = 'user')),
-""" + query_vecs_cte("rq", "(SELECT * FROM routed WHERE mode = 'rag')", "query_id, task_id, query") + "," + \
-    search_cte("rag_hits", "rq", 5, 0.0) + """,
-n AS (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS hits FROM rag_hits GROUP BY query_id)
-SELECT CAST(r.conv_id AS BIGINT) AS conv_id, CAST(r.turn AS BIGINT) AS turn, r.mode, r.reason,
-       CAST(coalesce(n.n, 0) AS BIGINT) AS n_hits, coalesce(n.hits, '') AS hits
-FROM routed r LEFT JOIN n USING (query_id)""")
-
 sql("media_catalog", """
 WITH p AS (SELECT page_id, html, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'Unknown Title') AS t
            FROM pages)

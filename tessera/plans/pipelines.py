@@ -174,18 +174,27 @@ def answer_queries(queries: DataFrame, store: DataFrame, members: DataFrame | No
     return Answered(prompts.select("query_id", "prompt"), merged, used, memory_rows)
 
 
-def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None, cfg: Settings = Settings(),
-               embedder=None, memory: DataFrame | None = None, use_memory: bool = False,
-               answers: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Chatted:
+    """``turns``: (conv_id, turn, mode_used, reason, prompt); ``memory_rows``: what the turns add to the memory, or None."""
+
+    turns: DataFrame
+    memory_rows: DataFrame | None
+
+
+def chat_session(messages: DataFrame, store: DataFrame, members: DataFrame | None, cfg: Settings = Settings(),
+                 embedder=None, memory: DataFrame | None = None, use_memory: bool = False,
+                 answers: DataFrame | None = None, grader=None, rewriter=None) -> Chatted:
     """Route each user turn, then an answer prompt (rag) or a chat prompt (chat).
 
     ``messages``: user and assistant rows (conv_id, turn, role, text) with routing flags on the
-    user rows. Returns (conv_id, turn, mode_used, reason, prompt).
+    user rows.
 
     With ``use_memory`` the turns routed to retrieval share one memory per task, as in the
     original: each such turn, in (conv_id, turn) order, sees the memory written before it
     (``memory``, e.g. ingest summaries) plus the query and Q/A entries of the earlier
-    retrieval turns, whose answers come from ``answers`` (conv_id, turn, answer).
+    retrieval turns, whose answers come from ``answers`` (conv_id, turn, answer). Those entries are
+    returned as the rows to append. ``grader`` and ``rewriter`` as in :func:`answer_queries`.
     """
     from tessera.operators.ordering import positions, with_row_ids
 
@@ -194,6 +203,7 @@ def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None,
                        .select("task_id", F.col("text").alias("query"), "conv_id", "turn", "mode", "reason"), "query_id")
     turns = rag.select("query_id", "conv_id", "turn", "mode", "reason")
     rag = rag.drop("mode", "reason")
+    written = None
     if use_memory:
         base = memory if memory is not None else rag.sparkSession.createDataFrame(
             [], "memory_key string, seq long, type string, text string, vec array<double>")
@@ -204,11 +214,17 @@ def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None,
                .drop("_j", "_top"))
         given = answers if answers is not None else rag.select("conv_id", "turn", F.lit("").alias("answer"))
         # pos is the last seq a turn may see; its own entries take pos + 1 and pos + 2.
-        written = mm.qa_memory_rows(rag.join(given.select("conv_id", "turn", "answer"), ["conv_id", "turn"], "left"), embedder)
-        memory = base.unionByName(written.select("memory_key", "seq", "type", "text", "vec"))
-    ans = answer_queries(rag, store, members, memory, cfg, embedder=embedder, use_memory=use_memory)
+        written = checkpoint(mm.qa_memory_rows(rag.join(given.select("conv_id", "turn", "answer"), ["conv_id", "turn"], "left"), embedder)
+                             .select("memory_key", "seq", "type", "text", "vec"))
+        memory = base.unionByName(written)
+    ans = answer_queries(rag, store, members, memory, cfg, embedder=embedder, use_memory=use_memory, grader=grader, rewriter=rewriter)
     rag_out = turns.join(ans.prompts, "query_id", "left").select("conv_id", "turn", "mode", "reason", "prompt")
     chat = ev.chat_prompts(messages.select("conv_id", "turn", "role", "text"))
     chat_out = (routed.filter(F.col("mode") == "chat").select("conv_id", "turn", "mode", "reason")
                 .join(chat.select("conv_id", "turn", "prompt"), ["conv_id", "turn"], "left"))
-    return rag_out.unionByName(chat_out).withColumnRenamed("mode", "mode_used")
+    return Chatted(rag_out.unionByName(chat_out).withColumnRenamed("mode", "mode_used"), written)
+
+
+def chat_turns(messages: DataFrame, store: DataFrame, members: DataFrame | None, cfg: Settings = Settings(), **options) -> DataFrame:
+    """The turns of :func:`chat_session`: (conv_id, turn, mode_used, reason, prompt)."""
+    return chat_session(messages, store, members, cfg, **options).turns

@@ -103,6 +103,18 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "memory_key", (F.col("_j") * 2).cast("long").alias("pos"), "conv_id", "turn", "query", "answer")
 
 
+def given_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, answer): the assistant's turn after each user turn."""
+    m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    return m.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+
+
+def first_memory(spark: SparkSession) -> DataFrame:
+    """The memory that task ``all`` begins with: an empty ingest summary at seq 0."""
+    return spark.createDataFrame([("all", 0, "ingest_summary", "", None)],
+                                 "memory_key string, seq long, type string, text string, vec array<double>")
+
+
 def _first_letters_word(c):
     return F.regexp_replace(F.element_at(F.split(c, " "), 1), "[^A-Za-z]", "")
 
