@@ -272,10 +272,8 @@ def q_delete_tasks(spark, sf_dir):
     """Per task id (requested or stored): whether anything was removed, and rows left."""
     path = _written_store(spark, sf_dir)
     req = _delete_requests(spark, sf_dir)
-    _, flags = st.delete_tasks(st.load_chunk_store(spark, path), req)
-    flags = checkpoint(flags)
     ids = checkpoint(req.unionByName(st.load_chunk_store(spark, path).select("task_id")).distinct())
-    st.delete_from_store(spark, path, [r["task_id"] for r in req.collect()])  # a caller's list of requests
+    flags = st.delete_from_store(spark, path, req)
     left = (st.load_chunk_store(spark, path).groupBy("task_id")  # the store as it is read afterwards
             .agg(F.count(F.lit(1)).cast("long").alias("n_remaining")))
     return (ids.join(flags, "task_id", "left").join(left, "task_id", "left")
@@ -842,9 +840,9 @@ def q_ingest_stream(spark, sf_dir):
     store = scratch_dir(spark, "stream-store")
     q = sm.ingest_stream(spark, src, store, scratch_dir(spark, "stream-ckpt"))
     q.awaitTermination()
-    chunks = st.read_by_task(spark, f"{store}/chunks").groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
-    meta = st.read_by_task(spark, f"{store}/index_meta").select("task_id", "total_chunks", "cluster_error")
-    status = st.read_by_task(spark, f"{store}/task_status").select("task_id", "status")
+    chunks = st.read_table(spark, store, "chunks").groupBy("task_id").agg(F.count(F.lit(1)).cast("long").alias("n_chunks"))
+    meta = st.read_table(spark, store, "index_meta").select("task_id", "total_chunks", "cluster_error")
+    status = st.read_table(spark, store, "task_status").select("task_id", "status")
     return (status.join(chunks, "task_id", "left").join(meta, "task_id", "left")
             .fillna({"n_chunks": 0, "total_chunks": 0}))
 

@@ -112,7 +112,7 @@ def test_ids_survive_the_store_and_deletion_is_real(spark, tmp_path):
     assert {r.task_id for r in st.load_chunk_store(spark, path).collect()} == {"007", "08", "b=c/d"}
     assert st.delete_from_store(spark, path, ["007", "b=c/d", "none"]) == {"007": True, "b=c/d": True, "none": False}
     assert [r.task_id for r in st.load_chunk_store(spark, path).collect()] == ["08"]
-    assert [r.task_id for r in st.read_by_task(spark, f"{path}/index_meta").collect()] == ["08"]
+    assert [r.task_id for r in st.read_table(spark, path, "index_meta").collect()] == ["08"]
     t = spark.createDataFrame([("007", " seven "), ("1e3", "x")], "task_id string, text string")
     assert {(r.task_id, r.text) for r in fl.load_transcripts(spark, fl.write_transcripts(t, str(tmp_path / "t"))).collect()} == {
         ("007", "seven"), ("1e3", "x")}
@@ -124,7 +124,7 @@ def test_stored_memory_is_appended(spark, tmp_path):
                                               "memory_key string, ord long, type string, text string, vec array<double>")
     st.append_memory(rows(0, 3), path)
     st.append_memory(rows(3, 5), path)
-    got = spark.read.parquet(path).collect()
+    got = st.load_memory(spark, path).collect()
     assert sorted((r.memory_key, r.seq, r.text) for r in got) == [(k, i, f"{k}{i}") for k in "ab" for i in range(5)]
 
 
