@@ -335,10 +335,25 @@ def q_lloyd_step(spark, sf_dir):
 
 @register("kmeans_by_task")
 def q_kmeans_by_task(spark, sf_dir):
-    members, _, _ = cl.kmeans_by_task(tb.vectors(spark, sf_dir))
+    members, _, _ = cl.kmeans_by_task(tb.vectors(spark, sf_dir), init="hashed")
     return members.select("task_id", "vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
+@register("kmeans_distributed")
+def q_kmeans_distributed(spark, sf_dir):
+    """The same clusters by the plan of large tasks: rounds over blocks of points."""
+    members, _, _ = cl.kmeans_by_task(tb.vectors(spark, sf_dir), init="hashed", local_max_rows=0)
+    return members.select("task_id", "vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@register("kmeans_parallel")
+def q_kmeans_parallel(spark, sf_dir):
+    """k-means|| seeding, all tasks by the distributed plan: size and inertia of each task."""
+    members, _, status = cl.kmeans_by_task(tb.vectors(spark, sf_dir), local_max_rows=0)
+    n = members.groupBy("task_id").agg(F.countDistinct("cluster_id").alias("n_clusters"))
+    return status.join(n, "task_id", "left").select("task_id", "n_rows", "n_clusters", r6("inertia").alias("inertia"), "cluster_error")
+
+
 @register("silhouette")
 def q_silhouette(spark, sf_dir):
     _, per_task = cl.silhouette(_vectors_with_labels(spark, sf_dir))

@@ -400,6 +400,42 @@ SELECT c.task_id, CAST(c.cluster_id AS BIGINT) AS cluster_id, CAST(coalesce(n.n,
 FROM task_centers c LEFT JOIN moved m USING (task_id, cluster_id) LEFT JOIN cnt n USING (task_id, cluster_id)
 JOIN inertia i USING (task_id)""")
 
+def kmeans_sql(k: int = 5, n_init: int = 10, iters: int = 20, seed: int = 42, tol: float = 1e-4) -> str:
+    """k-means from hashed seeds: one pair of CTEs per Lloyd round, then the start with the least inertia."""
+    mean = "SELECT task_id, start, cluster_id, list(m ORDER BY pos) AS center FROM (SELECT task_id, start, cluster_id, pos, avg(x) AS m " \
+           "FROM (SELECT task_id, start, cluster_id, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM a{r}) GROUP BY ALL) GROUP BY ALL"
+    near = f"""a{{r}} AS MATERIALIZED (
+  SELECT task_id, start, vec_id, vec, cluster_id, d2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY task_id, start, vec_id ORDER BY d2, cluster_id) AS rn FROM (
+      SELECT c.task_id, c.start, v.vec_id, v.vec, c.cluster_id, {sqdist('v.vec', 'c.center')} AS d2
+      FROM vectors v JOIN c{{r}} c ON c.task_id = v.task_id{{only}})) WHERE rn = 1)"""
+    ctes = [f"""ok AS (SELECT task_id FROM vectors GROUP BY task_id HAVING count(*) > {k} AND count(DISTINCT vec) >= 2),
+tols AS (SELECT task_id, avg(v) * {tol} AS tol FROM (
+  SELECT task_id, pos, var_pop(x) AS v FROM (SELECT task_id, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM vectors)
+  GROUP BY task_id, pos) GROUP BY task_id),
+c0 AS MATERIALIZED (
+  SELECT task_id, start, CAST(r - 1 AS INTEGER) AS cluster_id, vec AS center, false AS done FROM (
+    SELECT v.task_id, s.start, v.vec,
+           row_number() OVER (PARTITION BY v.task_id, s.start ORDER BY md5('{seed}:' || s.start || ':' || v.vec_id), v.vec_id) AS r
+    FROM vectors v JOIN ok USING (task_id), (SELECT unnest(range({n_init})) AS start) s) WHERE r <= {k})"""]
+    for r in range(iters):
+        ctes.append(near.format(r=r, only=" AND NOT c.done"))
+        ctes.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT task_id, start, cluster_id, center, done OR max({sqdist('center', 'old')}) OVER (PARTITION BY task_id, start) <= tol AS done FROM (
+    SELECT c.task_id, c.start, c.cluster_id, c.center AS old, coalesce(m.center, c.center) AS center, c.done, t.tol
+    FROM c{r} c LEFT JOIN ({mean.format(r=r)}) m USING (task_id, start, cluster_id) JOIN tols t ON t.task_id = c.task_id))""")
+    ctes.append(near.format(r=iters, only=""))
+    ctes.append("""best AS (SELECT task_id, start FROM (
+  SELECT task_id, start, row_number() OVER (PARTITION BY task_id ORDER BY CAST(printf('%.9e', i) AS DOUBLE), start) AS rn FROM (
+    SELECT task_id, start, sum(d2) AS i FROM a""" + str(iters) + """ GROUP BY task_id, start)) WHERE rn = 1)""")
+    return with_(VECTORS, *ctes) + f"""
+SELECT task_id, vec_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM a{iters} JOIN best USING (task_id, start)"""
+
+
+sql("kmeans_by_task", kmeans_sql())
+
+sql("kmeans_distributed", kmeans_sql())
+
 SILHOUETTE = f"""
 pair_d AS (SELECT a.task_id, a.vec_id, a.label AS own, b.label AS other, sqrt({sqdist('a.vec', 'b.vec')}) AS d
            FROM vectors a JOIN vectors b ON a.task_id = b.task_id AND a.vec_id <> b.vec_id),

@@ -241,3 +241,26 @@ def test_squared_silhouette_equals_brute_force(spark):
         b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
         s.append((b - a) / max(a, b))
     assert abs(have["a"] - np.mean(s)) < 1e-9 and have["b"] == 0.0
+
+
+def test_parallel_seeds_do_not_depend_on_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(cl, "KMEANS_BLOCK", 40)
+    rng = np.random.default_rng(8)
+    rows = [("a", i, (rng.normal(size=3) + (i % 7) * 6).tolist()) for i in range(400)] + [("b", i, [float(i % 3), 0.0, 0.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "task_id string, vec_id long, vec array<double>")
+    blocks = cl._point_blocks(df.join(df.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_rows")), "task_id"))
+    assert blocks.count() > 8  # 400 points in blocks of about 40
+    assert blocks.select(F.explode("ids")).count() == 430  # one copy of every point
+    got = {(r.task_id, r.start): np.array(r.cs) for r in cl._parallel_seeds(blocks, 7, 3, 42).collect()}
+    for task in "ab":
+        x, ids = np.array([r[2] for r in rows if r[0] == task]), np.array([r[1] for r in rows if r[0] == task])
+        for s in range(3):
+            assert np.array_equal(got[task, s], cl._local_seeds(x, ids, 7, 42, s))
+    spread = {int(round(c.mean() / 6)) for c in got["a", 0]}
+    assert len(spread) >= 6  # oversampling by distance finds nearly every group at once
+    assert len({tuple(c) for c in got["b", 0]}) == 3  # three distinct points only
+    m1, _, s1 = cl.kmeans_by_task(df, k=7, n_init=3)
+    m2, _, s2 = cl.kmeans_by_task(df, k=7, n_init=3, local_max_rows=0)
+    a, b = ({(r.task_id, r.vec_id): r.cluster_id for r in m.collect()} for m in (m1, m2))
+    i1, i2 = ({r.task_id: r.inertia for r in s.collect()} for s in (s1, s2))
+    assert a == b and all(abs(i1[t] - i2[t]) <= 1e-9 * max(1.0, i1[t]) for t in i1)
