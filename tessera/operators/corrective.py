@@ -37,7 +37,8 @@ STOP_WORDS = (
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def _words(c) -> Column:
+def words_of(c) -> Column:
+    """The words of a text: runs of letters and digits, lower-cased."""
     return F.filter(F.split(F.lower(tx._col(c)), WORD_SPLIT), lambda w: w != "")
 
 
@@ -121,9 +122,9 @@ def apply_grades(strips: DataFrame, grades: DataFrame, max_items: int = Settings
 def lexical_grades(queries: DataFrame, strips: DataFrame, query_col: str = "query",
                    text_col: str = "content") -> DataFrame:
     """G4 (stand-in for the grading model): share of the query's distinct words found in the strip."""
-    q = queries.select("query_id", F.array_distinct(_words(query_col)).alias("_qw"))
+    q = queries.select("query_id", F.array_distinct(words_of(query_col)).alias("_qw"))
     s = strips.join(q, "query_id")
-    hit = F.size(F.array_intersect("_qw", F.array_distinct(_words(text_col))))
+    hit = F.size(F.array_intersect("_qw", F.array_distinct(words_of(text_col))))
     g = F.when(F.size("_qw") > 0, hit / F.size("_qw")).otherwise(F.lit(0.0))
     return s.withColumn("grade", g.cast("double")).withColumn("grade_reason", F.lit("lexical overlap")).drop("_qw")
 
@@ -160,7 +161,7 @@ def parse_rewrites(completions: DataFrame, n: int = Settings().num_rewrites, key
 def keyword_rewrites(queries: DataFrame, n: int = Settings().num_rewrites, query_col: str = "query") -> DataFrame:
     """G8 (stand-in for the rewriting model): (1) the query without stop words, (2) its three
     longest distinct words (ties by first position). Empty rewrites are dropped."""
-    words = _words(query_col)
+    words = words_of(query_col)
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     content = F.filter(words, lambda w: ~F.array_contains(stop, w))
     r1 = F.array_join(content, " ")

@@ -6,8 +6,13 @@ completions table (request_id, stage, text, error) comes back and is joined on i
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.config import CHAT_HISTORY, MAX_EVIDENCE_CHARS
 from tessera.functions import text as tx
@@ -61,27 +66,90 @@ def evidence_lines(graded: DataFrame, id_col: str = "chunk_id", score_col: str =
     return graded.withColumn("line", line)
 
 
+#: Words of a piece at most; a longer sentence is cut into several.
+DIGEST_PIECE_WORDS = 30
+
+
+def digest_pieces(line) -> Column:
+    """What a digest is chosen from: the sentences of a line, long ones in pieces, their words one blank apart."""
+    n = DIGEST_PIECE_WORDS
+    cut = lambda words: F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / n)),
+                                    lambda i: F.array_join(F.slice(words, (i * n + 1).cast("int"), n), " "))
+    return F.flatten(F.transform(tx.split_segments(line), lambda s: cut(F.split(s, r"\s+", -1))))
+
+
+def choose_pieces(pieces: list[str], words: list[list[str]], max_chars: int) -> str:
+    """The pieces, in their order and one per line, that a budget of ``max_chars`` covers best.
+
+    Greedy choice for a submodular gain: a piece is worth the words that no chosen piece has, each weighted by
+    1000 * pieces // pieces with it, per character. Gains only fall as pieces are chosen, so only the
+    best candidate is weighed again (lazy greedy). Ties go to the earlier piece; what does not fit or adds no
+    word is passed over.
+    """
+    own = [dict.fromkeys(w) for w in words]
+    in_pieces = Counter(w for ws in own for w in ws)
+    weight = {w: 1000 * len(pieces) // n for w, n in in_pieces.items()}
+    covered, chosen, left = set(), [], max_chars + 1  # every piece but the last takes a line break along
+
+    def worth(i):
+        return sum(weight[w] for w in own[i] if w not in covered) * 1_000_000 // len(pieces[i])
+
+    heap = [(-worth(i), i) for i in range(len(pieces))]
+    heapq.heapify(heap)
+    while heap:
+        _, i = heapq.heappop(heap)
+        if len(pieces[i]) + 1 > left:
+            continue
+        now = (-worth(i), i)
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+        elif now[0] < 0:
+            chosen.append(i)
+            covered.update(own[i])
+            left -= len(pieces[i]) + 1
+    return "\n".join(pieces[i] for i in sorted(chosen))
+
+
+def with_digest(rows: DataFrame, lines: Column, out: str, max_chars: int) -> DataFrame:
+    """``rows`` with the digest of an ordered array of lines; null for null. Every sentence of every line is weighed."""
+    from tessera.operators.corrective import words_of
+
+    pieces = F.flatten(F.transform(lines, digest_pieces))
+    d = rows.withColumn("_pieces", pieces).withColumn("_words", F.transform("_pieces", words_of))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            found = [None if p is None else choose_pieces(p, ws, max_chars)
+                     for p, ws in zip(b.column("_pieces").to_pylist(), b.column("_words").to_pylist())]
+            kept = [c for c in b.schema.names if c not in ("_pieces", "_words")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, out])
+
+    return d.mapInArrow(run, schema)
+
+
 def evidence_text(lines: DataFrame, by: str = "query_id", order: str = "ord",
                   max_chars: int = MAX_EVIDENCE_CHARS) -> DataFrame:
     """H2: ordered lines joined by new lines per query; over budget -> flagged for a digest.
 
     ``evidence_cut`` is the original's fallback for a failed digest (the first ``max_chars``);
-    ``evidence_digest`` our offline stand-in for the digest itself: over budget, every line keeps an
-    equal share of the budget, so each hit is still read.
+    ``evidence_digest`` our offline stand-in for the digest itself: over budget, the sentences of all lines
+    that cover most of their words, weighted by rarity, within the budget (:func:`choose_pieces`).
+    If no sentence fits, it is ``evidence_cut``.
 
     One query's lines are at most k (or the merged hits of a few searches), so the ordered
     collect is bounded by the retrieval fan-in, not by the data.
     """
     agg = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l"))))
                                 .alias("_l"))
-    text = F.array_join(F.transform("_l", lambda s: s["l"]), "\n")
-    share = F.greatest(F.floor(F.lit(max_chars) / F.size("_l")) - 1, F.lit(0)).cast("int")
-    short = F.array_join(F.transform("_l", lambda s: F.substring(s["l"], F.lit(1), share)), "\n")
-    return (agg.select(by, text.alias("evidence"), short.alias("_short"))
+    agg = agg.select(by, F.col("_l.l").alias("_l")).withColumn("evidence", F.array_join("_l", "\n"))
+    over = F.length("evidence") > F.lit(max_chars)
+    return (with_digest(agg.withColumn("_l", F.when(over, F.col("_l"))), F.col("_l"), "_short", max_chars).drop("_l")
             .withColumn("evidence_chars", F.length("evidence").cast("long"))
             .withColumn("needs_digest", F.col("evidence_chars") > F.lit(max_chars))
             .withColumn("evidence_cut", F.substring("evidence", 1, max_chars))
-            .withColumn("evidence_digest", F.when(F.col("needs_digest"), F.col("_short")).otherwise(F.col("evidence")))
+            .withColumn("evidence_digest", F.when(~F.col("needs_digest"), F.col("evidence"))
+                        .otherwise(F.coalesce(F.nullif("_short", F.lit("")), F.col("evidence_cut"))))
             .drop("_short"))
 
 

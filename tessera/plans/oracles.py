@@ -84,13 +84,43 @@ def evidence_line_expr(prefix: str = "") -> str:
             f"coalesce(CAST({p}cluster_id AS VARCHAR), '-') || ') ' || coalesce({p}content, '')")
 
 
-def digest_cte(name: str, lines: str, order: str, chars: int = 2000) -> str:
-    """The offline digest: the joined lines, or over budget an equal share of the budget from each."""
-    return f"""{name} AS (
-  SELECT query_id, CASE WHEN length(string_agg(line, chr(10) ORDER BY {order})) <= {chars}
-                        THEN string_agg(line, chr(10) ORDER BY {order})
-                        ELSE string_agg(substring(line, 1, greatest({chars} // n - 1, 0)), chr(10) ORDER BY {order}) END AS evidence
-  FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM {lines}) GROUP BY query_id)"""
+def digest_cte(name: str, lines: str, order: str, chars: int = 2000, piece: int = 30) -> str:
+    """The offline digest: the joined lines, or over budget the pieces of sentences that a greedy choice takes, step by step."""
+    return f"""{name}_l AS (
+  SELECT query_id, {order} AS o, line, sum(length(line)) OVER (PARTITION BY query_id) + count(*) OVER (PARTITION BY query_id) - 1 AS total
+  FROM {lines}),
+{name}_s AS (
+  SELECT query_id, o, i, regexp_split_to_array(segs[i + 1], '\\s+') AS toks
+  FROM (SELECT query_id, o, segs, unnest(range(len(segs))) AS i FROM (SELECT *, {seg_list_expr('line')} AS segs FROM {name}_l WHERE total > {chars}))),
+{name}_t AS (
+  SELECT query_id, o, i, w, array_to_string(toks[w + 1:w + {piece}], ' ') AS text
+  FROM (SELECT *, unnest(range(0, len(toks), {piece})) AS w FROM {name}_s)),
+{name}_p AS MATERIALIZED (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, i, w) AS p, text, length(text) AS n,
+         list_distinct({words_sql('text')}) AS words, count(*) OVER (PARTITION BY query_id) AS pieces FROM {name}_t),
+{name}_v AS (
+  SELECT query_id, w, 1000 * any_value(pieces) // count(*) AS v FROM (SELECT query_id, pieces, unnest(words) AS w FROM {name}_p) GROUP BY query_id, w),
+{name}_c AS MATERIALIZED (
+  SELECT p.query_id, p.p, any_value(p.n) AS n, list({{'w': v.w, 'v': v.v}}) AS worths
+  FROM (SELECT *, unnest(words) AS w FROM {name}_p) p JOIN {name}_v v ON v.query_id = p.query_id AND v.w = p.w GROUP BY p.query_id, p.p),
+{name}_g AS (
+  SELECT DISTINCT query_id, {chars} + 1 AS room, CAST([] AS BIGINT[]) AS chosen, CAST([] AS VARCHAR[]) AS covered, 0 AS step FROM {name}_p
+  UNION ALL
+  SELECT query_id, room - n - 1, list_append(chosen, p), list_concat(covered, list_transform(worths, lambda x: x.w)), step + 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, p) AS r FROM (
+      SELECT s.query_id, s.room, s.chosen, s.covered, s.step, c.p, c.n, c.worths,
+             coalesce(list_sum(list_transform(list_filter(c.worths, lambda x: NOT list_contains(s.covered, x.w)), lambda x: x.v)), 0)
+             * 1000000 // c.n AS gain
+      FROM {name}_g s JOIN {name}_c c ON c.query_id = s.query_id AND c.n + 1 <= s.room AND NOT list_contains(s.chosen, c.p)))
+  WHERE r = 1 AND gain > 0),
+{name}_d AS (
+  SELECT g.query_id, string_agg(p.text, chr(10) ORDER BY p.p) AS digest
+  FROM (SELECT query_id, unnest(chosen) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step DESC) AS r FROM {name}_g) WHERE r = 1) g
+  JOIN {name}_p p ON p.query_id = g.query_id AND p.p = g.p GROUP BY g.query_id),
+{name} AS (
+  SELECT l.query_id, CASE WHEN any_value(l.total) <= {chars} THEN string_agg(l.line, chr(10) ORDER BY l.o)
+                          ELSE coalesce(any_value(d.digest), substring(string_agg(l.line, chr(10) ORDER BY l.o), 1, {chars})) END AS evidence
+  FROM {name}_l l LEFT JOIN {name}_d d ON d.query_id = l.query_id GROUP BY l.query_id)"""
 
 
 sql("evidence_lines", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
@@ -809,7 +839,7 @@ SELECT query_id, chunk_id, final_rank FROM (
          CAST(row_number() OVER (PARTITION BY query_id ORDER BY fgrade DESC, score DESC, ord) AS BIGINT) AS final_rank
   FROM strips) WHERE final_rank <= 5""")
 
-sql("evidence_text", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
+sql("evidence_text", with_rec(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2), GRADED_F2) + f"""
 , ev AS (SELECT query_id, string_agg({evidence_line_expr()}, chr(10) ORDER BY rank) AS evidence FROM graded_f2 GROUP BY query_id),
 l AS (SELECT query_id, rank, {evidence_line_expr()} AS line FROM graded_f2), {digest_cte("dg", "l", "rank")}
 SELECT e.query_id, e.evidence, CAST(length(e.evidence) AS BIGINT) AS evidence_chars, length(e.evidence) > 2000 AS needs_digest,
