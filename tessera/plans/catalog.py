@@ -80,6 +80,7 @@ from tessera.operators import embedding as em  # noqa: E402
 from tessera.session import checkpoint, scratch_dir  # noqa: E402
 from tessera.sources import files as fl  # noqa: E402
 from tessera.sources import store as st  # noqa: E402
+from tessera.sources import vector_cache as vc  # noqa: E402
 
 
 def r6arr(c):
@@ -155,10 +156,20 @@ def q_embed_distinct(spark, sf_dir):
     return out.select("task_id", "content_key", "vec")
 
 
+@register("embed_cached")
+def q_embed_cached(spark, sf_dir):
+    """Two runs over one vector cache: the second finds every text there."""
+    path = scratch_dir(spark, "vector-cache")
+    vc.embed_cached(tb.transcripts(spark, sf_dir), "text", path)
+    out = vc.embed_cached(tb.transcripts(spark, sf_dir), "text", path)
+    return out.select("task_id", "content_key", "vec")
+
+
 @register("cache_stats")
 def q_cache_stats(spark, sf_dir):
-    out = em.embed_distinct(tb.transcripts(spark, sf_dir), "text")
-    return em.cache_stats(out)
+    path = scratch_dir(spark, "vector-cache")
+    vc.embed_cached(tb.transcripts(spark, sf_dir), "text", path)
+    return vc.cache_report(spark, path)
 
 
 def _pairs(spark, sf_dir):

@@ -286,6 +286,9 @@ SELECT task_id, vec FROM doc_vecs""")
 sql("embed_distinct", with_(TRANSCRIPTS, tri_vectors_cte("doc_vecs", "transcripts", "task_id")) + """
 SELECT task_id, md5(text) AS content_key, vec FROM doc_vecs""")
 
+sql("embed_cached", with_(TRANSCRIPTS, tri_vectors_cte("doc_vecs", "transcripts", "task_id")) + """
+SELECT task_id, md5(text) AS content_key, vec FROM doc_vecs""")
+
 sql("cache_stats", with_(TRANSCRIPTS) + """
 SELECT CAST(count(DISTINCT md5(text)) AS BIGINT) AS cache_size, CAST(64 AS BIGINT) AS embedding_dimension,
        'hashed-trigram-64' AS model_name FROM transcripts""")
