@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, col, materialize, packed, text_bytes, unpacked
@@ -53,18 +53,21 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages=LANGUAGES,
           sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log-probabilities (bucket, language + und) from a sample of labelled rows, spread by hash over all of them.
+    """Log-probabilities (bucket, language + und) from a sample of labelled texts, spread by hash over all of them.
 
-    The expected sample is ``sample_rows`` rows per language, at most; counting is distributed and
-    at most languages x 2**15 sums reach the driver. A language without rows gets a flat model.
+    The sample has ``sample_rows`` distinct texts per language at most, each once however often it is
+    repeated: those with the smallest hashes. Counting is distributed and at most languages x 2**15 sums reach
+    the driver. Null texts are left out; a language without texts gets a flat model.
     """
     label, text = col(label_col).cast("string"), col(text_col)
-    d = docs.select(label.alias("label"), text.alias("text")).filter(F.col("label").isin(list(languages)))
-    n = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chance = F.lit(0.0)
-    for lang, rows in n.items():
-        chance = F.when(F.col("label") == lang, F.lit(min(1.0, sample_rows / rows))).otherwise(chance)
-    d = d.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20))
+    d = docs.select(label.alias("label"), text.alias("text")).filter(F.col("label").isin(list(languages)) & F.col("text").isNotNull())
+    d = d.withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("label").orderBy("h")
+    drawn = (d.select("label", "h").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_rows)
+             .select(F.col("label").alias("_label"), F.col("h").alias("_h")))
+    # At most languages x sample_rows keys; each task hands on a drawn text once.
+    d = (d.join(F.broadcast(drawn), (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")), "left_semi")
+         .dropDuplicates(["label", "h"]).select("label", "text"))
     index = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches):
@@ -148,8 +151,7 @@ def decide(docs: DataFrame, model: np.ndarray, languages=LANGUAGES, id_col: str
     everything = e.agg(*_sums(k, "m")).first()["m"]
     total = np.array([x or 0 for x in everything], float) + _SCALE
     root = total / total.sum()
-    kinds = [r[0] for r in e.select("declared").filter("declared is not null").groupBy("declared").agg(
-        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(1000).select("declared").collect()]
+    kinds = e.agg(F.countDistinct("declared")).first()[0]
     declared = e.filter("declared is not null").groupBy("declared").agg(*_sums(k, "declared_mass"))
     suffixes = e.groupBy("suffix").agg(*_sums(k, "suffix_mass"))
     hosts = e.groupBy("host", "suffix").agg(*_sums(k, "host_mass"))
@@ -160,7 +162,7 @@ def decide(docs: DataFrame, model: np.ndarray, languages=LANGUAGES, id_col: str
         for c in on:
             cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
         r = r.join(named, cond, "left").drop(*[f"_{c}" for c in on])
-    spread = float(max(len(kinds), 1))
+    spread = float(max(kinds, 1))
     names = np.array(classes)
 
     def run(batches):

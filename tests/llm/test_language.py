@@ -80,3 +80,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.accepted)
     assert identify(no_docs).collect() == [] and accepted(no_docs).collect() == []
+
+
+def test_two_thousand_declared_values_all_count(make_docs):
+    rows = [(i, "the and of the and", f"x{i % 2000}", "h1") for i in range(2001)] + [(5000, "und der die", "x1", "h2")]
+    got = {r.id: r.probability for r in decide(make_docs(rows), fixed_model()).collect()}
+    for (i, _, _, _), p in zip(rows, fused(rows, fixed_model())):
+        assert abs(got[i] - p.max()) < 1e-6
+
+
+def test_a_text_that_is_a_third_of_all_rows_is_learnt_once(make_docs):
+    rows = [(i, f"the and of number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} in the house", "en", "s") for i in range(60)]
+    rows += [(100 + i, f"und der die das haus {'abcdefghij'[i]}", "de", "s") for i in range(10)]
+    copies = [(1000 + i, "zzz qqq xxx", "en", "s") for i in range(200)]
+    once = train(make_docs([*rows, copies[0]]), sample_rows=1000)
+    assert np.array_equal(once, train(make_docs([*rows, *copies]), sample_rows=1000))
+    few = train(make_docs([*rows, *copies]), sample_rows=5)
+    bucket, _ = trigrams(pa.array(["und der"]))
+    assert (few[bucket, 2] > few[bucket, 0]).mean() > 0.5  # every language keeps its own sample
+
+
+def test_null_texts_and_labels_do_not_train(make_docs):
+    flat = train(make_docs([(1, None, "en", "s"), (2, "text without a label", None, "s"), (3, "text", "zz", "s")]))
+    assert np.allclose(flat, flat[0, 0])
