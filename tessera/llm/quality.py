@@ -1,11 +1,19 @@
 """Risk-controlled quality rules: cutoffs certified on labelled holdouts.
 
-Each rule rejects a text whose feature exceeds a cutoff. Per stratum (language) and rule, a fixed
-grid is tested from the laxest cutoff on: a cutoff is certified if the exact binomial test on the
-labelled good texts shows, at the corrected level, that it rejects at most ``risk / rules`` of the
-good texts; the sequence stops at the first failure (so one level per rule suffices), and the level
-is divided by rules x strata (Bonferroni). With probability 1 - ``level`` the rules together
-reject at most ``risk`` of the good texts of every stratum. A stratum with too few labels gets no cutoff.
+Each rule rejects a text whose feature exceeds a cutoff. A step sharpens one rule to one cutoff of a
+fixed grid; the steps taken so far form a rule set, so the sets of a sequence are nested. Per stratum
+(language) a sequence of steps is fixed before its labels are read, and its sets are tested one after
+the other: a set is certified if the exact binomial test on the stratum's labelled good texts shows,
+at the corrected level, that all its rules together reject at most ``risk`` of the good texts. The
+sequence stops at the first failure, so one level serves all its steps; the level is divided by the
+number of strata (Bonferroni). With probability 1 - ``level`` every stratum loses at most ``risk`` of
+its good texts. A stratum with too few labels gets no cutoff (at four strata, 217 good ones are
+needed).
+
+The order of a stratum's steps is learnt from the labels of the other strata only, so it does not
+depend on the labels that test it: steps come by the ratio of good to bad texts they reject there, and
+those that do not reject bad texts ``GAIN`` times as often as good ones are left out. If the other strata have
+fewer than ``LEAST`` good or bad labels, the order is that of the grid, from the laxest cutoffs on.
 """
 
 from __future__ import annotations
@@ -20,7 +28,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Prefix, Words, blocks, col, materialize, mix, occurrence, text_bytes
 
 RISK, LEVEL = 0.02, 0.05
-#: rule -> ascending cutoffs; tested from the last one down.
+#: A learnt step rejects bad texts at least GAIN times as often as good ones; learning takes LEAST labels of each.
+GAIN, LEAST = 2.0, 30
+#: rule -> ascending cutoffs; the last one is the laxest.
 GRID = {
     "symbol_ratio": (0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5),
     "upper_ratio": (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9),
@@ -32,6 +42,8 @@ GRID = {
     "word_length": (8.0, 9.0, 10.0, 12.0, 14.0, 17.0, 20.0, 30.0, 50.0),
 }
 RULES = tuple(GRID)
+#: All steps in the order of the grid: every rule's laxest cutoff, then every rule's next one.
+STEPS = tuple((r, c) for cs in zip(*[tuple(zip([r] * len(GRID[r]), GRID[r][::-1])) for r in RULES]) for r, c in cs)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -121,45 +133,82 @@ def binomial_cdf(x: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def certified(n: int, rejected: list[int], cutoffs: tuple[float, ...], risk: float, level: float) -> float | None:
-    """Sharpest cutoff certified by the fixed sequence (laxest first); None if not even the laxest is."""
-    best = None
-    for c, x in sorted(zip(cutoffs, rejected), reverse=True):
+def sequence(good: int, bad: int, good_out: list[int], bad_out: list[int]) -> list[int]:
+    """Indexes of STEPS in testing order, learnt from the texts each step alone rejects elsewhere.
+
+    ``good`` and ``bad`` are the labelled texts elsewhere, ``good_out`` and ``bad_out`` what each step
+    rejects of them. Rates are smoothed by one text; equal ratios keep the order of the grid.
+    """
+    if good < LEAST or bad < LEAST:
+        return list(range(len(STEPS)))
+    ratio = [(g + 1) / (good + 2) / ((b + 1) / (bad + 2)) for g, b in zip(good_out, bad_out)]
+    return sorted((k for k in range(len(STEPS)) if ratio[k] * GAIN <= 1), key=lambda k: (ratio[k], k))
+
+
+def certified(n: int, rejected: list[int], risk: float, level: float) -> int:
+    """Number of steps certified: ``rejected[j]`` of ``n`` good texts fall to the first j + 1 steps together."""
+    for j, x in enumerate(rejected):
         if x > n * risk or binomial_cdf(x, n, risk) > level:
-            break
-        best = c
-    return best
+            return j
+    return len(rejected)
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id",
                label_col: str = "quality") -> DataFrame:
-    """One row per stratum: n_good, n_strata and the certified cutoff of each rule (null: none).
+    """One row per stratum: n_good, n_rejected of them by the certified set, and its cutoff of each rule (null: none).
 
-    Labelled good rows that pass the base rules are the holdout; the grid is fixed beforehand, so
-    all of them count. An id labelled twice counts once, as good only if always good; null ids or
+    Labelled rows that pass the base rules count: the good ones of a stratum test its sequence, the others'
+    good and bad ones order it. An id labelled twice counts once, as good only if always good; null ids or
     labels do not count.
     """
-    good = (labels.select(col(id_col).cast("long").alias("doc_id"), col(label_col).alias("q"))
-            .filter("doc_id is not null and q is not null").groupBy("doc_id").agg(F.min("q").alias("q"))
-            .filter("q = 1").select("doc_id"))
-    held = feats.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.array(*[F.count(F.when(F.col(r) > c, 1)) for c in GRID[r]]).alias(r) for r in RULES]
-    per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    per = materialize(per, "quality-strata")  # one row per stratum
-    strata = per.agg(F.count(F.lit(1)).alias("n_strata"))
+    known = (labels.select(col(id_col).cast("long").alias("doc_id"), col(label_col).alias("q"))
+             .filter("doc_id is not null and q is not null").groupBy("doc_id").agg((F.min("q") == 1).alias("good")))
+    held = materialize(feats.filter(~base_failed()).join(known, "doc_id"), "quality-labelled")
+    out = lambda good: F.array(*[F.count(F.when((F.col("good") == good) & (F.col(r) > c), 1)) for r, c in STEPS])
+    per = materialize(held.groupBy("stratum").agg(F.count(F.when(F.col("good"), 1)).alias("n_good"),
+                                                  F.count(F.when(~F.col("good"), 1)).alias("n_bad"),
+                                                  out(True).alias("good_out"), out(False).alias("bad_out")), "quality-strata")
+    # One row of fixed length: the labels of all strata together.
+    sums = lambda c: F.array(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for k in range(len(STEPS))]).alias(c)
+    every = per.agg(F.count(F.when(F.col("n_good") > 0, 1)).alias("strata"), F.sum("n_good").alias("good"),
+                    F.sum("n_bad").alias("bad"), sums("good_out"), sums("bad_out")).first()
+
+    def ordered(batches):
+        for b in batches:
+            steps = [sequence((every["good"] or 0) - x["n_good"], (every["bad"] or 0) - x["n_bad"],
+                              [t - o for t, o in zip(every["good_out"], x["good_out"])],
+                              [t - o for t, o in zip(every["bad_out"], x["bad_out"])]) for x in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(steps, pa.list_(pa.int32()))],
+                                             names=["s", "n_good", "steps"])
+
+    orders = materialize(per.mapInArrow(ordered, "s string, n_good long, steps array<int>"), "quality-orders")
+    # The first step of its stratum's sequence that rejects a good text (array_position: 0 if left out).
+    at = [F.when(F.col(r) > c, F.nullif(F.array_position("steps", F.lit(k)), F.lit(0))) for k, (r, c) in enumerate(STEPS)]
+    falls = (held.filter("good").join(orders, F.col("stratum").eqNullSafe(F.col("s")))
+             .select("s", F.least(*at).alias("step")).filter("step is not null")
+             .groupBy("s", "step").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("s").agg(F.collect_list(F.struct("step", "n")).alias("falls")).withColumnRenamed("s", "fs"))
 
     def certify(batches):
         for b in batches:
-            rows = b.to_pylist()
-            out = {r: [certified(x["n_good"], x[r], GRID[r], risk / len(RULES),
-                                 level / (len(RULES) * x["n_strata"])) for x in rows] for r in RULES}
+            cuts, lost = [], []
+            for x in b.to_pylist():
+                new = np.zeros(len(x["steps"]), np.int64)
+                for f in x["falls"] or []:
+                    new[f["step"] - 1] += f["n"]
+                upto = np.cumsum(new).tolist()
+                done = certified(x["n_good"], upto, risk, level / max(1, every["strata"]))
+                taken = [STEPS[k] for k in x["steps"][:done]]
+                cuts.append({r: min((c for q, c in taken if q == r), default=None) for r in RULES})
+                lost.append(upto[done - 1] if done else 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *[pa.array(out[r], pa.float64()) for r in RULES]],
-                names=["stratum", "n_good", *RULES])
+                [b.column(0), b.column(1), pa.array(lost, pa.int64()),
+                 *[pa.array([c[r] for c in cuts], pa.float64()) for r in RULES]],
+                names=["stratum", "n_good", "n_rejected", *RULES])
 
-    n_strata = strata.first()[0]
-    schema = ", ".join(["stratum string", "n_good long", *[f"{r} double" for r in RULES]])
-    return per.withColumn("n_strata", F.lit(n_strata)).mapInArrow(certify, schema)
+    schema = ", ".join(["stratum string", "n_good long", "n_rejected long", *[f"{r} double" for r in RULES]])
+    return (orders.join(falls, F.col("s").eqNullSafe(F.col("fs")), "left").select("s", "n_good", "steps", "falls")
+            .mapInArrow(certify, schema))
 
 
 def base_failed():
@@ -170,9 +219,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
           text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """(doc_id, base counts, base_failed, kept, rule), one row per input row; rule: the first certified rule that fires.
 
-    A null stratum is a stratum of its own. Null, empty and blank texts fail the base rules. With
-    no labels nothing is certified and only the base rules reject. Repeated rows are judged alike;
-    an empty table gives no rows; other columns are not read.
+    A null stratum is a stratum of its own. Null, empty and blank texts fail the base rules; very long texts
+    are judged whole. A feature equal to its cutoff passes (ties stay). With no labels nothing is certified
+    and only the base rules reject. Repeated rows are judged alike; an empty table gives no rows; other
+    columns are not read.
     """
     f = materialize(features(docs, id_col, text_col, stratum_col), "quality-features")
     cut = thresholds(f, labels, risk, level).select(F.col("stratum").alias("s"),
