@@ -114,8 +114,15 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per input row; taken counts the words of all its pieces."""
+    """(doc_id, size, source_size, target, taken, first_slot, n_pieces), one row per input row.
+
+    taken counts the words of all its pieces; first_slot is the first slot of the schedule that one of its
+    n_pieces fills (null: none), so rows in the order of first_slot are the mix in its low-discrepancy order.
+    Very long texts fill many slots; rows of one slot are ties.
+    """
     rows, pieces = schedule(docs, **options)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target",
-                                                  F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    per = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"),
+                                    F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_pieces"))
+    return rows.join(per, "row", "left").select("doc_id", "size", "source_size", "target",
+                                                F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot",
+                                                F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"))

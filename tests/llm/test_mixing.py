@@ -72,6 +72,31 @@ def test_schedule_is_low_discrepancy_and_blocks_are_equal(spark, sf):
             assert abs(part[t] - n / 8) <= 0.05 * 128 + 12
 
 
+def reversed_bits(i, bits):
+    return int(format(i, f"0{bits}b")[::-1], 2)
+
+
+def test_first_slots_follow_van_der_corput_points(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mix(docs, bits=8).collect()
+    source = {d.doc_id: d.source for d in docs.collect()}
+    total = {s: next(r.target for r in rows if source[r.doc_id] == s) for s in set(source.values())}
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    quota = {s: int(total[s] + 0.5) for s in order}
+    whole, end, owner = sum(quota.values()), 0, {}
+    for s in order:
+        lo, end = end, end + quota[s]
+        for i in range(256):
+            if lo <= i / 256 * whole < end:
+                owner[reversed_bits(i, 8)] = s
+    filled = [r for r in rows if r.first_slot is not None]
+    assert filled and all(r.n_pieces > 0 and owner.get(r.first_slot, source[r.doc_id]) == source[r.doc_id] for r in filled)
+    assert all((r.first_slot is None) == (r.taken == 0) == (r.n_pieces == 0) for r in rows)
+    by = sorted(filled, key=lambda r: r.first_slot)
+    half = Counter(source[r.doc_id] for r in by[:len(by) // 2])
+    assert len(half) == len({source[r.doc_id] for r in filled})  # every source appears from the start
+
+
 def test_odd_rows(odd_docs, no_docs, make_docs):
     laws(mix(odd_docs).collect(), odd_docs.collect())
     assert mix(no_docs).collect() == []
