@@ -10,8 +10,9 @@ similarity = aligned / (a + b - aligned) >= 0.8.
 Equal texts are one node. Inside a bucket (one equal repeat, or two neighbouring ones, and
 compatible lengths) nodes are not compared with each other but with one hub, round after round:
 components found so far are represented by one member each, a new hub is drawn, and the rounds
-end when no bucket gives a new link. So a bucket of g texts costs about g alignments per round, and
-no bucket is capped. The buckets of two repeats part families that meet by a common passage.
+end when no bucket gives a new link. Parity bitmaps exclude pairs that cannot reach the threshold
+before they meet their texts, and two components that meet in many buckets align their closest pair
+only. So a bucket of g texts costs at most g alignments per round, and no bucket is capped. The buckets of two repeats part families that meet by a common passage.
 
 The rounds only join families cheaply; they do not end the search. Members of buckets that still
 hold several components are finished exactly (:func:`rest_pairs`): every pair of them in different
@@ -36,6 +37,7 @@ THRESHOLD = 0.8
 PICK, REPEATS = 3, 14
 #: Longs in a text's parity bitmap.
 PARITY = 8
+BITS = tuple(f"b{k}" for k in range(PARITY))
 _SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -86,17 +88,31 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             .mapInArrow(run, "t1 long, t2 long, id long, n long, sigs array<long>"))
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs per text: per bit, whether an odd number of the text's shingles fall on it.
+
+    Two texts differ in at most as many bits as there are shingles that only one of them has.
+    """
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    bit = (mix(values) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(owner * 64 * PARITY + bit, minlength=n * 64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, PARITY)
+
+
 def sequences(texts: DataFrame) -> DataFrame:
-    """(node, seq) from (node, text): the labelled shingles in text order."""
+    """(node, seq, b0, b1, ...) from (node, text): the labelled shingles in text order and their parities."""
 
     def run(batches):
         for batch, t in blocks(batches):
             values, first = labelled(*text_bytes(t))
+            longs = parities(values, first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(first.astype(np.int32), values.view(np.int64))],
-                names=["node", "seq"])
+                [batch.column(0), pa.ListArray.from_arrays(first.astype(np.int32), values.view(np.int64)),
+                 *(pa.array(longs[:, k].copy()) for k in range(PARITY))], names=["node", "seq", *BITS])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, seq array<long>")
+    schema = ", ".join(["node long", "seq array<long>", *(f"{b} long" for b in BITS)])
+    return texts.select("node", "text").mapInArrow(run, schema)
 
 
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -169,44 +185,37 @@ def cells(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def round_pairs(members: DataFrame, labels: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) to verify in this round: per bucket one member of every component against the hub.
+    """Pairs (a, b) that may be verified in this round: per bucket one member of every component against the hub.
+    x, y are their components, apart the parities in which they differ.
 
     First round: every node against the bucket's least node. Later: one member of each component
     against one of the bucket's largest component, both drawn anew per bucket, so a text meets as
-    many members of a family as it shares buckets with it.
+    many members of a family as it shares buckets with it. Pairs whose parities prove them below the
+    threshold are left out, so a bucket of a common passage costs no alignments.
     """
     m = members.withColumn("comp", F.col("node")) if labels is None else (
         members.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n")
+    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", *BITS)
     per = m.groupBy("key", "comp").agg(F.min(draw).alias("one"), F.count(F.lit(1)).alias("size"))
     order = F.col("comp") if turn == 1 else F.struct(-F.col("size"), F.xxhash64("comp", "key", F.lit(turn)))
     hub = per.groupBy("key").agg(F.min(F.struct(order.alias("h"), "comp", "one")).alias("hub"), F.count(F.lit(1)).alias("c"))
     p = per.join(hub.filter("c > 1").select("key", "hub"), "key").filter("comp <> hub.comp")
-    p = p.select(F.col("one.node").alias("u"), F.col("one.n").alias("nu"), F.col("hub.one.node").alias("v"),
-                 F.col("hub.one.n").alias("nv"))
-    p = p.filter(F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv"))
-    return p.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    p = (p.select(F.col("comp").alias("x"), F.col("hub.comp").alias("y"), F.col("one").alias("u"), F.col("hub.one").alias("v"))
+         .filter(near("u", "v", threshold)))
+    return p.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"),
+                    F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), apart("u", "v").alias("apart"))
 
 
-def parities(seqs: DataFrame) -> DataFrame:
-    """(node, b0, b1, ...): per bit, whether an odd number of the text's shingles fall on it.
+def apart(u: str, v: str):
+    """Number of parities in which structs ``u`` and ``v`` differ."""
+    return sum((F.bit_count(F.col(u).getField(b).bitwiseXOR(F.col(v).getField(b))) for b in BITS), F.lit(0))
 
-    Two texts differ in at most as many bits as there are shingles that only one of them has.
-    """
-
-    def run(batches):
-        for batch in batches:
-            seq = batch.column(1)
-            values, off = seq.values.to_numpy().view(np.uint64), seq.offsets.to_numpy().astype(np.int64)
-            values = values[off[0]:off[-1]]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            bit = (mix(values) >> np.uint64(55)).astype(np.int64)
-            odd = np.bincount(owner * 64 * PARITY + bit, minlength=batch.num_rows * 64 * PARITY) & 1
-            longs = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(batch.num_rows, PARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, k].copy()) for k in range(PARITY))],
-                                             names=["node", *(f"b{k}" for k in range(PARITY))])
 
-    return seqs.select("node", "seq").mapInArrow(run, "node long, " + ", ".join(f"b{k} long" for k in range(PARITY)))
+def near(u: str, v: str, threshold: float):
+    """Whether the lengths and parities of structs ``u`` and ``v`` (n, b0, ...) allow the threshold."""
+    n, o = F.col(u).getField("n"), F.col(v).getField("n")
+    least = F.lit(threshold / (1 + threshold)) * (n + o) - F.lit(1e-6)
+    return (F.least(n, o) >= least) & (apart(u, v) <= n + o - 2 * least)
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -241,15 +250,15 @@ def rest_pairs(members: DataFrame, labels: DataFrame | None, seqs: DataFrame, th
     per = early.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     most = (per.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("c"))
             .filter("c > 1").select("token", F.col("most.comp").alias("main")))
-    bits = [f"b{k}" for k in range(PARITY)]
-    met = materialize(early.join(most, "token").join(parities(own), "node"), "met")
-    x = met.filter("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "after", *bits)])
-    least = F.lit(threshold / (1 + threshold)) * (F.col("x_n") + F.col("n")) - F.lit(1e-6)
-    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b))) for b in bits), F.lit(0))
+    own_bits = own.select("node", *BITS)
+    met = early.join(most, "token").join(own_bits, "node")
+    met = materialize(met.withColumn("s", F.struct("n", *BITS)).drop("n", *BITS), "met")
+    x = met.filter("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "after", "s")])
+    least = F.lit(threshold / (1 + threshold)) * (F.col("x_s.n") + F.col("s.n")) - F.lit(1e-6)
     # Pairs with the shingle's largest component come from the other side only; the rest once by node.
     pairs = x.hint("merge").join(met, "token").filter(
         (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("x_node") < F.col("node")))
-        & (F.least("after", "x_after") >= least) & (apart <= F.col("x_n") + F.col("n") - 2 * least))
+        & (F.least("after", "x_after") >= least) & near("x_s", "s", threshold))
     return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
@@ -274,13 +283,16 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
                    & F.col("id").eqNullSafe(F.col("nid"))).select("node", "text")
     # Repeated rows of a text give the same sequence; one is enough.
     seqs = materialize(sequences(texts.groupBy("node").agg(F.first("text").alias("text"))), "sequences")
+    members = materialize(members.join(seqs.select("node", *BITS), "node"), "members")
     tested, labels, turn = None, None, 0
     while True:  # A round without a link ends only the cheap joining; what is untested then is left to the rest.
         turn += 1
         pairs = round_pairs(members, labels, turn, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        # Two components need one link: their closest pair is aligned now, another in a later round.
+        closest = pairs.groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+        pairs = materialize(closest.select("p.a", "p.b"), "pairs")
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import queries
 from tessera.llm.components import components
-from tessera.llm.near_dedup import alignment, deduplicated, near_duplicates, order_sketch
+from tessera.llm.near_dedup import alignment, deduplicated, near_duplicates, order_sketch, parities
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,13 +136,35 @@ def test_near_pairs_inside_a_crowd(make_docs):
 def test_a_round_without_links_does_not_end_the_search(monkeypatch, make_docs):
     import tessera.llm.near_dedup as m
 
-    nothing = lambda members, *_: members.selectExpr("node as a", "node as b").limit(0)
+    nothing = lambda members, *_: members.selectExpr(
+        "node as a", "node as b", "node as x", "node as y", "0 as apart").limit(0)
     monkeypatch.setattr(m, "round_pairs", nothing)
     docs = crowd(8, 20, 10, 90, 30)
     got = near_duplicates(make_docs([(i, t, "en", "s") for i, t in docs])).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**62), max_size=60), st.sets(st.integers(0, 2**62), max_size=60), st.sets(st.integers(0, 2**62), max_size=60))
+def test_parities_never_differ_in_more_bits_than_shingles(common, a, b):
+    a, b = a | common, b | common
+    values = np.array([*a, *b], np.uint64)
+    x, y = parities(values, np.array([0, len(a), len(a) + len(b)]))
+    bits = sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(x.view(np.uint64), y.view(np.uint64)))
+    assert bits <= len(a ^ b)
+
+
+def test_crowd_of_a_passage_costs_few_alignments(monkeypatch, make_docs):
+    import tessera.llm.near_dedup as m
+
+    seen, plain = [], m.verified
+    monkeypatch.setattr(m, "verified", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    docs = crowd(9, 300, 10, 90, 40)
+    got = near_duplicates(make_docs([(i, t, "en", "s") for i, t in docs])).collect()
+    assert sum(r.class_size == 2 for r in got) == 20
+    assert sum(seen) < 320  # less than one alignment a text
+
+
 def test_odd_rows(odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     rows = near_duplicates(odd_docs).collect()
