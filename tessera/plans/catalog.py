@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import cells as ce
 from tessera.operators import evidence as ev
 from tessera.operators import retrieval as rt
 from tessera.operators.ordering import with_row_ids
@@ -46,6 +47,14 @@ def q_vector_topk(spark, sf_dir):
                        r6("index_similarity").alias("index_similarity"))
 
 
+@register("vector_topk_cells")
+def q_vector_topk_cells(spark, sf_dir):
+    """The rows of ``vector_topk`` through an index of cells that is built first."""
+    hits = ce.vector_topk_cells(tb.vector_queries(spark, sf_dir), ce.build_cells(tb.vectors(spark, sf_dir)), k=5)
+    return hits.select("query_id", "task_id", "vec_id", F.col("rank").cast("long").alias("rank"),
+                       r6("index_similarity").alias("index_similarity"))
+
+
 @register("search_similar")
 def q_search_similar(spark, sf_dir):
     h = _f2_hits(spark, sf_dir)

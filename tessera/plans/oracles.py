@@ -63,6 +63,8 @@ sql("vector_topk", with_(VECTORS, NORMED, RENORMED, topk_cte(5)) + """
 SELECT query_id, task_id, vec_id, CAST(rk AS BIGINT) AS rank, round(index_similarity, 6) AS index_similarity
 FROM topk""")
 
+sql("vector_topk_cells", ORACLES["vector_topk"])
+
 sql("search_similar", with_(VECTORS, NORMED, RENORMED, topk_cte(5), f2_cte(5, 0.2)) + """
 SELECT query_id, task_id, chunk_id, content, round(similarity_score, 6) AS similarity_score,
        round(index_similarity, 6) AS index_similarity, CAST(cluster_id AS BIGINT) AS cluster_id,
