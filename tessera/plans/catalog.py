@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cells as ce
 from tessera.operators import evidence as ev
+from tessera.operators import grams as gr
 from tessera.operators import retrieval as rt
 from tessera.operators.ordering import with_row_ids
 from tessera.sources import tables as tb
@@ -113,21 +114,39 @@ def q_content_key(spark, sf_dir):
     return tb.transcripts(spark, sf_dir).select("task_id", tx.content_key("text").alias("content_key"))
 
 
-@register("contains_ci")
-def q_contains_ci(spark, sf_dir):
-    """Documents containing each benchmark item's whole text, and its first word, any case."""
+def _text_parts(spark, sf_dir):
+    """(_rid, query_id, task_id, query, part): each benchmark item's whole text, and its first word."""
     q = tb.text_queries(spark, sf_dir)
     words = q.select("query_id", "task_id", F.element_at(F.split(tx.strip("query"), r"(?U)\s+"), 1).alias("query"))
     both = q.select("query_id", "task_id", "query", F.lit("text").alias("part")).unionByName(
         words.withColumn("part", F.lit("word")))
-    both = with_row_ids(both, "_rid")
-    docs = tb.transcripts(spark, sf_dir).withColumn("task_id", F.lit("all"))
-    hits = rt.contains_search(both.select(F.col("_rid").alias("query_id"), "task_id", "query"), docs, text_col="text")
+    return with_row_ids(both, "_rid")
+
+
+def _docs_per_part(both, hits):
     counts = hits.groupBy(F.col("query_id").alias("_rid")).agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
     return both.join(counts, "_rid", "left").select(
         "query_id", "part", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
+@register("contains_ci")
+def q_contains_ci(spark, sf_dir):
+    """Documents containing each benchmark item's whole text, and its first word, any case."""
+    both = _text_parts(spark, sf_dir)
+    docs = tb.transcripts(spark, sf_dir).withColumn("task_id", F.lit("all"))
+    hits = rt.contains_search(both.select(F.col("_rid").alias("query_id"), "task_id", "query"), docs, text_col="text")
+    return _docs_per_part(both, hits)
+
+
+@register("contains_ci_indexed")
+def q_contains_ci_indexed(spark, sf_dir):
+    """The rows of ``contains_ci`` through an index of three-character strings that is built first."""
+    both = _text_parts(spark, sf_dir)
+    index = gr.build_grams(tb.transcripts(spark, sf_dir).withColumn("task_id", F.lit("all")), text_col="text")
+    hits = gr.contains_search_indexed(both.select(F.col("_rid").alias("query_id"), "task_id", "query"), index)
+    return _docs_per_part(both, hits)
+
+
 @register("clip_text")
 def q_clip_text(spark, sf_dir):
     t = tb.transcripts(spark, sf_dir)

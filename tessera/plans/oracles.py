@@ -255,6 +255,8 @@ SELECT w.query_id, w.part, CAST(count(d.doc_id) AS BIGINT) AS n_docs
 FROM parts w LEFT JOIN documents d ON contains(lower(d.text), lower(w.q))
 GROUP BY w.query_id, w.part""")
 
+sql("contains_ci_indexed", ORACLES["contains_ci"])
+
 sql("clip_text", with_(TRANSCRIPTS) + """
 SELECT task_id, substring(text, 1, 600) AS cut600, substring(text, 1, 400) || '...' AS cut400,
        substring(text, 1, 200) AS cut200, substring(text, 1, 2000) AS cut2000 FROM transcripts""")
