@@ -37,3 +37,16 @@ def test_known_texts_are_not_embedded_again(spark, tmp_path):
     assert calls.value == 1  # a model has its own vectors
     report = {r.model_name: (r.cache_size, r.embedding_dimension) for r in vc.cache_report(spark, path).collect()}
     assert report == {"len": (4, 2), "other": (1, 2)}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessera.session import ensure_checkpoint_dir
+
+    unset = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
