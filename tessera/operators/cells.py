@@ -9,8 +9,10 @@ scores every further cell whose bound reaches it. What is left out cannot be amo
 result equals that of :func:`tessera.operators.retrieval.vector_topk`, ties included.
 
 Vectors that are not of length one after normalisation (zero or nearly zero) have no angle; each task
-keeps them in a cell of their own, bounded by their largest length. Scoring uses the salted
-grid with the cell as its key, so a cell of many equal vectors is spread over bounded groups.
+keeps them in a cell of their own, bounded by their largest length. For scoring, consecutive cells
+form bundles of bounded size (a larger cell, say of many equal vectors, is spread over several), and a query
+goes once to each bundle that it has cells in, with their numbers: what is exchanged grows with queries
+times bundles, not with queries times cells.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
-from tessera.operators.retrieval import _final_topk, _list_to_matrix, _normalize_rows, _partial_grid
+from tessera.operators.retrieval import _HIT_SCHEMA, _block_topk, _final_topk, _list_to_matrix, _merged, _normalize_rows
 from tessera.session import checkpoint, scratch_dir
 
 #: Most centres of one task; their number is the square root of the task's rows up to here.
 MAX_CENTRES = 4096
 #: Vectors assigned to centres in one group, and queries bounded in one group.
 ASSIGN_ROWS, BOUND_ROWS = 50_000, 2_000
+#: Queries of a bundle whose cells are gone through at a time, and hits held before they are cut to the k best.
+PICK_ROWS, HELD_HITS = 4096, 1 << 18
 #: Rounding allowance of an angle near zero.
 SLACK = 1e-7
 #: Normalised vectors shorter than this have no angle.
@@ -137,59 +141,139 @@ def _bounds(qmat: np.ndarray, ct: pa.Table) -> np.ndarray:
     return out + SLACK
 
 
-def _choose(q: DataFrame, index: CellIndex, first: bool) -> DataFrame:
-    """(query_id, picked, scored, stored): cells of each query; first round: best bounds until they hold k vectors;
-    then: all others whose bound reaches ``floor``. Queries are dealt in groups, each with the cells of its task."""
+def _bundled(index: CellIndex, cfg: Settings) -> DataFrame:
+    """The cells with their ``bundle`` and, beyond its width, the number of ``parts`` in this and the next ones."""
+    width = F.lit(max(1, cfg.vectors_per_cell // 4))
+    before = F.sum("n").over(Window.partitionBy("task_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    return (index.cells.withColumn("bundle", F.floor(F.coalesce(before, F.lit(0)) / width).cast("int"))
+            .withColumn("parts", F.ceil(F.col("n") / width).cast("int")))
+
+
+_PICKS = pa.schema([("query_id", pa.int64()), ("bundle", pa.int32()), ("picked", pa.list_(pa.int32())),
+                    ("cells", pa.int64()), ("scored", pa.int64()), ("stored", pa.int64())])
+
+
+def _choose(q: DataFrame, cells: DataFrame, first: bool) -> DataFrame:
+    """(query_id, bundle, picked, cells, scored, stored): cells of each query by bundle; first round: best bounds until
+    they hold k vectors; then: all others whose bound reaches ``floor``. Queries are dealt in groups, each with the
+    cells of its task. ``cells`` and ``scored`` count a cell in its first bundle only."""
     sizes = (q.groupBy("task_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(BOUND_ROWS)).cast("int").alias("_g")))
     qs = q.join(sizes, "task_id").withColumn("_s", F.pmod(F.xxhash64("query_id"), F.col("_g")).cast("int")).drop("_g")
-    cs = _copies(index.cells, sizes)
-    out = pa.schema([("query_id", pa.int64()), ("picked", pa.list_(pa.string())), ("scored", pa.int64()), ("stored", pa.int64())])
+    cs = _copies(cells, sizes)
 
     def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if not qt.num_rows or not ct.num_rows:
-            return out.empty_table()
-        n, ids = ct.column("n").to_numpy(), np.array(ct.column("cell_id").to_pylist(), object)
-        place = {x: i for i, x in enumerate(ids)}
-        picked, scored = [], []
-        ks, floors = qt.column("k_row").to_numpy(), None if first else qt.column("floor").to_pylist()
-        before = None if first else qt.column("picked").to_pylist()
+            return _PICKS.empty_table()
+        ct = ct.sort_by("cell")
+        n, number, parts = (ct.column(c).to_numpy() for c in ("n", "cell", "parts"))
+        # One entry per cell and bundle, in order of bundles.
+        own = np.repeat(np.arange(len(n)), parts)
+        part = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = ct.column("bundle").to_numpy()[own] + part
+        order = np.argsort(at, kind="stable")
+        own, part, at = own[order], part[order], at[order]
+        out = []
         for s in range(0, qt.num_rows, 256):
-            bound = _bounds(_list_to_matrix(qt.column("qvec").slice(s, 256)), ct)
-            for i, b in enumerate(bound):
-                if first:
-                    order = np.argsort(-b, kind="stable")
-                    take = order[:int(np.searchsorted(np.cumsum(n[order]), ks[s + i])) + 1]
-                else:
-                    ok = b >= (-np.inf if floors[s + i] is None else floors[s + i])
-                    ok[[place[x] for x in before[s + i]]] = False
-                    take = np.flatnonzero(ok)
-                picked.append(ids[take].tolist())
-                scored.append(int(n[take].sum()))
-        return pa.table([qt.column("query_id"), pa.array(picked, out.field(1).type), pa.array(scored, pa.int64()),
-                         pa.array([int(n.sum())] * qt.num_rows, pa.int64())], schema=out)
+            group = qt.slice(s, 256)
+            bound = _bounds(_list_to_matrix(group.column("qvec")), ct)
+            if first:
+                best = np.argsort(-bound, axis=1, kind="stable")
+                last = (np.cumsum(n[best], axis=1) < group.column("k_row").to_numpy()[:, None]).sum(axis=1)
+                take = np.zeros(bound.shape, dtype=bool)
+                np.put_along_axis(take, best, np.arange(len(n))[None, :] <= last[:, None], axis=1)
+            else:
+                floor = group.column("floor").fill_null(-np.inf).to_numpy()
+                take = bound >= floor[:, None]
+                before = group.column("picked").combine_chunks()
+                who = np.repeat(np.arange(len(before)), np.diff(before.offsets.to_numpy()))
+                take[who, np.searchsorted(number, before.flatten().to_numpy())] = False
+            who, entry = np.nonzero(take[:, own])
+            if not len(who):
+                continue
+            start = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (at[entry[1:]] != at[entry[:-1]])))
+            head = part[entry] == 0
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(who)), pa.int32()), pa.array(number[own[entry]], pa.int32()))
+            out.append(pa.table([group.column("query_id").take(pa.array(who[start])), pa.array(at[entry[start]], pa.int32()), lists,
+                                 pa.array(np.add.reduceat(head.astype(np.int64), start)),
+                                 pa.array(np.add.reduceat(np.where(head, n[own[entry]], 0), start), pa.int64()),
+                                 pa.array(np.full(len(start), n.sum()), pa.int64())], schema=_PICKS))
+        return pa.concat_tables(out) if out else _PICKS.empty_table()
 
     return (qs.groupBy("task_id", "_s").cogroup(cs.groupBy("task_id", "_s"))
-            .applyInArrow(run, "query_id long, picked array<string>, scored long, stored long"))
-
-
-def _scored(q: DataFrame, picks: DataFrame, index: CellIndex, k: int, cfg: Settings) -> DataFrame:
-    pairs = (q.drop("task_id").join(picks.select("query_id", F.explode("picked").alias("task_id")), "query_id")
-             .select("query_id", "task_id", "qvec", "k_row"))
-    return _partial_grid(pairs, index.members.select(F.col("cell_id").alias("task_id"), "vec_id", "vec"), k, cfg)
+            .applyInArrow(run, "query_id long, bundle int, picked array<int>, cells long, scored long, stored long"))
+
+
+def _bundle_topk(vt: pa.Table, qt: pa.Table) -> pa.Table:
+    """The k best of each query among the vectors of its cells in one bundle."""
+    schema = pa.schema([("query_id", pa.int64()), ("task_id", pa.string()), ("vec_id", pa.int64()),
+                        ("raw_score", pa.float64()), ("rescore", pa.float64()), ("k_row", pa.int64())])
+    if not vt.num_rows or not qt.num_rows:
+        return schema.empty_table()
+    order = np.argsort(vt.column("cell").to_numpy(), kind="stable")
+    number, start = np.unique(vt.column("cell").to_numpy()[order], return_index=True)
+    rows = dict(zip(number.tolist(), np.split(order, start[1:])))
+    vids, vmat = vt.column("vec_id").to_numpy().astype(np.int64), _list_to_matrix(vt.column("vec"))
+    found = []
+    for s in range(0, qt.num_rows, PICK_ROWS):
+        group = qt.slice(s, PICK_ROWS)
+        qids, qk = (group.column(c).to_numpy().astype(np.int64) for c in ("query_id", "k_row"))
+        qn = _normalize_rows(_list_to_matrix(group.column("qvec")))
+        qnn = _normalize_rows(qn)
+        picked = group.column("picked").combine_chunks()
+        who, cell = np.repeat(np.arange(len(picked)), np.diff(picked.offsets.to_numpy())), picked.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        asked, start = np.unique(cell[order], return_index=True)
+        best, held, n_held = None, [], 0
+        for c, at in zip(asked.tolist(), np.split(who[order], start[1:])):
+            if c in rows:  # of a cell in parts, this bundle may have none
+                held.append(_block_topk(vids[rows[c]], vmat[rows[c]], qids[at], qn[at], qnn[at], qk[at]))
+                n_held += len(held[-1][0])
+            if n_held > HELD_HITS:
+                best, held, n_held = _merged(best, tuple(map(np.concatenate, zip(*held)))), [], 0
+        if held:
+            best = _merged(best, _merged(tuple(map(np.concatenate, zip(*held))), _NO_HITS))
+        if best is not None:
+            found.append(best)
+    if not found:
+        return schema.empty_table()
+    oq, ov, oraw, ore, okr = map(np.concatenate, zip(*found))
+    return pa.table([pa.array(oq), pa.array([vt.column("task_id")[0].as_py()] * len(oq), pa.string()), pa.array(ov),
+                     pa.array(oraw), pa.array(ore), pa.array(okr, pa.int64())], schema=schema)
+
+
+#: Merged with hits, it only cuts them to the k best of each query.
+_NO_HITS = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
+
+
+def _scored(q: DataFrame, picks: DataFrame, index: CellIndex, cells: DataFrame, cfg: Settings) -> DataFrame:
+    asked = picks.select("query_id", F.col("bundle").alias("_b"), "picked").join(q, "query_id")
+    sizes = asked.groupBy("task_id", "_b").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(cfg.broadcast_max_queries)).cast("int").alias("_r"))
+    vs = (index.members.select("task_id", "cell", "vec_id", "vec")
+          .join(cells.select("task_id", "cell", "bundle", "parts"), ["task_id", "cell"])
+          .withColumn("_b", (F.col("bundle") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+          .join(sizes, ["task_id", "_b"])
+          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_r") - 1).cast("array<int>")))
+          .drop("bundle", "parts", "_r"))
+    qs = asked.join(sizes, ["task_id", "_b"]).withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.col("_r")).cast("int"))
+    qs = qs.select(*[F.col(c).alias(c) for c in ("task_id", "_b", "_blk", "query_id", "qvec", "k_row", "picked")])
+    keys = ["task_id", "_b", "_blk"]
+    return vs.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInArrow(_bundle_topk, _HIT_SCHEMA)
 
 
 def _search(queries: DataFrame, index: CellIndex, k: int, cfg: Settings, qvec: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q = checkpoint(queries.select(F.col("query_id").cast("long"), "task_id", F.col(qvec).cast("array<double>").alias("qvec"),
                                   F.lit(k).alias("k_row")).filter(F.col("qvec").isNotNull() & F.col("task_id").isNotNull()))
-    one = checkpoint(_choose(q, index, True))
-    near = checkpoint(_scored(q, one, index, k, cfg))
+    cells = _bundled(index, cfg)
+    one = checkpoint(_choose(q, cells, True))
+    near = checkpoint(_scored(q, one, index, cells, cfg))
     ranked = _final_topk(near, k).filter(F.col("rank") == k).select("query_id", F.col("raw_score").alias("floor"))
-    more = q.join(one.select("query_id", "picked"), "query_id").join(ranked, "query_id", "left")
-    two = checkpoint(_choose(more, index, False))
-    rest = _scored(q, two, index, k, cfg)
-    report = (one.join(two.select("query_id", F.col("scored").alias("later"), F.size("picked").alias("more")), "query_id")
-              .select("query_id", (F.size("picked") + F.col("more")).cast("long").alias("cells_scored"),
-                      (F.col("scored") + F.col("later")).alias("rows_scored"), F.col("stored").alias("rows_stored")))
+    before = one.groupBy("query_id").agg(F.flatten(F.collect_list("picked")).alias("picked"))
+    more = q.join(before, "query_id").join(ranked, "query_id", "left")
+    two = checkpoint(_choose(more, cells, False))
+    rest = _scored(q, two, index, cells, cfg)
+    report = (one.unionByName(two).groupBy("query_id")
+              .agg(F.sum("cells").alias("cells_scored"), F.sum("scored").alias("rows_scored"), F.max("stored").alias("rows_stored")))
     return q, near.unionByName(rest), report
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.operators import cells as ce
@@ -58,3 +59,21 @@ def test_index_is_read_back_and_may_be_empty(spark, clustered, tmp_path):
     again = ce.read_cells(spark, str(tmp_path / "i"))
     assert again.members.count() == 3011
     assert ce.vector_topk_cells(q, ce.build_cells(v.limit(0)), k=3).collect() == []
+
+
+def test_a_query_is_exchanged_once_per_bundle(clustered):
+    """All cells of a query travel in one row while they fit a bundle; cells beyond its width are spread over several."""
+    q, v = clustered
+    index, cfg = ce.build_cells(v), Settings(vectors_per_cell=400_000)
+    asked = q.filter("qvec is not null and task_id is not null").withColumn("k_row", F.lit(5)).withColumn("floor", F.lit(-2.0))
+    asked = asked.withColumn("picked", F.array().cast("array<int>"))
+    rows = ce._choose(asked, ce._bundled(index, cfg), False).collect()
+    n_cells = {r.task_id: r.n for r in index.cells.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    task = {r.query_id: r.task_id for r in asked.collect()}
+    assert len(rows) == len({r.query_id for r in rows}) == 46
+    assert all(len(r.picked) == r.cells == n_cells[task[r.query_id]] and r.scored == r.stored for r in rows)
+    narrow = ce._choose(asked, ce._bundled(index, Settings(vectors_per_cell=400)), False)
+    per = narrow.groupBy("query_id").agg(F.sum("cells").alias("cells"), F.sum("scored").alias("scored"), F.max("stored").alias("stored"),
+                                         F.count(F.lit(1)).alias("bundles")).collect()
+    assert all(r.cells == n_cells[task[r.query_id]] and r.scored == r.stored for r in per)
+    assert all(15 < r.bundles <= 31 for r in per if task[r.query_id] == "a")  # 3,009 rows, a hundred each
