@@ -10,7 +10,7 @@ similarity = aligned / (a + b - aligned) >= 0.8.
 Equal texts are one node. Inside a bucket (one equal repeat, or two neighbouring ones, and
 compatible lengths) nodes are not compared with each other but with one hub, round after round:
 components found so far are represented by one member each, a new hub is drawn, and the rounds
-end when no bucket gives a new link. Parity bitmaps exclude pairs that cannot reach the threshold
+end when one gives few new links or none. Parity bitmaps exclude pairs that cannot reach the threshold
 before they meet their texts, and two components that meet in many buckets align their closest pair
 only. So a bucket of g texts costs at most g alignments per round, and no bucket is capped. The buckets of two repeats part families that meet by a common passage.
 
@@ -35,6 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at 0.8 shares a repeat with probability about 0.8**3; it misses all 14 with about 1e-4.
 PICK, REPEATS = 3, 14
+#: The rounds end with one whose links, times this, are fewer than all links so far; what is left is finished exactly.
+FEW = 50
 #: Longs in a text's parity bitmap.
 PARITY = 8
 BITS = tuple(f"b{k}" for k in range(PARITY))
@@ -284,8 +286,8 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     # Repeated rows of a text give the same sequence; one is enough.
     seqs = materialize(sequences(texts.groupBy("node").agg(F.first("text").alias("text"))), "sequences")
     members = materialize(members.join(seqs.select("node", *BITS), "node"), "members")
-    tested, labels, turn = None, None, 0
-    while True:  # A round without a link ends only the cheap joining; what is untested then is left to the rest.
+    tested, labels, turn, found = None, None, 0, 0
+    while True:  # The last round ends only the cheap joining; what is untested then is left to the rest.
         turn += 1
         pairs = round_pairs(members, labels, turn, threshold)
         if tested is not None:
@@ -297,9 +299,13 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialize(verified(pairs, seqs, threshold), "verified")
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             break
         labels = joined_components(labels, new)
+        found += n
+        if n * FEW < found:
+            break
     rest = rest_pairs(members, labels, seqs, threshold)
     if tested is not None:
         rest = rest.join(tested, ["a", "b"], "left_anti")

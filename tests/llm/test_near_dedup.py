@@ -144,6 +144,30 @@ def test_a_round_without_links_does_not_end_the_search(monkeypatch, make_docs):
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
 
 
+def test_a_round_with_few_links_is_the_last(monkeypatch, make_docs):
+    import tessera.llm.near_dedup as m
+
+    rnd = random.Random(11)
+    docs = []
+    for i in range(70):
+        w = [f"u{rnd.random()}" for _ in range(80)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:40], "other", *w[41:]]))]
+    turns, plain = [], m.round_pairs
+
+    def rounds(members, labels, turn, threshold):
+        """The first round leaves out two links; the second finds one of them."""
+        turns.append(turn)
+        p = plain(members, None, 1, threshold)
+        held = sorted({r.x for r in p.select("x").collect()})[:2]
+        return p.filter(~p.x.isin(held)) if turn == 1 else p.filter(p.x == held[0])
+
+    monkeypatch.setattr(m, "round_pairs", rounds)
+    got = near_duplicates(make_docs([(i, t, "en", "s") for i, t in docs])).collect()
+    assert turns == [1, 2]
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(classes(docs))
+    assert all(r.class_size == 2 for r in got)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 2**62), max_size=60), st.sets(st.integers(0, 2**62), max_size=60), st.sets(st.integers(0, 2**62), max_size=60))
 def test_parities_never_differ_in_more_bits_than_shingles(common, a, b):
